@@ -33,8 +33,14 @@ def with_block(df: DataFrame, order: Column, cuts: Sequence[float]) -> DataFrame
     return df.withColumn(BLOCK, F.coalesce(block, F.lit(-1)))
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join the columns of ``right`` to ``left`` by null-safe keys. Without
+    keys ``right`` is a single row of totals."""
+    renamed = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    if not keys:
+        return left.crossJoin(F.broadcast(renamed))
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return left.join(renamed, match, how).drop(*[f"_k_{k}" for k in keys])
 
 
 def scan(
@@ -93,9 +99,7 @@ def scan(
     states = blocked.groupBy(*keys, BLOCK).agg(*summary).select(*keys, BLOCK, *carried)
 
     body = blocked.withColumns(running)
-    joined = body.join(states, null_safe(body, states, [*keys, BLOCK]), "left").select(
-        *[body[c] for c in body.columns], *[states[f"_c_{n}"] for n in outputs]
-    )
+    joined = attach(body, states, [*keys, BLOCK], "left")
     final = {}
     for name, (kind, _) in outputs.items():
         here, before = F.col(name), F.col(f"_c_{name}")

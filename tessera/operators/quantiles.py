@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tessera.operators.ordered import null_safe
+from tessera.operators.ordered import attach
 
 GROUP_LIMIT = 2_000_000
 SKETCH_ACCURACY = 10_000
@@ -57,9 +57,7 @@ def bracketed_quantiles(
         *[(F.lit(float("inf")) if p >= 1 - margin else F.col("_b")[k + n]).alias(f"_hi{n}") for n, p in enumerate(probs)],
     )
     near = rows.filter(F.col("_v").isNotNull())
-    near = near.join(brackets, null_safe(near, brackets, keys) if keys else F.lit(True)).select(
-        *[near[c] for c in near.columns], *[brackets[c] for c in brackets.columns if c not in keys]
-    )
+    near = attach(near, brackets, keys)
     below = near.groupBy(*keys).agg(
         *[F.sum((F.col("_v") < F.col(f"_lo{n}")).cast("long")).alias(f"_below{n}") for n in range(k)],
         F.first("_n").alias("_n"),
@@ -73,9 +71,7 @@ def bracketed_quantiles(
     )
     order = W.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     ranked = inside.withColumn("_upto", F.sum("_c").over(order))
-    tagged = ranked.join(below, null_safe(ranked, below, keys) if keys else F.lit(True)).select(
-        *[ranked[c] for c in ranked.columns], *[below[c] for c in below.columns if c not in keys]
-    )
+    tagged = attach(ranked, below, keys)
     picks = []
     for n, p in enumerate(probs):
         at = (F.col("_n") - 1) * F.lit(float(p))

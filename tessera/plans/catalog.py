@@ -2,6 +2,7 @@
 
 from tessera.plans import (  # noqa: F401
     queries_reads,
+    queries_statistics,
     queries_tables,
 )
 from tessera.plans.registry import QUERIES, SQL  # noqa: F401
