@@ -3,6 +3,7 @@
 from tessera.plans import (  # noqa: F401
     queries_design,
     queries_reads,
+    queries_spatial,
     queries_statistics,
     queries_tables,
 )
