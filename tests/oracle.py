@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime
 import decimal
 import os
+import signal
 import sys
 import time
 
@@ -17,6 +18,7 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
 ).split()
+LIMIT = int(os.environ.get("TESSERA_QUERY_SECONDS", "150"))
 DATA = os.environ.get("TESSERA_TESTDATA", "/root/testdata")
 
 
@@ -81,7 +83,12 @@ def compare(spark, con, folder, name, fn, sql):
     return f"{len(bad)} of {len(a)} rows differ, first {bad[0]}" if bad else ""
 
 
+def stop(*_):
+    raise TimeoutError("query took too long")
+
+
 def main(argv):
+    signal.signal(signal.SIGALRM, stop)
     import __spark_entry__ as entry
     from tessera.session import local_session
 
@@ -94,10 +101,13 @@ def main(argv):
     failed = 0
     for name in names:
         t = time.time()
+        signal.alarm(LIMIT)
         try:
             error = compare(spark, con, folder, name, queries[name], sql.get(name))
         except Exception as e:  # report and go on with the next query
             error = f"{type(e).__name__}: {str(e)[:700]}"
+            spark.sparkContext.cancelAllJobs()
+        signal.alarm(0)
         failed += bool(error)
         print(f"{'FAIL' if error else 'ok  '} {name} {time.time() - t:.1f}s {'' if name in sql else '(rows only) '}{error}", flush=True)
     print(f"{len(names) - failed} of {len(names)} agree")
