@@ -1,7 +1,9 @@
 """Import every query module so that its queries are registered."""
 
 from tessera.plans import (  # noqa: F401
+    queries_deep,
     queries_design,
+    queries_raster,
     queries_reads,
     queries_spatial,
     queries_statistics,
