@@ -1,6 +1,7 @@
 """Import every query module so that its queries are registered."""
 
 from tessera.plans import (  # noqa: F401
+    queries_alignment,
     queries_deep,
     queries_design,
     queries_raster,
