@@ -9,5 +9,6 @@ from tessera.plans import (  # noqa: F401
     queries_spatial,
     queries_statistics,
     queries_tables,
+    queries_workflows,
 )
 from tessera.plans.registry import QUERIES, SQL  # noqa: F401

@@ -107,7 +107,8 @@ def _(t):
     return R.apply_offsets(p, o, TILE).select("tile", "i", "j", r("value", 6).alias("value"))
 
 
-@query("phase_offsets", None)
+@query("phase_offsets", """
+SELECT vec_id AS tile, 0::INTEGER AS frame, 0.0::DOUBLE AS oi, 0.0::DOUBLE AS oj FROM embeddings UNION ALL SELECT vec_id, 1, 2.0, -1.0 FROM embeddings""")
 def _(t):
     p = plane(t)
     moved = p.withColumns({"i": ((F.col("i") + 2) % 8).cast("int"), "j": ((F.col("j") + 7) % 8).cast("int")})
