@@ -41,17 +41,19 @@ def normal_path(path: Column) -> Column:
 def parse_filename(path: Column, strict: bool = True) -> Column:
     """Struct of optional parts plus ``file``; no match raises, or is null."""
     path = normal_path(path)
-    result = F.lit(None)
-    if strict:
-        result = F.raise_error(F.concat(F.lit("failed to parse filename: "), path))
-    for pattern, groups in reversed(PATTERNS):
-        parts = [
-            (F.nullif(F.regexp_extract(path, pattern, groups[f]), F.lit("")) if f in groups else F.lit(None).cast("string")).alias(f)
-            for f in FIELDS
-        ]
-        whole = F.struct(*parts, path.alias("file"))
-        result = F.when(path.rlike(pattern), whole).otherwise(result)
-    return result
+    # one match per pattern: the wanted groups, or nothing if it does not match
+    mark = "\u0001"
+    texts = []
+    for pattern, groups in PATTERNS:
+        wanted = mark.join(f"${groups[f]}" if f in groups else "" for f in FIELDS)
+        replaced = F.regexp_replace(path, pattern + ".*$", wanted)
+        texts.append(F.try_element_at(F.filter(F.array(replaced), lambda x: F.contains(x, F.lit(mark))), F.lit(1)))
+    found = F.split(F.coalesce(*texts), mark)
+    missing = F.raise_error(F.concat(F.lit("failed to parse filename: "), path)) if strict else F.lit(None)
+    # the lambda's variable keeps the matches from being evaluated per field
+    build = lambda f: F.struct(*[F.nullif(f[n], F.lit("")).alias(c) for n, c in enumerate(FIELDS)], path.alias("file"))
+    matched = F.coalesce(found, missing.cast("array<string>"))
+    return F.transform(F.array(matched), lambda f: F.when(f.isNotNull(), build(f)))[0]
 
 
 def name_file(**parts: Column | str | None) -> Column:

@@ -20,13 +20,19 @@ def _block_count(df: DataFrame) -> int:
     return min(256, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def cut_points(df: DataFrame, order: Column, n_blocks: int) -> list[float]:
+def cut_points(df: DataFrame, order: Column, n_blocks: int | None = None) -> list[float]:
     """Quantiles of a numeric order key; a fixed small number of values."""
+    n_blocks = n_blocks or _block_count(df)
     probs = [k / n_blocks for k in range(1, n_blocks)]
     row = df.agg(F.percentile_approx(order.cast("double"), probs, 10_000).alias("cuts")).first()
     return sorted(set(row["cuts"] or []))
 
 
+def flipped(cuts: Sequence[float]) -> list[float]:
+    """The cuts of the opposite direction."""
+    return sorted(-c for c in cuts)
+
+
 def with_block(df: DataFrame, order: Column, cuts: Sequence[float]) -> DataFrame:
     key = order.cast("double")
     block = reduce(lambda acc, c: acc + (key > F.lit(c)).cast("int"), cuts, F.lit(0))
@@ -49,6 +55,7 @@ def scan(
     order: Sequence[Column],
     outputs: dict[str, tuple[str, Column | None]],
     n_blocks: int | None = None,
+    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """Add running columns over ``order`` (ascending, first column numeric) per ``keys``.
 
@@ -56,8 +63,12 @@ def scan(
     ``count`` (1-based position), ``sum``, ``min``, ``max``, ``last`` (latest
     non-null value) and ``lag`` (previous row's value). The first order column
     should be close to unique, as rows that tie on it share a block.
+
+    Finding the cuts is a job of its own. A chain of scans along one axis can
+    pass ``cuts`` found once on its input; any cuts give the same result.
     """
-    cuts = cut_points(df, order[0], n_blocks or _block_count(df))
+    if cuts is None:
+        cuts = cut_points(df, order[0], n_blocks)
     blocked = with_block(df, order[0], cuts)
     keys = list(keys)
     local = W.partitionBy(*keys, BLOCK).orderBy(*order)

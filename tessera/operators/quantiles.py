@@ -29,12 +29,17 @@ def quantiles(
     value: Column,
     probs: Sequence[float],
     out: str = "q",
-    limit: int = GROUP_LIMIT,
+    limit: int | None = GROUP_LIMIT,
 ) -> DataFrame:
-    """One row per group with ``out`` = array of quantiles; nulls are ignored."""
+    """One row per group with ``out`` = array of quantiles; nulls are ignored.
+
+    ``limit=None`` skips the size check. It is for values of a bounded kind,
+    such as 16-bit intensities: the exact aggregate keeps one count per
+    distinct value, however many rows a group has.
+    """
     keys = list(keys)
     rows = df.select(*keys, value.cast("double").alias("_v"))
-    if largest_group(rows, keys) <= limit:
+    if limit is None or largest_group(rows, keys) <= limit:
         return rows.groupBy(*keys).agg(F.percentile("_v", F.array(*map(F.lit, probs))).alias(out))
     return bracketed_quantiles(rows, keys, probs, out)
 

@@ -10,6 +10,7 @@ from tessera.functions.special import chi2_tail_even, hypergeometric_tail, stude
 from tessera.operators import ordered
 from tessera.operators.ordered import attach, scan
 from tessera.operators.quantiles import quantiles
+from tessera.session import cut_lineage
 
 
 def _moments(df: DataFrame, keys: Sequence[str], value: str, tag: str) -> DataFrame:
@@ -51,19 +52,20 @@ def adjust_pvalues(df: DataFrame, p: str, keys: Sequence[str] = (), bh: str | No
     the scans stay balanced; null p-values are not counted and stay null.
     """
     keys = list(keys)
+    cuts = ordered.cut_points(df, F.col(p))
     tied = df.filter(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_c"))
     total = tied.groupBy(*keys).agg(F.sum("_c").alias("_m"))
-    ranked = attach(scan(tied, keys, [F.col(p)], {"_upto": ("sum", F.col("_c"))}), total, keys)
+    ranked = attach(scan(tied, keys, [F.col(p)], {"_upto": ("sum", F.col("_c"))}, cuts=cuts), total, keys)
     adjusted = ranked
     if bh:
         raw = F.col(p) * F.col("_m") / F.col("_upto")
-        adjusted = scan(adjusted.withColumn("_raw", raw), keys, [-F.col(p)], {"_bh": ("min", F.col("_raw"))})
+        adjusted = scan(adjusted.withColumn("_raw", raw), keys, [-F.col(p)], {"_bh": ("min", F.col("_raw"))}, cuts=ordered.flipped(cuts))
         adjusted = adjusted.withColumn(bh, F.least(F.col("_bh"), F.lit(1.0)))
     if holm_sidak:
         first = F.col("_upto") - F.col("_c") + 1
         raw = -F.expm1((F.col("_m") - first + 1) * F.log1p(-F.col(p)))
         raw = F.when(F.col(p) >= 1, F.lit(1.0)).otherwise(raw)
-        adjusted = scan(adjusted.withColumn("_raw", raw), keys, [F.col(p)], {"_hs": ("max", F.col("_raw"))})
+        adjusted = scan(adjusted.withColumn("_raw", raw), keys, [F.col(p)], {"_hs": ("max", F.col("_raw"))}, cuts=cuts)
         adjusted = adjusted.withColumn(holm_sidak, F.least(F.col("_hs"), F.lit(1.0)))
     new = [c for c in (bh, holm_sidak) if c]
     return attach(df, adjusted.select(*keys, p, *new), [*keys, p], "left")
@@ -181,35 +183,39 @@ def wasserstein_to_control(df: DataFrame, group: str, value: str, control: Colum
     rows = df.select(group, v.alias("v")).filter(F.col("v").isNotNull())
     ctrl = df.filter(control).select(v.alias("v")).filter(F.col("v").isNotNull())
 
+    cuts = ordered.cut_points(rows, F.col("v"))
+    down = ordered.flipped(cuts)
+
     # control: distinct value, rows up to it, integral of the CDF up to it
     c = ctrl.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     size = c.agg(F.sum("n").alias("nc"), F.max("v").alias("vmax"))
-    c = scan(c, [], [F.col("v")], {"upto": ("sum", F.col("n")), "pv": ("lag", F.col("v"))})
+    c = scan(c, [], [F.col("v")], {"upto": ("sum", F.col("n")), "pv": ("lag", F.col("v"))}, cuts=cuts)
     c = attach(c, size, [])
     before = (F.col("upto") - F.col("n")) / F.col("nc")
     step = F.coalesce(before * (F.col("v") - F.col("pv")), F.lit(0.0))
-    c = scan(c.withColumn("step", step), [], [F.col("v")], {"area": ("sum", F.col("step"))})
-    c = c.select("v", "upto", "nc", "vmax", "area")
+    c = scan(c.withColumn("step", step), [], [F.col("v")], {"area": ("sum", F.col("step"))}, cuts=cuts)
+    c = cut_lineage(c.select("v", "upto", "nc", "vmax", "area"))
 
     # groups: distinct value, rows up to it, the next value
     g = rows.groupBy(group, "v").agg(F.count(F.lit(1)).alias("n"))
     sizes = g.groupBy(group).agg(F.sum("n").alias("m"))
-    g = scan(g, [group], [F.col("v")], {"k": ("sum", F.col("n"))})
-    g = scan(g, [group], [-F.col("v")], {"next": ("lag", F.col("v"))})
+    g = scan(g, [group], [F.col("v")], {"k": ("sum", F.col("n"))}, cuts=cuts)
+    g = scan(g, [group], [-F.col("v")], {"next": ("lag", F.col("v"))}, cuts=down)
     g = attach(attach(g, sizes, [group]), size, [])
 
     # integral of the control CDF at the group's values
     knot = F.struct(F.col("v").alias("at"), (F.col("upto") / F.col("nc")).alias("f"), F.col("area").alias("area"))
-    here = _lookup(g, c.select(F.col("v").alias("_x"), knot.alias("_knot")), "v", "knot", backward=True)
+    here = _lookup(g, c.select(F.col("v").alias("_x"), knot.alias("_knot")), "v", "knot", True, cuts)
     area_at = lambda col: F.coalesce(F.col("knot.area") + F.col("knot.f") * (F.col(col) - F.col("knot.at")), F.lit(0.0))
     here = here.withColumn("area_v", area_at("v")).drop("knot")
     # the next value's integral is the next row's own one
-    here = scan(here, [group], [-F.col("v")], {"area_next": ("lag", F.col("area_v"))})
+    here = scan(here, [group], [-F.col("v")], {"area_next": ("lag", F.col("area_v"))}, cuts=down)
+    here = cut_lineage(here)
     # where the control CDF first reaches the level k/m
     here = here.withColumn("level", F.expr(
         "cast((cast(k AS decimal(19, 0)) * cast(nc AS decimal(19, 0)) + m - 1) div m AS bigint)"))
     cross = c.select(F.col("upto").alias("_x"), F.struct(F.col("v").alias("at"), F.col("area").alias("area")).alias("_knot"))
-    here = _lookup(here, cross, "level", "cross", backward=False)
+    here = _lookup(here, cross, "level", "cross", False, ordered.flipped(ordered.cut_points(c, F.col("upto"))))
 
     level = F.col("k") / F.col("m")
     s = F.greatest(F.col("v"), F.least(F.col("next"), F.col("cross.at")))
@@ -225,14 +231,14 @@ def wasserstein_to_control(df: DataFrame, group: str, value: str, control: Colum
     return here.groupBy(group).agg(F.sum(total).alias("distance"))
 
 
-def _lookup(df: DataFrame, knots: DataFrame, at: str, out: str, backward: bool) -> DataFrame:
+def _lookup(df: DataFrame, knots: DataFrame, at: str, out: str, backward: bool, cuts: Sequence[float]) -> DataFrame:
     """The knot at or before (or at or after) each row's ``at``, by one ordered
     scan over the union of rows and knots."""
     rows = df.select(F.col(at).cast("double").alias("_x"), F.lit(1 if backward else 0).alias("_side"), F.struct(*df.columns).alias("_row"))
     marks = knots.select(F.col("_x").cast("double").alias("_x"), F.lit(0 if backward else 1).alias("_side"), "_knot")
     both = rows.unionByName(marks, allowMissingColumns=True)
     order = [F.col("_x"), F.col("_side")] if backward else [-F.col("_x"), -F.col("_side")]
-    found = scan(both, [], order, {out: ("last", F.col("_knot"))}).filter(F.col("_row").isNotNull())
+    found = scan(both, [], order, {out: ("last", F.col("_knot"))}, cuts=cuts).filter(F.col("_row").isNotNull())
     return found.select(*[F.col("_row")[c].alias(c) for c in df.columns], out)
 
 

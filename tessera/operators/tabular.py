@@ -221,12 +221,14 @@ def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[Column], co
 
 def interpolate(df: DataFrame, keys: Sequence[str], order: Sequence[Column], col: str) -> DataFrame:
     """Linear in row position between known values; trailing gaps repeat the
-    last value, leading gaps stay null."""
-    placed = ordered.scan(df, keys, order, {"_at": ("count", None)})
+    last value, leading gaps stay null. The order columns are numbers without
+    gaps (nulls) and unique per group."""
+    cuts = ordered.cut_points(df, order[0])
+    placed = ordered.scan(df, keys, order, {"_at": ("count", None)}, cuts=cuts)
     known = F.when(F.col(col).isNotNull(), F.struct(F.col("_at").alias("at"), F.col(col).alias("v")))
     placed = placed.withColumn("_known", known)
-    back = ordered.scan(placed, keys, [F.col("_at")], {"_prev": ("last", F.col("_known"))})
-    both = ordered.scan(back, keys, [-F.col("_at")], {"_next": ("last", F.col("_known"))})
+    back = ordered.scan(placed, keys, order, {"_prev": ("last", F.col("_known"))}, cuts=cuts)
+    both = ordered.scan(back, keys, [-o for o in order], {"_next": ("last", F.col("_known"))}, cuts=ordered.flipped(cuts))
     p, n = F.col("_prev"), F.col("_next")
     slope = (n["v"] - p["v"]) / F.nullif(n["at"] - p["at"], F.lit(0))
     value = F.coalesce(F.col(col), p["v"] + slope * (F.col("_at") - p["at"]), p["v"])
