@@ -224,10 +224,13 @@ def registration_offsets(px: DataFrame, keys: Sequence[str], frame: str, schema:
     return inner.select(*keys, frame, "i", "j", "value").groupBy(*keys).applyInPandas(measure, schema)
 
 
-def apply_offsets(px: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
+def apply_offsets(px: DataFrame, offsets: DataFrame, keys: Sequence[str], on: Sequence[str] | None = None) -> DataFrame:
     """Move images by fractional offsets, bilinear, zero outside:
-    out(i, j) = in(i + oi, j + oj)."""
-    sized = attach(attach(px, image_size(px, keys), keys), offsets, keys)
+    out(i, j) = in(i + oi, j + oj). ``keys`` name a plane, ``on`` the keys of
+    the offsets when several planes share one."""
+    on = list(on or keys)
+    moves = offsets.select(*on, "oi", "oj")
+    sized = attach(attach(px.select(*keys, "i", "j", "value"), image_size(px, keys), keys), moves, on)
     fi, fj = F.floor("oi").cast("int"), F.floor("oj").cast("int")
     wi, wj = F.col("oi") - F.floor("oi"), F.col("oj") - F.floor("oj")
     corners = F.array(*[

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import bases as B
 from tessera.operators import cells, reads as reads_op
 from tessera.plans.registry import query
+from tessera.plans.sqltext import inverse4
 
 
 def line_reads(t):
@@ -103,16 +104,7 @@ def calls_sql(source, digits=6):
 
 def fit_sql(keys, rows="c"):
     """Class medians, unit columns and the 4x4 inverse by cofactors."""
-    m = lambda a, b: f"m[{4 * a + b + 1}]"
-
-    def minor(i, j):
-        rr, cc = [a for a in range(4) if a != i], [b for b in range(4) if b != j]
-        e = lambda a, b: m(rr[a], cc[b])
-        return (f"({e(0, 0)} * ({e(1, 1)} * {e(2, 2)} - {e(1, 2)} * {e(2, 1)}) - {e(0, 1)} * ({e(1, 0)} * {e(2, 2)} - {e(1, 2)} * {e(2, 0)})"
-                f" + {e(0, 2)} * ({e(1, 0)} * {e(2, 1)} - {e(1, 1)} * {e(2, 0)}))")
-
-    det = " + ".join(f"{'-' if j % 2 else ''}{m(0, j)} * {minor(0, j)}" for j in range(4))
-    inverse = ", ".join(f"[{', '.join(f'{chr(45) if (i + j) % 2 else str()}{minor(j, i)} / det' for j in range(4))}]" for i in range(4))
+    det, inverse = inverse4("m")
     return f"""
 l AS (SELECT {keys}, list_position(x, list_max(x)) AS cls, unnest([1, 2, 3, 4]) AS ch, unnest(x) AS v FROM {rows}),
 med AS (SELECT {keys}, cls, ch, quantile_cont(v, 0.5) AS v FROM l GROUP BY ALL),

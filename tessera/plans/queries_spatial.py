@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import spatial, tabular as T, tracking
 from tessera.plans.registry import query
+from tessera.plans.sqltext import inverse4
 
 r = F.round
 
@@ -176,7 +177,16 @@ def _(t):
     return tracking.add_range(live_cells(t), "dapi_max").select("event_id", r("dapi_diff", 6).alias("dapi_diff"))
 
 
-@query("control_baseline", None)
+_DET, _INVERSE = inverse4("g")
+
+
+@query("control_baseline", f"""
+WITH {LIVE}, ts AS (SELECT event_id, event_type, corr, {STAMP} AS ts FROM lv), mn AS (SELECT ts, avg(corr) AS y FROM ts WHERE event_type = 'view' GROUP BY 1),
+sp AS (SELECT min(ts) AS t0, max(ts) - min(ts) AS tw FROM mn), u AS (SELECT (ts - t0) / tw * 2 - 1 AS u, y FROM mn, sp),
+sm AS (SELECT [{", ".join(f"sum(pow(u, {a + b}))" for a in range(4) for b in range(4))}] AS g, [{", ".join(f"sum(y * pow(u, {a}))" for a in range(4))}] AS h FROM u),
+dt AS (SELECT g, h, {_DET} AS det FROM sm), cf AS (SELECT list_transform([{_INVERSE}], lambda row: list_dot_product(row, h)) AS c FROM dt),
+f AS (SELECT event_id, corr, c, (ts - t0) / tw * 2 - 1 AS u FROM ts, sp, cf)
+SELECT event_id, round(c[1] + c[2] * u + c[3] * u * u + c[4] * u * u * u, 6) AS splined, round(corr - (c[1] + c[2] * u + c[3] * u * u + c[4] * u * u * u), 6) AS spline_diff FROM f""")
 def _(t):
     d = tracking.add_baseline(tracking.add_timestamps(live_cells(t)), "corr", F.col("event_type") == "view")
     return d.select("event_id", r("splined", 6).alias("splined"), r("spline_diff", 6).alias("spline_diff"))

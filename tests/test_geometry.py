@@ -196,3 +196,21 @@ def test_triangle_hash_is_turn_and_shift_aware(spark):
     a, b = (alignment.find_triangles(rows(z), ["t"], "t int").toPandas() for z in (xy, moved))
     got, shift, score = alignment.evaluate_pair(a, b)
     assert np.allclose(got, rotation, atol=1e-6) and np.allclose(shift, [7, -3], atol=1e-3) and score == 1.0
+
+
+def test_cycles_and_acquisitions_are_aligned(spark):
+    from tessera.operators import registration
+
+    a = np.random.default_rng(11).integers(1, 255, (20, 20)).astype(float)
+    frame = lambda z, cycle, channel: image(spark, z).withColumns({"cycle": F.lit(cycle), "channel": F.lit(channel)})
+    moved = np.roll(a, (2, 1), (0, 1))
+    px = frame(a, 1, "DAPI").unionByName(frame(a * 2, 1, "A")).unionByName(frame(moved, 2, "DAPI")).unionByName(frame(moved * 2, 2, "A"))
+    for method in ("stain", "bases"):
+        got = registration.align_cycles(px, ["tile"], "DAPI", method, within=False, upsample=1, window=1.0, cutoff=9.0)
+        back = array(got.filter("cycle = 2 AND channel = 'A'"), a.shape)
+        assert np.allclose(back[:17, :18], 2 * a[:17, :18])
+    one, two = (image(spark, z).withColumn("channel", F.lit(0)) for z in (a, moved))
+    both = registration.align_acquisitions([one, two], [0, 0], None, ["tile"], window=1.0)
+    assert np.allclose(array(both.filter("channel = 1"), a.shape)[:17, :18], a[:17, :18])
+    flat = registration.register_and_offset(one.withColumn("frame", F.lit(0)).unionByName(two.withColumn("frame", F.lit(1))), ["tile"], "frame", limit=1)
+    assert flat.filter("value <> 0").isEmpty()
