@@ -45,17 +45,20 @@ def _(t):
     return R.find_peaks(plane(t), TILE, 3)
 
 
-def log_sql():
+def log_ctes():
+    """``col``: the unrounded filter response of every pixel."""
     g0, g2 = R.gaussian_weights(1.0), R.gaussian_weights(1.0, 2)
     w = ", ".join(f"({k - 4}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for k, (a, b) in enumerate(zip(g0, g2)))
     fold = lambda x: f"CASE WHEN {x} < 0 THEN -1 - ({x}) WHEN {x} > 7 THEN 15 - ({x}) ELSE {x} END"
-    return f"""WITH {PX}, w(d, g0, g2) AS (VALUES {w}),
+    return f"""w(d, g0, g2) AS (VALUES {w}),
 row AS (SELECT a.tile, a.i, a.j, sum(b.value * g2) AS p, sum(b.value * g0) AS q FROM px a CROSS JOIN w JOIN px b ON a.tile = b.tile AND a.i = b.i AND b.j = {fold('a.j + d')} GROUP BY ALL),
-col AS (SELECT a.tile, a.i, a.j, -(sum(b.p * g0) + sum(b.q * g2)) AS v FROM row a CROSS JOIN w JOIN row b ON a.tile = b.tile AND a.j = b.j AND b.i = {fold('a.i + d')} GROUP BY ALL)
-SELECT tile, i, j, round(greatest(0, least(65535, v)))::DOUBLE AS value FROM col"""
+col AS (SELECT a.tile, a.i, a.j, -(sum(b.p * g0) + sum(b.q * g2)) AS v FROM row a CROSS JOIN w JOIN row b ON a.tile = b.tile AND a.j = b.j AND b.i = {fold('a.i + d')} GROUP BY ALL)"""
 
 
-@query("laplacian_of_gaussian", log_sql())
+CLIPPED = "round(greatest(0, least(65535, v)))::DOUBLE"
+
+
+@query("laplacian_of_gaussian", f"WITH {PX}, {log_ctes()} SELECT tile, i, j, {CLIPPED} AS value FROM col")
 def _(t):
     return R.laplacian_of_gaussian(plane(t), TILE).select("tile", "i", "j", "value")
 

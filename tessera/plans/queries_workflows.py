@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.plans import workflows
-from tessera.plans.queries_raster import plane
+from tessera.plans.queries_raster import CLIPPED, PX, log_ctes, plane
+from tessera.plans.queries_reads import base, quality_sql
 from tessera.plans.registry import query
 from tessera.sources import intake
 from tessera.sources.tiles import sharpest_plane, slice_series
@@ -27,25 +28,54 @@ def stack_cells(t):
     return s.withColumn("label", (F.floor(F.col("i") / 2)).cast("int"))
 
 
-@query("sequencing_reads_from_pixels", None)
+READS_SQL = f"""{PX}, {log_ctes()},
+lg AS (SELECT tile // 20 AS site, ((tile % 20) // 4 + 1)::INTEGER AS cycle, (tile % 4)::INTEGER AS ch, i, j, {CLIPPED} AS v FROM col),
+sd AS (SELECT site, i, j, avg(s) AS v FROM (SELECT site, ch, i, j, stddev_pop(v) AS s FROM lg GROUP BY ALL) GROUP BY ALL),
+pk AS (SELECT a.site, a.i, a.j, any_value(a.v) AS v, max(b.v) AS hi, min(b.v) AS lo FROM sd a JOIN sd b ON a.site = b.site AND b.i BETWEEN a.i - 1 AND a.i AND b.j BETWEEN a.j - 1 AND a.j GROUP BY ALL),
+spot AS (SELECT site, i, j, row_number() OVER (PARTITION BY site ORDER BY i, j) - 1 AS read FROM pk WHERE v = hi AND hi - lo > 10 AND i BETWEEN 2 AND 5 AND j BETWEEN 2 AND 5),
+mx AS (SELECT s.site, s.i, s.j, s.read, cycle, ch, max(l.v) AS v FROM spot s JOIN lg l ON s.site = l.site AND abs(s.i - l.i) <= 1 AND abs(s.j - l.j) <= 1 GROUP BY ALL),
+x AS (SELECT site, i, j, read, cycle, list(v ORDER BY ch) AS x FROM mx GROUP BY ALL),
+rd AS (SELECT 'A1' AS well, site, read, (i // 2)::INTEGER AS cell, i, j, string_agg({base('x')}, '' ORDER BY cycle) AS barcode, min({quality_sql('x')}) AS q FROM x GROUP BY ALL)"""
+
+
+@query("sequencing_reads_from_pixels", f"WITH {READS_SQL} SELECT well, site, read, cell, i, j, barcode, round(q, 6) AS Q_min FROM rd")
 def _(t):
     return workflows.sequencing_reads(stack(t), stack_cells(t), 5, "ACGT", peak_width=2, threshold_peaks=10, correction="none").select(
         "well", "site", "read", "cell", "i", "j", "barcode", r("Q_min", 6).alias("Q_min"))
 
 
-@query("sequencing_cells_from_pixels", None)
+@query("sequencing_cells_from_pixels", f"""
+WITH {READS_SQL}, n AS (SELECT well, site, cell, barcode, count(*) AS n FROM rd GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY well, site, cell ORDER BY n DESC, barcode) AS rk FROM n)
+SELECT well, site, cell, max(barcode) FILTER (rk = 1) AS cell_barcode_0, max(n) FILTER (rk = 1) AS cell_barcode_count_0, max(barcode) FILTER (rk = 2) AS cell_barcode_1,
+  max(n) FILTER (rk = 2) AS cell_barcode_count_1, sum(n)::BIGINT AS barcode_count FROM k GROUP BY ALL""")
 def _(t):
     return workflows.sequencing_cells(stack(t), stack_cells(t), 5, "ACGT", peak_width=2, threshold_peaks=10, correction="none")
 
 
-@query("phenotype_from_pixels", None)
+def compartment_sql(label):
+    return f"""(WITH l AS (SELECT *, {label} AS cell FROM w), b AS (SELECT site, cell, min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1 FROM l WHERE cell > 0 GROUP BY ALL),
+  c AS (SELECT b.site, b.cell, corr(c0, c1) AS r FROM b JOIN w ON w.site = b.site AND w.i BETWEEN i0 AND i1 AND w.j BETWEEN j0 AND j1 WHERE c0 > 0 GROUP BY ALL)
+  SELECT site, cell, avg(c1) AS gfp_mean, sum(c0)::BIGINT AS dapi_int, max(c1) AS gfp_max, count(*) AS area, any_value(CASE WHEN NOT isnan(r) THEN r END) AS corr, quantile_cont(c1::DOUBLE, 0.5) AS gfp_median FROM l JOIN c USING (site, cell) GROUP BY ALL)"""
+
+
+QUAD = "1 + (i // 4) * 2 + (j // 4)"
+
+
+@query("phenotype_from_pixels", f"""
+WITH {PX}, w AS (SELECT tile // 2 AS site, i, j, max(value) FILTER (tile % 2 = 0) AS c0, max(value) FILTER (tile % 2 = 1) AS c1 FROM px GROUP BY ALL),
+n AS {compartment_sql(f"CASE WHEN c0 > 1000 THEN {QUAD} ELSE 0 END")}, c AS {compartment_sql(QUAD)}
+SELECT 'A1' AS well, site, cell::INTEGER AS cell, {", ".join(f"round({a}.{x}, 6) AS {y}_{s}" if x in ("gfp_mean", "corr") else f"{a}.{x} AS {y}_{s}"
+  for a, s in (("n", "nuclear"), ("c", "cell")) for x, y in (("gfp_mean", "gfp_mean"), ("dapi_int", "dapi_int"), ("gfp_max", "gfp_max"), ("area", "area"), ("corr", "dapi_gfp_corr"), ("gfp_median", "gfp_median")))}
+FROM n JOIN c USING (site, cell)""")
 def _(t):
     p = plane(t).select(F.lit("A1").alias("well"), F.floor(F.col("tile") / 2).alias("site"), (F.col("tile") % 2).alias("channel"), "i", "j", "value")
     spots = p.filter("channel = 0")
     quad = (1 + F.floor(F.col("i") / 4) * 2 + F.floor(F.col("j") / 4)).cast("int")
     cells = spots.select("well", "site", "i", "j", quad.alias("label"))
     nuclei = spots.select("well", "site", "i", "j", F.when(F.col("value") > 1000, quad).otherwise(F.lit(0)).alias("label"))
-    return workflows.phenotype(p, nuclei, cells, [0, 1])
+    d = workflows.phenotype(p, nuclei, cells, [0, 1])
+    kept = [f"{c}_{s}" for s in ("nuclear", "cell") for c in ("gfp_mean", "dapi_int", "gfp_max", "area", "dapi_gfp_corr", "gfp_median")]
+    return d.select("well", "site", "cell", *[r(c, 6).alias(c) if "mean" in c or "corr" in c else F.col(c) for c in kept])
 
 
 STAGE = """
