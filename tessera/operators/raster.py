@@ -50,6 +50,16 @@ def normalize_by_percentile(px: DataFrame, keys: Sequence[str], q: float = 0.70)
     return attach(px, cut, keys).withColumn("value", scaled).drop("_q")
 
 
+def standardize_images(px: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Network input: all pixels to mean 0 and deviation 1, then each image to
+    0..255 by its own minimum and maximum."""
+    every = px.agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
+    scaled = attach(px, every, []).withColumn("value", (F.col("value") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))).drop("_m", "_s")
+    ends = scaled.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    v = (F.col("value") - F.col("_lo")) * 255 / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    return attach(scaled, ends, keys).withColumn("value", v).drop("_lo", "_hi")
+
+
 def merge_chunks(px: DataFrame, keys: Sequence[str], how: str = "max") -> DataFrame:
     """Overlapping chunks back to one image."""
     return px.groupBy(*keys, "i", "j").agg(getattr(F, how)("value").alias("value"))

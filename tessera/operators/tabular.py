@@ -193,6 +193,13 @@ def pivot_statistics(
     return df.groupBy(index).agg(*cells, *sizes)
 
 
+def scale_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Columns to mean 0 and population deviation 1, from one pass of moments."""
+    moments = df.agg(*[a for c in cols for a in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
+    scaled = {c: (F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)) for c in cols}
+    return ordered.attach(df, moments, []).withColumns(scaled).select(*df.columns)
+
+
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str, value: str) -> DataFrame:
     return df.unpivot(list(ids), list(values), name, value)
 

@@ -96,11 +96,18 @@ def _(t):
     return D.roc_auc(D.roc_curves(s, "label")).withColumn("auc", r("auc", 6))
 
 
-@query("macro_roc", None)
+@query("macro_roc", """
+WITH s AS (SELECT vec_id, label, (k % 10)::INTEGER AS c, avg(embedding[k + 1]) AS score FROM embeddings, (SELECT unnest(range(64)) AS k) GROUP BY ALL),
+d AS (SELECT c, score, sum((label = c)::INT) AS p, sum((label <> c)::INT) AS n FROM s GROUP BY ALL),
+q AS (SELECT c, sum(n) OVER w / sum(n) OVER (PARTITION BY c) AS fpr, sum(p) OVER w / sum(p) OVER (PARTITION BY c) AS tpr FROM d WINDOW w AS (PARTITION BY c ORDER BY score DESC)),
+k0 AS (SELECT c, fpr, max(tpr) AS tpr FROM q GROUP BY ALL), k AS (SELECT * FROM k0 UNION ALL SELECT DISTINCT c, 0.0::DOUBLE, 0.0::DOUBLE FROM k0 WHERE c NOT IN (SELECT c FROM k0 WHERE fpr = 0)),
+g AS (SELECT c, x / 50 AS x FROM (SELECT DISTINCT c FROM k), (SELECT unnest(range(51)) AS x)),
+v AS (SELECT g.c, x, max(fpr) FILTER (fpr <= x) AS f0, arg_max(tpr, fpr) FILTER (fpr <= x) AS t0, min(fpr) FILTER (fpr >= x) AS f1, arg_min(tpr, fpr) FILTER (fpr >= x) AS t1 FROM g JOIN k USING (c) GROUP BY ALL)
+SELECT x AS fpr, round(avg(coalesce(t0 + (t1 - t0) * (x - f0) / nullif(f1 - f0, 0), t0)), 6) AS tpr FROM v GROUP BY 1""")
 def _(t):
     s = t.embeddings.select("vec_id", "label", F.posexplode("embedding").alias("_k", "_v"))
     s = s.groupBy("vec_id", "label", (F.col("_k") % 10).alias("class")).agg(F.avg("_v").alias("score"))
-    return D.macro_roc(D.roc_curves(s, "label"), 51)
+    return D.macro_roc(D.roc_curves(s, "label"), 51).withColumn("tpr", r("tpr", 6))
 
 
 # --- enrichment ----------------------------------------------------------------

@@ -80,6 +80,13 @@ def _(t):
     return R.normalize_by_percentile(plane(t), TILE).withColumn("value", r("value", 6))
 
 
+@query("standardized_images", f"""
+WITH {PX}, s AS (SELECT tile, i, j, (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS v FROM px)
+SELECT tile, i, j, round((v - min(v) OVER w) * 255 / (max(v) OVER w - min(v) OVER w), 9) AS value FROM s WINDOW w AS (PARTITION BY tile)""")
+def _(t):
+    return R.standardize_images(plane(t), TILE).withColumn("value", r("value", 9))
+
+
 @query("disk_mean", f"""
 WITH {PX} SELECT a.tile, a.i, a.j, round(avg(b.value), 6) AS mean FROM px a JOIN px b ON a.tile = b.tile AND (a.i - b.i) * (a.i - b.i) + (a.j - b.j) * (a.j - b.j) <= 9 GROUP BY ALL""")
 def _(t):
@@ -275,6 +282,23 @@ def _(t):
     return z.select("tile", "cell", *[r(F.col("zernike")[k], 6).alias(n) for k, n in enumerate(["z00", "z11", "z20", "z22"])])
 
 
+@query("threshold_adjacency", f"""
+WITH {PX}, {LAB}, box AS (SELECT tile, cell, min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1 FROM lab WHERE cell > 0 GROUP BY ALL),
+p AS (SELECT p.tile, b.cell, p.i, p.j, p.value AS v FROM box b JOIN px p ON p.tile = b.tile AND p.i BETWEEN i0 AND i1 AND p.j BETWEEN j0 AND j1),
+o AS (SELECT a.tile, a.cell, a.v AS t, count(*) FILTER (b.v <= a.v) AS n0, count(*) FILTER (b.v > a.v) AS n1, avg(b.v) FILTER (b.v <= a.v) AS m0, avg(b.v) FILTER (b.v > a.v) AS m1
+  FROM (SELECT DISTINCT tile, cell, v FROM p) a JOIN p b USING (tile, cell) GROUP BY ALL),
+t AS (SELECT tile, cell, t FROM o QUALIFY row_number() OVER (PARTITION BY tile, cell ORDER BY round(coalesce(n0 * n1 * (m0 - m1) * (m0 - m1), -1), 6) DESC, t) = 1),
+l AS (SELECT tile, cell, avg(v) AS mu, stddev_pop(v) AS sd FROM p JOIN t USING (tile, cell) WHERE v > t GROUP BY ALL),
+m AS (SELECT tile, cell, i, j, (v > mu)::INT AS c, (v > mu - sd)::INT AS b FROM p JOIN l USING (tile, cell)),
+n AS (SELECT x.tile, x.cell, x.i, x.j, any_value(x.c) AS c, any_value(x.b) AS b, sum(y.c) FILTER (y.i <> x.i OR y.j <> x.j) AS nc, sum(1 - y.b) FILTER (y.i <> x.i OR y.j <> x.j) AS nb
+  FROM m x JOIN m y ON x.tile = y.tile AND x.cell = y.cell AND abs(x.i - y.i) <= 1 AND abs(x.j - y.j) <= 1 GROUP BY ALL)
+SELECT tile, cell, round(coalesce(count(*) FILTER (c = 1 AND coalesce(nc, 0) = 0) / nullif(count(*) FILTER (c = 1), 0), 0), 6) AS lone, round(coalesce(count(*) FILTER (b = 0 AND coalesce(nb, 0) = 3) / nullif(count(*) FILTER (b = 0), 0), 0), 6) AS dark3 FROM n GROUP BY ALL""")
+def _(t):
+    d = G.threshold_adjacency(blocks(t), channels(t), TILE, "c0")
+    # mask above the mean, no neighbours; negative of the lower-bound mask, three neighbours
+    return d.select("tile", "cell", r(F.col("tas")[18], 6).alias("lone"), r(F.col("tas")[27 + 9 + 3], 6).alias("dark3"))
+
+
 @query("ring_masks", f"""
 WITH {PX}, {LAB}, d AS (SELECT a.tile, a.i, a.j, max(b.cell) AS label FROM lab a JOIN lab b ON a.tile = b.tile AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 GROUP BY ALL),
 e AS (SELECT a.tile, a.i, a.j, min(b.cell) AS low FROM lab a JOIN lab b ON a.tile = b.tile AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 GROUP BY ALL)

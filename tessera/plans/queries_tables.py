@@ -181,6 +181,13 @@ def _(t):
     return w.select("n_nationkey", *[r(c, 6).alias(c) for c in w.columns[1:]])
 
 
+@query("scale_columns", """
+SELECT p_partkey, round((p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER (), 6) AS p_size, round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER (), 6) AS p_retailprice FROM part""")
+def _(t):
+    d = T.scale_columns(t.part.select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice"), ["p_size", "p_retailprice"])
+    return T.replace_columns(d, p_size=lambda x: r(x, 6), p_retailprice=lambda x: r(x, 6))
+
+
 @query("melt", """
 SELECT p_partkey, name, value FROM (SELECT p_partkey, p_size::DOUBLE AS p_size, p_retailprice FROM part) UNPIVOT (value FOR name IN (p_size, p_retailprice))""")
 def _(t):
