@@ -49,7 +49,10 @@ def bracketed_quantiles(
     accuracy: int = SKETCH_ACCURACY,
 ) -> DataFrame:
     keys = list(keys)
-    margin = 2.0 / accuracy
+    # merged sketches stay within 2/accuracy of the wanted rank; a group that is
+    # small against the accuracy is ranked as a whole
+    margin = 5.0 / accuracy
+    small = F.col("_n") <= 10 * accuracy
     bounds = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
     sketch = (
         rows.filter(F.col("_v").isNotNull()).groupBy(*keys)
@@ -58,8 +61,8 @@ def bracketed_quantiles(
     k = len(probs)
     brackets = sketch.select(
         *keys, "_n",
-        *[(F.lit(float("-inf")) if p <= margin else F.col("_b")[n]).alias(f"_lo{n}") for n, p in enumerate(probs)],
-        *[(F.lit(float("inf")) if p >= 1 - margin else F.col("_b")[k + n]).alias(f"_hi{n}") for n, p in enumerate(probs)],
+        *[(F.lit(float("-inf")) if p <= margin else F.when(small, float("-inf")).otherwise(F.col("_b")[n])).alias(f"_lo{n}") for n, p in enumerate(probs)],
+        *[(F.lit(float("inf")) if p >= 1 - margin else F.when(small, float("inf")).otherwise(F.col("_b")[k + n])).alias(f"_hi{n}") for n, p in enumerate(probs)],
     )
     near = rows.filter(F.col("_v").isNotNull())
     near = attach(near, brackets, keys)

@@ -39,7 +39,7 @@ def test_bracketed_quantiles_equal_builtin(spark):
     rows = df.select("k", F.col("v").alias("_v"))
     probs = [0.0, 0.005, 0.25, 0.5, 0.995, 1.0]
     a = {r["k"]: r["q"] for r in quantiles(df, ["k"], F.col("v"), probs).collect()}
-    for accuracy in (100, 10_000):
+    for accuracy in (20, 100, 10_000):
         b = {r["k"]: r["q"] for r in bracketed_quantiles(rows, ["k"], probs, "q", accuracy).collect()}
         assert a.keys() == b.keys()
         assert all(np.allclose(a[k], b[k]) for k in a)
