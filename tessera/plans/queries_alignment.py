@@ -12,8 +12,12 @@ from tessera.plans.registry import query
 TURN = ((1.0695, 0.0327), (-0.0327, 1.0695))
 
 
+PER_TILE = 600
+
+
 def tile_points(t):
-    return order_points(t).select("tile", "i", "j")
+    """Fields of view of fixed size: more orders make more tiles."""
+    return order_points(t).select(F.floor(F.col("id") / PER_TILE).alias("tile"), "i", "j")
 
 
 def site_points(t):
@@ -22,7 +26,7 @@ def site_points(t):
 
 
 def positions(t, name):
-    k = F.col("o_custkey") % 20
+    k = F.floor(F.col("o_orderkey") / PER_TILE)
     return t.orders.select(k.alias(name)).distinct().select(
         name, (F.col(name) % 5 * 1000).cast("double").alias("x"), (F.floor(F.col(name) / 5) * 1000).cast("double").alias("y"))
 
@@ -34,7 +38,7 @@ def _(t):
 
 
 # every site is a moved copy of the tile of the same number
-@query("multistep_alignment", "SELECT DISTINCT o_custkey % 20 AS tile, o_custkey % 20 AS site, 1.0::DOUBLE AS score, 1.1449::DOUBLE AS determinant FROM orders")
+@query("multistep_alignment", "SELECT DISTINCT o_orderkey // 600 AS tile, o_orderkey // 600 AS site, 1.0::DOUBLE AS score, 1.1449::DOUBLE AS determinant FROM orders")
 def _(t):
     tri_0 = A.find_triangles(tile_points(t), ["tile"], "tile bigint")
     tri_1 = A.find_triangles(site_points(t), ["site"], "site bigint")
