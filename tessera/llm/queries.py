@@ -1,9 +1,10 @@
 """The registered queries of this package and their reference SQL."""
 
-from tessera.llm import exact_dedup
+from tessera.llm import entropy_mix, exact_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op6_entropy_mix": entropy_mix.query,
 }
 
 SQL = {
