@@ -27,8 +27,11 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import SPACE, documents, id_key, saved, shared_folder, whole
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state lives in RocksDB; many small stores must not reserve disk space ahead.
+_STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: The filter of hit digests has this many buckets of 32 768 bits (4 KB): 2 MB at most.
 _BUCKETS = 512
 
@@ -68,8 +71,9 @@ class DedupState:
             F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "locator")).alias("first"),
             F.count(F.lit(1)).alias("size"),
         )
-        before = self.spark.conf.get(_PROVIDER, None)
-        self.spark.conf.set(_PROVIDER, _ROCKSDB)
+        before = {k: self.spark.conf.get(k, None) for k in _STATE_CONF}
+        for k, v in _STATE_CONF.items():
+            self.spark.conf.set(k, v)
         try:
             run = (
                 state.writeStream.format("noop").outputMode("update").trigger(availableNow=True)
@@ -77,7 +81,8 @@ class DedupState:
             )
             run.awaitTermination()
         finally:
-            self.spark.conf.set(_PROVIDER, before) if before else self.spark.conf.unset(_PROVIDER)
+            for k, v in before.items():
+                self.spark.conf.set(k, v) if v is not None else self.spark.conf.unset(k)
 
     def keys(self) -> DataFrame:
         return self.spark.read.parquet(self.keys_path)
