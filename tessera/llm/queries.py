@@ -1,10 +1,12 @@
 """The registered queries of this package and their reference SQL."""
 
-from tessera.llm import entropy_mix, exact_dedup
+from tessera.llm import byte_bpe, entropy_mix, exact_dedup, simhash_mih
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op2_byte_bpe": byte_bpe.query,
     "op6_entropy_mix": entropy_mix.query,
+    "op10_simhash_mih": simhash_mih.query,
 }
 
 SQL = {
