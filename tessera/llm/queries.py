@@ -1,11 +1,12 @@
 """The registered queries of this package and their reference SQL."""
 
-from tessera.llm import byte_bpe, entropy_mix, exact_dedup, simhash_mih
+from tessera.llm import byte_bpe, entropy_mix, exact_dedup, simhash_mih, toxicity_knn
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_byte_bpe": byte_bpe.query,
     "op6_entropy_mix": entropy_mix.query,
+    "op8_toxicity_knn": toxicity_knn.query,
     "op10_simhash_mih": simhash_mih.query,
 }
 
