@@ -1,15 +1,20 @@
 """The registered queries of this package and their reference SQL."""
 
-from tessera.llm import byte_bpe, entropy_mix, exact_dedup, simhash_mih, toxicity_knn
+from tessera.llm import byte_bpe, entropy_mix, exact_dedup, extendible, maxscore, simhash_mih, toxicity_knn, warc_index
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_byte_bpe": byte_bpe.query,
+    "op4_maxscore": maxscore.query,
+    "op5_extendible": extendible.query,
     "op6_entropy_mix": entropy_mix.query,
     "op8_toxicity_knn": toxicity_knn.query,
+    "op9_warc_index": warc_index.query,
     "op10_simhash_mih": simhash_mih.query,
 }
 
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op4_maxscore": maxscore.SQL,
+    "op5_extendible": extendible.SQL,
 }
