@@ -60,3 +60,13 @@ def id_key(column: str = "doc_id") -> Column:
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, limit: int) -> DataFrame:
+    """(id, label, text) of at most ``limit`` labelled rows outside ``held_out``, equal texts once."""
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
+    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # bounded, so it may be broadcast
+    rows = docs.select("doc_id", whole("text").alias("text")).join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.min(F.struct("doc_id", "label", "text")).alias("r")).select("r.doc_id", "r.label", "r.text")
+    return saved(rows.groupBy("doc_id").agg(F.min(F.struct("label", "text")).alias("r")).select(F.col("doc_id").alias("id"), "r.label", "r.text"), "labelled")

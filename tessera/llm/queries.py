@@ -1,10 +1,11 @@
 """The registered queries of this package and their reference SQL."""
 
-from tessera.llm import byte_bpe, entropy_mix, exact_dedup, extendible, maxscore, simhash_mih, toxicity_knn, warc_index
+from tessera.llm import byte_bpe, entropy_mix, exact_dedup, extendible, line_crf, maxscore, simhash_mih, toxicity_knn, warc_index
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_byte_bpe": byte_bpe.query,
+    "op3_line_crf": line_crf.query,
     "op4_maxscore": maxscore.query,
     "op5_extendible": extendible.query,
     "op6_entropy_mix": entropy_mix.query,

@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tessera.llm.common import crc_mod, documents, saved, whole
+from tessera.llm.common import crc_mod, documents, labelled, saved, whole
 
 EXAMPLES = 20_000
 VOCABULARY = 4_096
@@ -167,16 +167,6 @@ def _monotone(votes: list[tuple[float, int]]) -> tuple[list[float], list[float]]
     return [p[2] for p in pools], [p[0] / p[1] for p in pools]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out, limit: int) -> DataFrame:
-    """(id, label, text) of at most ``limit`` labelled rows outside ``held_out``, equal texts once."""
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
-    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # bounded, so it may be broadcast
-    rows = docs.select("doc_id", whole("text").alias("text")).join(F.broadcast(known), "doc_id")
-    rows = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.min(F.struct("doc_id", "label", "text")).alias("r")).select("r.doc_id", "r.label", "r.text")
-    return saved(rows.groupBy("doc_id").agg(F.min(F.struct("label", "text")).alias("r")).select(F.col("doc_id").alias("id"), "r.label", "r.text"), "labelled")
-
-
 def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Documents per term and label, combined per batch."""
     for rows in batches:
