@@ -1,6 +1,18 @@
 """The registered queries of this package and their reference SQL."""
 
-from tessera.llm import byte_bpe, entropy_mix, exact_dedup, extendible, line_crf, maxscore, simhash_mih, toxicity_knn, warc_index
+import corpus_pipeline
+from tessera.llm import (
+    byte_bpe,
+    entropy_mix,
+    exact_dedup,
+    extendible,
+    line_crf,
+    maxscore,
+    pii_bootstrap,
+    simhash_mih,
+    toxicity_knn,
+    warc_index,
+)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -9,13 +21,15 @@ QUERIES = {
     "op4_maxscore": maxscore.query,
     "op5_extendible": extendible.query,
     "op6_entropy_mix": entropy_mix.query,
+    "op7_pii_bootstrap": pii_bootstrap.query,
     "op8_toxicity_knn": toxicity_knn.query,
     "op9_warc_index": warc_index.query,
     "op10_simhash_mih": simhash_mih.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op4_maxscore": maxscore.SQL,
     "op5_extendible": extendible.SQL,
-}
+} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
