@@ -10,8 +10,8 @@ instance the noisy-or of the patterns that hold it. Words in slots of patterns
 of at least ``PATTERN_SCORE``, themselves at ``INSTANCE_SCORE`` or above, are
 new spans of the pattern's kind.
 
-Which contexts matter is told to the second scan by two bitmaps of fixed size;
-what passes them by chance is dropped by an exact join. Graph and counts stay
+Which contexts matter is told to the second scan by a bitmap of fixed size;
+what passes it by chance is dropped by an exact join. Graph and counts stay
 in Spark.
 
 Defined cases: a null text counts as empty; texts are read whole and the rules
@@ -37,7 +37,7 @@ from tessera.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, ROUNDS, PATTERN_SCORE, INSTANCE_SCORE = 3, 3, 0.8, 0.9
-_BITS = 1 << 20
+_BITS = 1 << 22
 _REMEMBERED = 500_000
 # Fixed rules, written so that no part of a text is read again and again.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -81,8 +81,20 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return [(a, KINDS[k], b) for a, k, b in sorted(found)]
 
 
-def _hash(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % _BITS
+class _Hashes(dict):
+    """Hashes of lower-case words; bounded memory."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        h = self[word] = zlib.crc32(word.lower().encode("utf-8", "surrogatepass"))
+        return h
+
+
+def _mixed(two: np.ndarray, near: np.ndarray, side: int) -> np.ndarray:
+    """Bit numbers of contexts from the hashes of their words."""
+    x = two * np.uint64(0x9E3779B97F4A7C15) + near * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(side)
+    return (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(42)
 
 
 def identifier_like(word: str) -> bool:
@@ -90,9 +102,8 @@ def identifier_like(word: str) -> bool:
 
 
 _SEED = T.StructType([
-    T.StructField("kind", T.StringType()), T.StructField("side", T.StringType()), T.StructField("near", T.StringType()),
-    T.StructField("context", T.StringType()), T.StructField("near_h", T.IntegerType()), T.StructField("context_h", T.IntegerType()),
-    T.StructField("instance", T.StringType()),
+    T.StructField("kind", T.StringType()), T.StructField("side", T.StringType()), T.StructField("context", T.StringType()),
+    T.StructField("bit", T.IntegerType()), T.StructField("instance", T.StringType()),
 ])
 _BASE = T.StructType([
     *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("spans", T.ArrayType(T.StringType())),
@@ -100,16 +111,10 @@ _BASE = T.StructType([
 ])
 
 
-def _context(side: str, words: list[str], at: int) -> tuple[str, str] | None:
-    """(near word, context) of a pattern whose slot is next to ``words[at]``."""
-    two = at - 1 if side == "L" else at + 1
-    if not (0 <= at < len(words) and 0 <= two < len(words)):
-        return None
-    near = words[at].lower()
-    return near, f"{words[two].lower()} {near}"
+_SIDES = (("L", -1), ("R", 1))
 
 
-def _seeds(text: str, spans: list[tuple[int, str, int]]) -> list[dict]:
+def _seeds(text: str, spans: list[tuple[int, str, int]], hashes: _Hashes) -> list[dict]:
     """Patterns around the spans: the two words before and the two after."""
     words, starts = [], []
     for m in _WORD.finditer(text):
@@ -118,30 +123,31 @@ def _seeds(text: str, spans: list[tuple[int, str, int]]) -> list[dict]:
     out = []
     first, last = np.searchsorted(starts, [s[0] for s in spans], side="right") - 1, np.searchsorted(starts, [s[2] for s in spans], side="left") - 1
     for (a, kind, b), i, j in zip(spans, first.tolist(), last.tolist()):
-        for side, at in (("L", i - 1), ("R", j + 1)):
-            if found := _context(side, words, at):
-                near, context = found
-                out.append({"kind": kind, "side": side, "near": near, "context": context, "near_h": _hash(side + near),
-                            "context_h": _hash(side + context), "instance": text[a:b]})
+        for n, (side, step) in enumerate(_SIDES):
+            near, two = (i - 1, i - 2) if step < 0 else (j + 1, j + 2)
+            if 0 <= two < len(words):
+                bit = _mixed(*(np.array([hashes[words[x]]], np.uint64) for x in (two, near)), n)
+                out.append({"kind": kind, "side": side, "context": f"{words[two].lower()} {words[near].lower()}", "bit": int(bit[0]), "instance": text[a:b]})
     return out
 
 
 @F.pandas_udf(_BASE)
 def _base(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    hashes = _Hashes()
     for texts in batches:
         rows = []
         for text in texts:
             spans = base_spans(text)
             counts = Counter(k for _, k, _ in spans)
             names = [f"{k}:{a}:{b}" for a, k, b in spans]
-            rows.append((*(counts[k] for k in KINDS), names, hashlib.sha256(",".join(names).encode()).hexdigest(), _seeds(text, spans) if spans else []))
+            rows.append((*(counts[k] for k in KINDS), names, hashlib.sha256(",".join(names).encode()).hexdigest(), _seeds(text, spans, hashes) if spans else []))
         yield pd.DataFrame(rows, columns=[f.name for f in _BASE.fields])
 
 
-def _bitmap(rows: DataFrame, column: str) -> bytes:
-    """The set of hashes as bits; of fixed size however many rows there are."""
-    words = rows.groupBy((F.col(column) / 32).cast("int").alias("at")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col(column) % 32).cast("int"))).alias("bits")
+def _bitmap(rows: DataFrame) -> bytes:
+    """The set of bit numbers, one bit each; of fixed size however many rows there are."""
+    words = rows.groupBy((F.col("bit") / 32).cast("int").alias("at")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 32).cast("int"))).alias("bits")
     ).collect()  # at most _BITS / 32
     out = np.zeros(_BITS // 32, np.uint32)
     for r in words:
@@ -149,60 +155,27 @@ def _bitmap(rows: DataFrame, column: str) -> bytes:
     return out.tobytes()
 
 
-_SLOTS = T.StructType([
-    T.StructField("counts", T.ArrayType(T.StructType([
-        T.StructField("side", T.StringType()), T.StructField("context", T.StringType()), T.StructField("n", T.LongType()),
-    ]))),
-    T.StructField("found", T.ArrayType(T.StructType([
-        T.StructField("side", T.StringType()), T.StructField("context", T.StringType()), T.StructField("instance", T.StringType()),
-        T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
-    ]))),
-])
-
-
-class _Bits:
-    """Membership in a bitmap, remembered per text; bounded memory."""
-
-    def __init__(self, bits: bytes):
-        self.bits, self.known = np.frombuffer(bits, np.uint32), {}
-
-    def __call__(self, text: str) -> bool:
-        hit = self.known.get(text)
-        if hit is None:
-            if len(self.known) >= _REMEMBERED:
-                self.known.clear()
-            h = _hash(text)
-            hit = self.known[text] = bool(int(self.bits[h // 32]) >> h % 32 & 1)
-        return hit
+#: A row tells how often a pattern occurred (``n``), or a place of an instance.
+_SLOTS = "key string, h long, side string, context string, n long, instance string, start int, end int"
+_COUNTED = 100_000
 
 
-class _Near(dict):
-    """Sides on which a word may be the near word of a pattern: 0 none, 1 L, 2 R, 3 both."""
-
-    def __init__(self, bits: _Bits):
-        super().__init__()
-        self.bits = bits
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        low = word.lower()
-        value = self[word] = self.bits("L" + low) + 2 * self.bits("R" + low)
-        return value
-
-
-def slots(text: str, near: _Near, contexts: _Bits) -> tuple[list[dict], list[dict]]:
-    """How often each pattern occurs, and the identifier-like words in slots that no base span covers."""
+def slots(text: str, hashes: _Hashes, wanted: np.ndarray, counts: Counter) -> list[tuple[str, str, str, int, int]]:
+    """Adds up in ``counts`` how often each wanted pattern occurs; returns the
+    identifier-like words in slots that no base span covers."""
     words = _WORD.findall(text)
-    counts: Counter = Counter()
+    if len(words) < 3:
+        return []
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     hits = []
-    for at, flag in enumerate(map(near.__getitem__, words)):
-        if flag:
-            for side, bit, slot in (("L", 1, at + 1), ("R", 2, at - 1)):
-                if flag & bit and 0 <= slot < len(words) and (c := _context(side, words, at)) and contexts(side + c[1]):
-                    counts[side, c[1]] += 1
-                    if identifier_like(words[slot]):
-                        hits.append((side, c[1], slot))
+    for n, (side, step) in enumerate(_SIDES):
+        outer, slot = (0, 2) if step < 0 else (2, 0)
+        two = h[:-2] if step < 0 else h[2:]
+        for at in np.nonzero(wanted[_mixed(two, h[1:-1], n)])[0].tolist():
+            context = f"{words[at + outer].lower()} {words[at + 1].lower()}"
+            counts[side, context] += 1
+            if identifier_like(words[at + slot]):
+                hits.append((side, context, at + slot))
     found = []
     if hits:
         places = [m.span() for m in _WORD.finditer(text)]
@@ -210,8 +183,8 @@ def slots(text: str, near: _Near, contexts: _Bits) -> tuple[list[dict], list[dic
         for side, context, slot in hits:
             a, b = places[slot]
             if not any(s < b and a < e for s, _, e in base):
-                found.append({"side": side, "context": context, "instance": words[slot], "start": a, "end": b})
-    return [{"side": s, "context": c, "n": n} for (s, c), n in counts.items()], found
+                found.append((side, context, words[slot], a, b))
+    return found
 
 
 def detect(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
@@ -219,24 +192,36 @@ def detect(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", support:
     rows = docs.select(F.col(doc_id).alias("id"), id_key(doc_id).alias("key"), F.xxhash64(whole(text)).alias("h"), whole(text).alias("text"))
     base = saved(rows.withColumn("r", _base("text")).select("id", "key", "h", "r.*"), "pii-base")
     seeds = base.select(F.explode("seeds").alias("s")).select("s.*")
+    on = ["side", "context"]
     patterns = saved(
-        seeds.groupBy("kind", "side", "near", "context", "near_h", "context_h", "instance").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("kind", "side", "near", "context", "near_h", "context_h").agg(F.count(F.lit(1)).alias("seeds"), F.sum("n").alias("hits"))
-        .filter(F.col("seeds") >= support), "pii-patterns",
+        seeds.groupBy("kind", *on, "bit", "instance").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("kind", *on, "bit").agg(F.count(F.lit(1)).alias("seeds"), F.sum("n").alias("hits")).filter(F.col("seeds") >= support), "pii-patterns",
     )
-    near, contexts = (docs.sparkSession.sparkContext.broadcast(_bitmap(patterns, c)) for c in ("near_h", "context_h"))
-
-    @F.pandas_udf(_SLOTS)
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words, pairs = _Near(_Bits(near.value)), _Bits(contexts.value)
-        for texts in batches:
-            yield pd.DataFrame([slots(t, words, pairs) for t in texts], columns=["counts", "found"])
-
-    seen = saved(rows.select("key", "h", scan("text").alias("r")).filter(F.size("r.counts") > 0).select("key", "h", "r.*"), "pii-slots")
-    on = ["side", "context"]
-    total = seen.select(F.explode("counts").alias("c")).select("c.*").groupBy(*on).agg(F.sum("n").alias("total"))
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(patterns))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, wanted = _Hashes(), np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").view(bool)
+        names = ["key", "h", "side", "context", "n", "instance", "start", "end"]
+        counts: Counter = Counter()
+
+        def counted() -> pd.DataFrame:
+            out = pd.DataFrame([(None, None, side, context, n, None, None, None) for (side, context), n in counts.items()], columns=names)
+            counts.clear()
+            return out
+
+        for batch in batches:
+            found = []
+            for key, h, text in zip(batch["key"], batch["h"], batch["text"]):
+                found += [(key, h, side, context, None, *place) for side, context, *place in slots(text, hashes, wanted, counts)]
+            yield pd.DataFrame(found, columns=names)
+            if len(counts) > _COUNTED:
+                yield counted()
+        yield counted()
+
+    seen = saved(rows.select("key", "h", "text").mapInPandas(scan, _SLOTS), "pii-slots")
+    total = seen.filter(F.col("instance").isNull()).groupBy(*on).agg(F.sum("n").alias("total"))
     known = saved(patterns.select("kind", *on, "hits").join(total, on), "pii-counted")
-    places = seen.select("key", "h", F.explode("found").alias("f")).select("key", "h", "f.*")
+    places = seen.filter(F.col("instance").isNotNull()).drop("n")
     edges = saved(
         places.groupBy(*on, "instance").agg(F.count(F.lit(1)).alias("n")).join(known.select("kind", *on), on), "pii-edges"
     )
