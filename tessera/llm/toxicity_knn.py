@@ -21,7 +21,6 @@ one document count as toxic if one is; repeated rows are scored alike.
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
@@ -79,11 +78,16 @@ class Scanner(dict):
 
 
 class BlockMaxIndex:
-    """Exact top-k by cosine over bounded examples."""
+    """Exact top-k by cosine over bounded examples. Examples with like weighty
+    terms stand next to each other, which keeps the bounds of blocks tight."""
 
     def __init__(self, ids: list[int], vectors: list[dict[int, float]], labels: list[int], block: int = _BLOCK):
-        order = sorted(range(len(ids)), key=lambda n: ids[n])
-        self.ids, self.labels, self.block = [ids[n] for n in order], [labels[n] for n in order], block
+        def weighty(n: int):
+            return [t for t, _ in sorted(vectors[n].items(), key=lambda e: (-e[1], e[0]))[:4]], ids[n]
+
+        order = sorted(range(len(ids)), key=weighty)
+        self.ids, self.labels, self.block = np.array([ids[n] for n in order], np.int64), [labels[n] for n in order], block
+        self.blocks = -(-len(order) // block)
         lists: dict[int, list[tuple[int, float]]] = {}
         for at, n in enumerate(order):
             for t, w in vectors[n].items():
@@ -91,36 +95,43 @@ class BlockMaxIndex:
         self.postings = {}
         for t, entries in lists.items():
             at, w = np.array([e[0] for e in entries]), np.array([e[1] for e in entries])
-            blocks, first = np.unique(at // block, return_index=True)
-            self.postings[t] = (at, w, blocks, np.append(first, len(at)), np.maximum.reduceat(w, first))
+            own, first = np.unique(at // block, return_index=True)
+            self.postings[t] = (at, w, at // block, own, np.maximum.reduceat(w, first))
 
     def search(self, vector: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
         """(similarity, position) of the k nearest with a similarity above 0."""
         lists = [(q, self.postings[t]) for t, q in sorted(vector.items()) if t in self.postings]
         if not lists:
             return []
-        blocks = np.unique(np.concatenate([p[2] for _, p in lists]))
-        bound = np.zeros(len(blocks))
+        bound = np.zeros(self.blocks)
         for q, p in lists:
-            bound[np.searchsorted(blocks, p[2])] += q * p[4]
-        best: list[tuple[float, int]] = []  # a heap of (similarity, -position)
-        for n in np.lexsort((blocks, -bound)):
-            if len(best) == k and bound[n] < best[0][0] - 1e-12:
-                break
-            sums = np.zeros(self.block)
-            for q, (at, w, own, first, _) in lists:
-                i = int(np.searchsorted(own, blocks[n]))
-                if i < len(own) and own[i] == blocks[n]:
-                    sums[at[first[i]:first[i + 1]] - blocks[n] * self.block] += q * w[first[i]:first[i + 1]]
-            for j in np.nonzero(sums)[0]:
-                at = int(blocks[n]) * self.block + int(j)
-                if at != skip:
-                    entry = (round(float(sums[j]), 12), -at)
-                    if len(best) < k:
-                        heapq.heappush(best, entry)
-                    elif entry > best[0]:
-                        heapq.heapreplace(best, entry)
-        return [(s, -at) for s, at in sorted(best, reverse=True)]
+            bound[p[3]] += q * p[4]
+
+        def scores(alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Positions and similarities within the blocks that are alive."""
+            at, value = [], []
+            for q, (where, w, own, _, _) in lists:
+                mask = alive[own]
+                at.append(where[mask])
+                value.append(q * w[mask])
+            sums = np.bincount(np.concatenate(at), np.concatenate(value))
+            found = np.nonzero(sums)[0]
+            found = found[found != skip]
+            return found, np.round(sums[found], 12)
+
+        alive = bound > 0
+        if self.blocks > 2:
+            best = np.zeros(self.blocks, bool)
+            best[np.argpartition(-bound, 1)[:2]] = True
+            _, first = scores(best & alive)
+            if len(first) >= k:  # no block below the k-th best of these can enter
+                alive &= bound >= np.partition(first, len(first) - k)[len(first) - k] - 1e-11
+        found, sums = scores(alive)
+        if len(found) > k:
+            enough = sums >= np.partition(sums, len(sums) - k)[len(sums) - k]
+            found, sums = found[enough], sums[enough]
+        top = np.lexsort((self.ids[found], -sums))[:k]
+        return list(zip(sums[top].tolist(), found[top].tolist()))
 
 
 class Model:
@@ -132,7 +143,7 @@ class Model:
         positive, all_empty = empty
         self.rate = positive / all_empty if all_empty else (sum(e[2] for e in examples) / len(examples) if examples else 0.0)
         by_id = {e[0]: e for e in examples}
-        votes = [(self._vote(self.index.search(self.vector(by_id[i][1]), k, skip=at)), self.index.labels[at]) for at, i in enumerate(self.index.ids)]
+        votes = [(self._vote(self.index.search(self.vector(by_id[i][1]), k, skip=at)), self.index.labels[at]) for at, i in enumerate(self.index.ids.tolist())]
         self.steps = _monotone([v for v in votes if v[0] is not None])
 
     def vector(self, terms: list[int]) -> dict[int, float]:
@@ -148,7 +159,7 @@ class Model:
         """Calibrated score and the neighbours as (doc_id, similarity, label)."""
         near = self.index.search(self.vector(terms), self.k)
         vote = self._vote(near)
-        evidence = [(self.index.ids[at], s, self.index.labels[at]) for s, at in near]
+        evidence = [(int(self.index.ids[at]), s, self.index.labels[at]) for s, at in near]
         if vote is None:
             return self.rate, evidence
         ends, levels = self.steps
