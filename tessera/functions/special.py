@@ -60,29 +60,45 @@ def student_t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def hypergeometric_tail(k: pd.Series, n_set: pd.Series, n_hits: pd.Series, universe: pd.Series) -> pd.Series:
     """P(X >= k) when drawing ``n_hits`` from ``universe`` with ``n_set`` marked."""
-    def tail(k, s, h, u):
-        logc = lambda n, r: math.lgamma(n + 1) - math.lgamma(r + 1) - math.lgamma(n - r + 1)
-        low = max(k, h + s - u, 0)
-        terms = [logc(s, x) + logc(u - s, h - x) - logc(u, h) for x in range(low, min(s, h) + 1)]
-        return min(1.0, math.fsum(math.exp(v) for v in terms))
-
-    return pd.Series([tail(*map(int, row)) for row in zip(k, n_set, n_hits, universe)], dtype=float)
+    k, s, h, u = (v.to_numpy(float) for v in (k, n_set, n_hits, universe))
+
+    def choose(n, r):
+        return _lgamma(n + 1) - _lgamma(r + 1) - _lgamma(n - r + 1)
+
+    x, last = np.maximum(np.maximum(k, h + s - u), 0), np.minimum(s, h)
+    live = x <= last
+    x = np.where(live, x, last)
+    term = choose(s, x) + choose(u - s, h - x) - choose(u, h)
+    total = np.where(live, np.exp(term), 0.0)
+    while True:  # each term from the one before, for all rows at once
+        live = x < last
+        if not live.any():
+            return pd.Series(np.minimum(total, 1.0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = (s - x) * (h - x) / ((x + 1) * (u - s - h + x + 1))
+            term = np.where(live, term + np.log(ratio), term)
+        total = total + np.where(live, np.exp(term), 0.0)
+        x = np.where(live, x + 1, x)
 
 
 def chi2_tail_even(x: Column, half_df: Column) -> Column:
     """Survival function of chi-square with an even number 2m of freedom:
-    exp(-x/2) * sum of (x/2)^k / k! for k < m; x may be infinite."""
+    the sum of exp(k ln(x/2) - x/2 - ln k!) for k < m; x may be infinite. The
+    largest exponent is taken out, so that neither end over- or underflows."""
     half = x / 2
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total"))
-    series = F.aggregate(
-        F.sequence(F.lit(1), half_df.cast("int")),
-        start,
-        lambda acc, k: F.struct(
-            (acc["term"] * half / k).alias("term"), (acc["total"] + acc["term"]).alias("total")
-        ),
-        lambda acc: acc["total"],
-    )
-    return F.when(x == float("inf"), 0.0).otherwise(F.exp(-half) * series)
+
+    def added(acc: Column, exponent: Column) -> list[Column]:
+        top = F.greatest(acc["top"], exponent)
+        return [top.alias("top"), (acc["sum"] * F.exp(acc["top"] - top) + F.exp(exponent - top)).alias("sum")]
+
+    def step(acc: Column, k: Column) -> Column:
+        exponent = acc["exponent"] + F.ln(half) - F.ln(k)
+        return F.struct(exponent.alias("exponent"), *added(acc, exponent))
+
+    start = F.struct((-half).alias("exponent"), (-half).alias("top"), F.lit(1.0).alias("sum"))
+    steps = F.filter(F.sequence(F.lit(0), half_df.cast("int") - 1), lambda k: k > 0)
+    tail = F.aggregate(steps, start, step, lambda acc: F.least(F.lit(1.0), F.exp(acc["top"] + F.ln(acc["sum"]))))
+    return F.when(x == float("inf"), 0.0).when(x <= 0, 1.0).otherwise(tail)
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))

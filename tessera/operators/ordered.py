@@ -1,9 +1,12 @@
 """Ordered scans that stay balanced when one group holds most of the rows.
 
-A plain window sorts a whole group in one task. Here the order axis is cut at
-quantiles into blocks, the window runs per (group, block), and the few block
-summaries carry the state across the cuts. A window partition then holds about
-1/n_blocks of all rows, whatever the group sizes are.
+A plain window sorts a whole group in one task. Here the rows are range
+partitioned along the order axis and written once; each range is a block. The
+window runs per (group, block), and one header row per (group, block) carries
+the state across the cuts, so no join is needed. The number of blocks is that
+of the range exchange: the session's shuffle partitions, merged by size by
+adaptive execution. Rows that tie on the first order column are split by the
+others.
 """
 
 from __future__ import annotations
@@ -13,118 +16,101 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-BLOCK = "_block"
-
-
-def _block_count(df: DataFrame) -> int:
-    return min(256, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-
-
-def cut_points(df: DataFrame, order: Column, n_blocks: int | None = None) -> list[float]:
-    """Quantiles of a numeric order key; a fixed small number of values."""
-    n_blocks = n_blocks or _block_count(df)
-    probs = [k / n_blocks for k in range(1, n_blocks)]
-    row = df.agg(F.percentile_approx(order.cast("double"), probs, 10_000).alias("cuts")).first()
-    return sorted(set(row["cuts"] or []))
-
+from tessera.session import cut_lineage
 
-def flipped(cuts: Sequence[float]) -> list[float]:
-    """The cuts of the opposite direction."""
-    return sorted(-c for c in cuts)
+BLOCK = "_block"
 
 
-def with_block(df: DataFrame, order: Column, cuts: Sequence[float]) -> DataFrame:
-    key = order.cast("double")
-    block = reduce(lambda acc, c: acc + (key > F.lit(c)).cast("int"), cuts, F.lit(0))
-    return df.withColumn(BLOCK, F.coalesce(block, F.lit(-1)))
+def blocked(df: DataFrame, order: Sequence[Column], n_blocks: int | None = None) -> DataFrame:
+    """``df`` cut into ranges along ``order`` (ascending, nulls first) and
+    written once. Several scans along the axis, or against it, may share it."""
+    spread = df.repartitionByRange(n_blocks, *order) if n_blocks else df.repartitionByRange(*order)
+    return cut_lineage(spread.withColumn(BLOCK, F.spark_partition_id()))
 
 
-def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join the columns of ``right`` to ``left`` by null-safe keys. Without
-    keys ``right`` is a single row of totals."""
-    renamed = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", null_safe: bool = False) -> DataFrame:
+    """Join the columns of ``right`` to ``left``. Plain equality keeps a
+    partitioning by the keys in use; rows whose keys may be null need
+    ``null_safe``. Without keys ``right`` must be a single row of totals, which
+    is asserted."""
     if not keys:
-        return left.crossJoin(F.broadcast(renamed))
-    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    return left.join(renamed, match, how).drop(*[f"_k_{k}" for k in keys])
+        totals = right.agg(F.count(F.lit(1)).alias("_rows"), F.first(F.struct(*right.columns)).alias("_total"))
+        one = F.when(F.col("_rows") > 1, F.raise_error(F.lit("expected a single row of totals")).cast(totals.schema["_total"].dataType)).otherwise(F.col("_total"))
+        return left.crossJoin(F.broadcast(totals.select(one.alias("_total")).select("_total.*")))
+    renamed = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    if null_safe:
+        same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    else:
+        same = [F.col(k) == F.col(f"_k_{k}") for k in keys]
+    return left.join(renamed, reduce(lambda a, b: a & b, same), how).drop(*[f"_k_{k}" for k in keys])
 
 
 def scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    outputs: dict[str, tuple[str, Column | None]],
+    outputs: dict[str, tuple],
     n_blocks: int | None = None,
-    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Add running columns over ``order`` (ascending, first column numeric) per ``keys``.
+    """Add running columns over ``order`` (ascending, nulls first) per ``keys``.
 
     ``outputs`` maps a new column to ``(kind, value)`` with kind one of
     ``count`` (1-based position), ``sum``, ``min``, ``max``, ``last`` (latest
-    non-null value) and ``lag`` (previous row's value). The first order column
-    should be close to unique, as rows that tie on it share a block.
-
-    Finding the cuts is a job of its own. A chain of scans along one axis can
-    pass ``cuts`` found once on its input; any cuts give the same result.
+    non-null value) and ``lag`` (previous row's value); a third member
+    ``"back"`` runs from the other end. Everything asked for comes from one
+    pass. A frame from ``blocked`` along the same order keeps its blocks.
     """
-    if cuts is None:
-        cuts = cut_points(df, order[0], n_blocks)
-    blocked = with_block(df, order[0], cuts)
-    keys = list(keys)
-    local = W.partitionBy(*keys, BLOCK).orderBy(*order)
-    upto = local.rowsBetween(W.unboundedPreceding, 0)
-    position = F.row_number().over(local).cast("long")
-    place = F.struct(*[o.alias(f"o{n}") for n, o in enumerate(order)])
-
-    running, summary = {"_pos": position}, []
-    for name, (kind, value) in outputs.items():
-        if kind == "count":
-            running[name] = position
-            summary.append(F.count(F.lit(1)).alias(name))
-        elif kind in ("sum", "min", "max"):
-            agg = getattr(F, kind)
-            running[name] = agg(value).over(upto)
-            summary.append(agg(value).alias(name))
+    keys, shared = list(keys), BLOCK in df.columns
+    body = df if shared else blocked(df, order, n_blocks)
+    spec = {name: (out[0], out[1], len(out) > 2 and out[2] == "back") for name, out in outputs.items()}
+    places = [f"_o{n}" for n in range(len(order))]
+    forward = [F.col(p).asc_nulls_first() for p in places]
+    backward = [F.col(p).desc_nulls_last() for p in places]
+    given = {f"_v_{name}": (F.lit(1).cast("long") if kind == "count" else value) for name, (kind, value, _) in spec.items()}
+    body = body.withColumns(given | dict(zip(places, order)))
+    place = F.struct(*places)
+
+    # what a block adds to the state, and the state that reaches each block
+    adds, carried = [], []
+    across = W.partitionBy(*keys)
+    for name, (kind, _, back) in spec.items():
+        value = F.col(f"_v_{name}")
+        pick = F.min_by if back else F.max_by
+        before = across.orderBy(F.col(BLOCK).desc() if back else F.col(BLOCK)).rowsBetween(W.unboundedPreceding, -1)
+        if kind in ("count", "sum"):
+            adds.append(F.sum(value).alias(name))
+            carried.append(F.sum(name).over(before))
+        elif kind in ("min", "max"):
+            adds.append(getattr(F, kind)(value).alias(name))
+            carried.append(getattr(F, kind)(name).over(before))
         elif kind == "last":
-            running[name] = F.last(value, ignorenulls=True).over(upto)
-            summary.append(F.max_by(value, F.when(value.isNotNull(), place)).alias(name))
+            adds.append(pick(value, F.when(value.isNotNull(), place)).alias(name))
+            carried.append(F.last(name, ignorenulls=True).over(before))
         elif kind == "lag":
-            running[name] = F.lag(value, 1).over(local)
-            summary.append(F.max_by(value, place).alias(name))
+            adds.append(pick(value, place).alias(name))
+            carried.append(F.last(name).over(before))
         else:
             raise ValueError(f"unknown scan kind: {kind}")
-
-    across = W.partitionBy(*keys).orderBy(BLOCK)
-    earlier = across.rowsBetween(W.unboundedPreceding, -1)
-    carried = []
-    for name, (kind, _) in outputs.items():
+    states = body.groupBy(*keys, BLOCK).agg(*adds)
+    headers = states.select(
+        *keys, BLOCK, *[c.cast(body.schema[f"_v_{n}"].dataType).alias(f"_v_{n}") for n, c in zip(spec, carried)], F.lit(True).alias("_head")
+    )
+    both = body.withColumn("_head", F.lit(False)).unionByName(headers, allowMissingColumns=True)
+
+    first = F.col("_head").desc()
+    running = {}
+    for name, (kind, _, back) in spec.items():
+        value = F.col(f"_v_{name}")
+        local = W.partitionBy(*keys, BLOCK).orderBy(first, *(backward if back else forward))
+        upto = local.rowsBetween(W.unboundedPreceding, 0)
         if kind in ("count", "sum"):
-            col = F.sum(name).over(earlier)
+            running[name] = F.sum(value).over(upto)
         elif kind in ("min", "max"):
-            col = getattr(F, kind)(name).over(earlier)
+            running[name] = getattr(F, kind)(value).over(upto)
         elif kind == "last":
-            col = F.last(name, ignorenulls=True).over(earlier)
-        else:
-            col = F.lag(name, 1).over(across)
-        carried.append(col.alias(f"_c_{name}"))
-    states = blocked.groupBy(*keys, BLOCK).agg(*summary).select(*keys, BLOCK, *carried)
-
-    body = blocked.withColumns(running)
-    joined = attach(body, states, [*keys, BLOCK], "left")
-    final = {}
-    for name, (kind, _) in outputs.items():
-        here, before = F.col(name), F.col(f"_c_{name}")
-        if kind == "count":
-            final[name] = here + F.coalesce(before, F.lit(0))
-        elif kind == "sum":
-            final[name] = F.when(before.isNull(), here).when(here.isNull(), before).otherwise(here + before)
-        elif kind == "min":
-            final[name] = F.least(here, before)
-        elif kind == "max":
-            final[name] = F.greatest(here, before)
-        elif kind == "last":
-            final[name] = F.coalesce(here, before)
+            running[name] = F.last(value, ignorenulls=True).over(upto)
         else:
-            final[name] = F.when(F.col("_pos") == 1, before).otherwise(here)
+            running[name] = F.lag(value, 1).over(local)
     kept = [c for c in df.columns if c not in outputs]
-    return joined.select(*kept, *[c.alias(n) for n, c in final.items()])
+    ran = both.select(*kept, *([] if shared else [BLOCK]), "_head", *[c.alias(n) for n, c in running.items()])
+    return ran.filter(~F.col("_head")).select(*kept, *outputs)

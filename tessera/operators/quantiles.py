@@ -1,93 +1,41 @@
 """Exact grouped quantiles (linear interpolation) for groups of any size.
 
-Small groups use Spark's exact ``percentile``. That aggregate keeps a whole
-group's values in one task, so when a group is larger than ``limit`` rows a
-mergeable sketch first brackets each wanted rank and only the rows inside the
-brackets are ranked; the result is the same number.
+Equal values are counted first; an ordered scan gives every distinct value the
+ranks it covers, and the wanted ranks are picked from those. No task holds a
+whole group. Values of a bounded kind, such as 16-bit intensities, may use
+Spark's exact aggregate, which keeps one count per distinct value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.operators.ordered import attach
+from tessera.operators.ordered import scan
 
-GROUP_LIMIT = 2_000_000
-SKETCH_ACCURACY = 10_000
 
+def quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: Sequence[float], out: str = "q", bounded: bool = False) -> DataFrame:
+    """One row per group with ``out`` = array of quantiles; nulls are ignored,
+    and a group without values has none.
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
-
-
-def quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: Column,
-    probs: Sequence[float],
-    out: str = "q",
-    limit: int | None = GROUP_LIMIT,
-) -> DataFrame:
-    """One row per group with ``out`` = array of quantiles; nulls are ignored.
-
-    ``limit=None`` skips the size check. It is for values of a bounded kind,
-    such as 16-bit intensities: the exact aggregate keeps one count per
-    distinct value, however many rows a group has.
+    ``bounded`` is for values of which only a small, fixed number are distinct.
     """
     keys = list(keys)
     rows = df.select(*keys, value.cast("double").alias("_v"))
-    if limit is None or largest_group(rows, keys) <= limit:
+    if bounded:
         return rows.groupBy(*keys).agg(F.percentile("_v", F.array(*map(F.lit, probs))).alias(out))
-    return bracketed_quantiles(rows, keys, probs, out)
+    counts = rows.groupBy(*keys, "_v").agg(F.count("_v").alias("_c"))
+    run = scan(counts, keys, [F.col("_v")], {"_upto": ("sum", F.col("_c")), "_down": ("sum", F.col("_c"), "back")})
+    last = F.col("_upto")
+    first, n = last - F.col("_c"), F.col("_upto") + F.col("_down") - F.col("_c")
+    picks = []
+    for p in probs:
+        at = (n - 1) * F.lit(float(p))
 
+        def hit(rank: Column) -> Column:
+            return F.max(F.when((first <= rank) & (rank < last), F.col("_v")))
 
-def bracketed_quantiles(
-    rows: DataFrame, keys: Sequence[str], probs: Sequence[float], out: str,
-    accuracy: int = SKETCH_ACCURACY,
-) -> DataFrame:
-    keys = list(keys)
-    # merged sketches stay within 2/accuracy of the wanted rank; a group that is
-    # small against the accuracy is ranked as a whole
-    margin = 5.0 / accuracy
-    small = F.col("_n") <= 10 * accuracy
-    bounds = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
-    sketch = (
-        rows.filter(F.col("_v").isNotNull()).groupBy(*keys)
-        .agg(F.percentile_approx("_v", bounds, accuracy).alias("_b"), F.count("_v").alias("_n"))
-    )
-    k = len(probs)
-    brackets = sketch.select(
-        *keys, "_n",
-        *[(F.lit(float("-inf")) if p <= margin else F.when(small, float("-inf")).otherwise(F.col("_b")[n])).alias(f"_lo{n}") for n, p in enumerate(probs)],
-        *[(F.lit(float("inf")) if p >= 1 - margin else F.when(small, float("inf")).otherwise(F.col("_b")[k + n])).alias(f"_hi{n}") for n, p in enumerate(probs)],
-    )
-    near = rows.filter(F.col("_v").isNotNull())
-    near = attach(near, brackets, keys)
-    below = near.groupBy(*keys).agg(
-        *[F.sum((F.col("_v") < F.col(f"_lo{n}")).cast("long")).alias(f"_below{n}") for n in range(k)],
-        F.first("_n").alias("_n"),
-    )
-    inside = (
-        near.select(*keys, "_v", F.explode(F.array(*[
-            F.when(F.col("_v").between(F.col(f"_lo{n}"), F.col(f"_hi{n}")), F.lit(n)) for n in range(k)
-        ])).alias("_p"))
-        .filter(F.col("_p").isNotNull())
-        .groupBy(*keys, "_p", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    )
-    order = W.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = inside.withColumn("_upto", F.sum("_c").over(order))
-    tagged = attach(ranked, below, keys)
-    picks = []
-    for n, p in enumerate(probs):
-        at = (F.col("_n") - 1) * F.lit(float(p))
-        first, last = F.col(f"_below{n}") + F.col("_upto") - F.col("_c"), F.col(f"_below{n}") + F.col("_upto")
-        mine = F.col("_p") == n
-        hit = lambda r: F.max(F.when(mine & (first <= r) & (r < last), F.col("_v")))
         lo, hi = hit(F.floor(at)), hit(F.ceil(at))
-        frac = F.max(at - F.floor(at))
-        missed = F.raise_error(F.lit("quantile rank fell outside its bracket"))
-        picks.append(F.when(lo.isNull() | hi.isNull(), missed.cast("double")).otherwise(lo + (hi - lo) * frac))
-    return tagged.groupBy(*keys).agg(F.array(*picks).alias(out))
+        picks.append(lo + (hi - lo) * F.max(at - F.floor(at)))
+    return run.groupBy(*keys).agg(F.when(F.max(n) > 0, F.array(*picks)).alias(out))

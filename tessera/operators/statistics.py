@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.special import chi2_tail_even, hypergeometric_tail, student_t_two_sided
 from tessera.operators import ordered
@@ -35,7 +35,7 @@ def t_test_to_control(
     keys = list(keys)
     groups = _moments(df, [*keys, group], value, "1")
     ctrl = _moments(df.filter(control), keys, value, "2")
-    both = attach(groups, ctrl, keys, "left")
+    both = attach(groups, ctrl, keys, "left", null_safe=True)
     t, dof = t_test(*[F.col(c) for c in ("n1", "mean1", "var1", "n2", "mean2", "var2")])
     enough = (F.col("n1") >= min_n) & (F.col("n2") >= min_n)
     out = both.select(
@@ -49,33 +49,29 @@ def adjust_pvalues(df: DataFrame, p: str, keys: Sequence[str] = (), bh: str | No
     """Benjamini-Hochberg and/or Holm-Sidak adjusted p-values per family.
 
     Works on the distinct p-values with their counts, so ties are cheap and
-    the scans stay balanced; null p-values are not counted and stay null.
+    the scans stay balanced; null and NaN p-values are not counted and get null.
     """
-    keys = list(keys)
-    cuts = ordered.cut_points(df, F.col(p))
-    tied = df.filter(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_c"))
-    total = tied.groupBy(*keys).agg(F.sum("_c").alias("_m"))
-    ranked = attach(scan(tied, keys, [F.col(p)], {"_upto": ("sum", F.col("_c"))}, cuts=cuts), total, keys)
-    adjusted = ranked
+    keys, v = list(keys), F.col(p)
+    tied = df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_c"))
+    tied = scan(ordered.blocked(tied, [v]), keys, [v], {"_upto": ("sum", F.col("_c")), "_down": ("sum", F.col("_c"), "back")})
+    # of _m values, _upto are at or below this one and _down at or above
+    step_up = v * (F.col("_upto") + F.col("_down") - F.col("_c")) / F.col("_upto")
+    step_down = F.when(v >= 1, F.lit(1.0)).otherwise(-F.expm1(F.col("_down") * F.log1p(-v)))
+    wanted = {}
     if bh:
-        raw = F.col(p) * F.col("_m") / F.col("_upto")
-        adjusted = scan(adjusted.withColumn("_raw", raw), keys, [-F.col(p)], {"_bh": ("min", F.col("_raw"))}, cuts=ordered.flipped(cuts))
-        adjusted = adjusted.withColumn(bh, F.least(F.col("_bh"), F.lit(1.0)))
+        wanted[bh] = ("min", step_up, "back")
     if holm_sidak:
-        first = F.col("_upto") - F.col("_c") + 1
-        raw = -F.expm1((F.col("_m") - first + 1) * F.log1p(-F.col(p)))
-        raw = F.when(F.col(p) >= 1, F.lit(1.0)).otherwise(raw)
-        adjusted = scan(adjusted.withColumn("_raw", raw), keys, [F.col(p)], {"_hs": ("max", F.col("_raw"))}, cuts=cuts)
-        adjusted = adjusted.withColumn(holm_sidak, F.least(F.col("_hs"), F.lit(1.0)))
-    new = [c for c in (bh, holm_sidak) if c]
-    return attach(df, adjusted.select(*keys, p, *new), [*keys, p], "left")
+        wanted[holm_sidak] = ("max", step_down)
+    ran = scan(tied, keys, [v], wanted)
+    return attach(df, ran.select(*keys, p, *[F.least(F.col(c), F.lit(1.0)).alias(c) for c in wanted]), [*keys, p], "left", null_safe=bool(keys))
 
 
 def fisher_combine(df: DataFrame, group: str, p: str) -> DataFrame:
     """-2 sum(ln p) per group and its chi-square tail; p = 0 gives infinity."""
-    log_p = F.when(F.col(p) > 0, F.ln(F.when(F.col(p) > 0, F.col(p)))).when(F.col(p) == 0, float("-inf"))
+    known = F.nanvl(F.col(p).cast("double"), F.lit(None).cast("double"))
+    log_p = F.when(known > 0, F.ln(F.when(known > 0, known))).when(known == 0, float("-inf"))
     # a guide without a p-value leaves its gene undefined
-    complete = F.count(p) == F.count(F.lit(1))
+    complete = F.count(known) == F.count(F.lit(1))
     chi = F.when(complete, F.lit(-2.0) * F.sum(log_p))
     g = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_sg"), chi.alias("fisher_combined_chi"))
     return g.withColumn("pval", chi2_tail_even(F.col("fisher_combined_chi"), F.col("n_sg")))
@@ -94,37 +90,35 @@ def _bin(value: Column, low: float, high: float, nbins: int) -> Column:
     return F.when((value >= low) & (value <= high), F.least(at, F.lit(nbins - 1)))
 
 
-def _cdf_sums(df: DataFrame, keys, feature, low, high, nbins):
-    """The trapezoid parts of a binned CDF. The sum over bins of the CDF is the
-    sum over values of (nbins - bin), so no per-bin table is needed."""
-    b = _bin(F.col(feature), low, high, nbins)
-    n = F.count(F.lit(1))
-    return df.groupBy(*keys).agg(
-        (F.coalesce(F.sum(F.lit(nbins) - b), F.lit(0)) / n).alias("area"),
-        (F.sum((F.coalesce(b, F.lit(-1)) == 0).cast("int")) / n).alias("head"),
-        (F.count(b) / n).alias("tail"),
+def _cdf_sums(counts: DataFrame, keys, nbins):
+    """The trapezoid parts of a binned CDF from (_bin, _n). The sum over bins of
+    the CDF is the sum over values of (nbins - bin), so no per-bin table is needed."""
+    b, n = F.col("_bin"), F.sum("_n")
+    return counts.groupBy(*keys).agg(
+        (F.coalesce(F.sum((F.lit(nbins) - b) * F.col("_n")), F.lit(0)) / n).alias("area"),
+        (F.sum(F.when(F.coalesce(b, F.lit(-1)) == 0, F.col("_n")).otherwise(0)) / n).alias("head"),
+        (F.coalesce(F.sum(F.when(b.isNotNull(), F.col("_n"))), F.lit(0)) / n).alias("tail"),
     )
 
 
-def delta_auc(
-    df: DataFrame, keys: Sequence[str], feature: str, control: DataFrame, low: float, high: float, nbins: int = 50
-) -> DataFrame:
-    """Area between the control CDF and each group's CDF on ``nbins`` bins.
-
-    Values outside the range only count in the denominator.
-    """
-    groups = _cdf_sums(df, keys, feature, low, high, nbins)
-    ctrl = _cdf_sums(control, [], feature, low, high, nbins).withColumnsRenamed(
-        {"area": "c_area", "head": "c_head", "tail": "c_tail"})
+def _areas(counts: DataFrame, keys, feature: str, control: Column, nbins: int) -> DataFrame:
+    groups = _cdf_sums(counts, keys, nbins)
+    ctrl = _cdf_sums(counts.filter(control), [], nbins).withColumnsRenamed({"area": "c_area", "head": "c_head", "tail": "c_tail"})
     area = F.col("c_area") - F.col("area")
     ends = (F.col("c_head") - F.col("head")) + (F.col("c_tail") - F.col("tail"))
     return attach(groups, ctrl, []).select(*keys, ((area - ends / 2) / nbins).alias(feature))
 
 
-def control_sample(df: DataFrame, guide: str, guides: Sequence[str], n: int, ids: Sequence[str], seed: int = 0) -> DataFrame:
-    """Up to n rows per control guide, chosen by a seeded hash of the ids."""
-    place = F.row_number().over(W.partitionBy(guide).orderBy(F.xxhash64(*ids, F.lit(seed)), *ids))
-    return df.filter(F.col(guide).isin(*guides)).withColumn("_n", place).filter(F.col("_n") <= n).drop("_n")
+def delta_auc(
+    df: DataFrame, keys: Sequence[str], feature: str, control: Column, low: float, high: float, nbins: int = 50
+) -> DataFrame:
+    """Area between the control rows' CDF and each group's CDF on ``nbins`` bins.
+
+    Values outside the range only count in the denominator.
+    """
+    counts = df.withColumns({"_bin": _bin(F.col(feature), low, high, nbins), "_control": control}).groupBy(*keys, "_bin", "_control").agg(
+        F.count(F.lit(1)).alias("_n"))
+    return _areas(cut_lineage(counts), keys, feature, F.col("_control"), nbins)
 
 
 def stars(adjusted: Column, raw: Column, alpha: float) -> Column:
@@ -145,22 +139,23 @@ def gene_statistics(
     value_range: tuple[float, float] | None = None,
     genes: Sequence[str] | None = None,
     gate: Column | None = None,
-    sample_size: int = 3000,
-    ids: Sequence[str] = ("cell",),
 ) -> tuple[DataFrame, DataFrame]:
     """Per-guide CDF areas and per-gene significance of a screen feature.
 
     ``cells`` has gene, sgRNA (``<gene>_<n>``), rep and the feature. Each
     guide's replicate areas are tested against the control gene's, guides are
-    combined per gene and the genes adjusted together.
+    combined per gene and the genes adjusted together. The control curve uses
+    every cell of the control guides. Cells are counted once per (gene, guide,
+    rep, bin); range, curve and areas come from these counts.
     """
     if genes is not None:
         cells = cells.filter(F.col("gene").isin(*genes))
     if gate is not None:
         cells = cells.filter(gate)
     low, high = value_range or auto_range(cells, feature)
-    control = control_sample(cells, "sgRNA", control_guides, sample_size, ids)
-    aucs = delta_auc(cells, ["gene", "sgRNA", "rep"], feature, control, low, high, nbins)
+    counts = cut_lineage(cells.withColumn("_bin", _bin(F.col(feature), low, high, nbins)).groupBy("gene", "sgRNA", "rep", "_bin").agg(
+        F.count(F.lit(1)).alias("_n")))
+    aucs = _areas(counts, ["gene", "sgRNA", "rep"], feature, F.col("sgRNA").isin(*control_guides), nbins)
     aucs = aucs.withColumn("sgRNA_num", F.concat(F.lit("sg"), F.split("sgRNA", "_")[1]))
     tested = t_test_to_control(aucs, "sgRNA", feature, F.col("gene") == control_gene, min_n=1)
     tested = tested.withColumn("gene", F.split("sgRNA", "_")[0])
@@ -183,39 +178,34 @@ def wasserstein_to_control(df: DataFrame, group: str, value: str, control: Colum
     rows = df.select(group, v.alias("v")).filter(F.col("v").isNotNull())
     ctrl = df.filter(control).select(v.alias("v")).filter(F.col("v").isNotNull())
 
-    cuts = ordered.cut_points(rows, F.col("v"))
-    down = ordered.flipped(cuts)
-
     # control: distinct value, rows up to it, integral of the CDF up to it
     c = ctrl.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     size = c.agg(F.sum("n").alias("nc"), F.max("v").alias("vmax"))
-    c = scan(c, [], [F.col("v")], {"upto": ("sum", F.col("n")), "pv": ("lag", F.col("v"))}, cuts=cuts)
+    c = scan(ordered.blocked(c, [F.col("v")]), [], [F.col("v")], {"upto": ("sum", F.col("n")), "pv": ("lag", F.col("v"))})
     c = attach(c, size, [])
     before = (F.col("upto") - F.col("n")) / F.col("nc")
     step = F.coalesce(before * (F.col("v") - F.col("pv")), F.lit(0.0))
-    c = scan(c.withColumn("step", step), [], [F.col("v")], {"area": ("sum", F.col("step"))}, cuts=cuts)
+    c = scan(c.withColumn("step", step), [], [F.col("v")], {"area": ("sum", F.col("step"))})
     c = cut_lineage(c.select("v", "upto", "nc", "vmax", "area"))
 
     # groups: distinct value, rows up to it, the next value
     g = rows.groupBy(group, "v").agg(F.count(F.lit(1)).alias("n"))
-    sizes = g.groupBy(group).agg(F.sum("n").alias("m"))
-    g = scan(g, [group], [F.col("v")], {"k": ("sum", F.col("n"))}, cuts=cuts)
-    g = scan(g, [group], [-F.col("v")], {"next": ("lag", F.col("v"))}, cuts=down)
-    g = attach(attach(g, sizes, [group]), size, [])
+    g = scan(g, [group], [F.col("v")], {
+        "k": ("sum", F.col("n")), "above": ("sum", F.col("n"), "back"), "next": ("lag", F.col("v"), "back")})
+    g = attach(g.withColumn("m", F.col("k") + F.col("above") - F.col("n")).drop("above"), size, [])
 
     # integral of the control CDF at the group's values
     knot = F.struct(F.col("v").alias("at"), (F.col("upto") / F.col("nc")).alias("f"), F.col("area").alias("area"))
-    here = _lookup(g, c.select(F.col("v").alias("_x"), knot.alias("_knot")), "v", "knot", True, cuts)
+    here = _lookup(g, c.select(F.col("v").alias("_x"), knot.alias("_knot")), "v", "knot", True)
     area_at = lambda col: F.coalesce(F.col("knot.area") + F.col("knot.f") * (F.col(col) - F.col("knot.at")), F.lit(0.0))
     here = here.withColumn("area_v", area_at("v")).drop("knot")
     # the next value's integral is the next row's own one
-    here = scan(here, [group], [-F.col("v")], {"area_next": ("lag", F.col("area_v"))}, cuts=down)
-    here = cut_lineage(here)
+    here = cut_lineage(scan(here, [group], [F.col("v")], {"area_next": ("lag", F.col("area_v"), "back")}))
     # where the control CDF first reaches the level k/m
     here = here.withColumn("level", F.expr(
         "cast((cast(k AS decimal(19, 0)) * cast(nc AS decimal(19, 0)) + m - 1) div m AS bigint)"))
     cross = c.select(F.col("upto").alias("_x"), F.struct(F.col("v").alias("at"), F.col("area").alias("area")).alias("_knot"))
-    here = _lookup(here, cross, "level", "cross", False, ordered.flipped(ordered.cut_points(c, F.col("upto"))))
+    here = _lookup(here, cross, "level", "cross", False)
 
     level = F.col("k") / F.col("m")
     s = F.greatest(F.col("v"), F.least(F.col("next"), F.col("cross.at")))
@@ -231,14 +221,14 @@ def wasserstein_to_control(df: DataFrame, group: str, value: str, control: Colum
     return here.groupBy(group).agg(F.sum(total).alias("distance"))
 
 
-def _lookup(df: DataFrame, knots: DataFrame, at: str, out: str, backward: bool, cuts: Sequence[float]) -> DataFrame:
+def _lookup(df: DataFrame, knots: DataFrame, at: str, out: str, backward: bool) -> DataFrame:
     """The knot at or before (or at or after) each row's ``at``, by one ordered
     scan over the union of rows and knots."""
     rows = df.select(F.col(at).cast("double").alias("_x"), F.lit(1 if backward else 0).alias("_side"), F.struct(*df.columns).alias("_row"))
     marks = knots.select(F.col("_x").cast("double").alias("_x"), F.lit(0 if backward else 1).alias("_side"), "_knot")
     both = rows.unionByName(marks, allowMissingColumns=True)
-    order = [F.col("_x"), F.col("_side")] if backward else [-F.col("_x"), -F.col("_side")]
-    found = scan(both, [], order, {out: ("last", F.col("_knot"))}, cuts=cuts).filter(F.col("_row").isNotNull())
+    last = ("last", F.col("_knot")) if backward else ("last", F.col("_knot"), "back")
+    found = scan(both, [], [F.col("_x"), F.col("_side")], {out: last}).filter(F.col("_row").isNotNull())
     return found.select(*[F.col("_row")[c].alias(c) for c in df.columns], out)
 
 
@@ -256,9 +246,8 @@ def pearson(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFram
 def ecdf(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct values per group with the share of rows at or below them."""
     c = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    total = c.groupBy(*keys).agg(F.sum("_n").alias("_t"))
-    run = attach(scan(c, keys, [F.col(value)], {"_u": ("sum", F.col("_n"))}), total, list(keys))
-    return run.select(*keys, value, (F.col("_u") / F.col("_t")).alias("ecdf"))
+    run = scan(c, keys, [F.col(value)], {"_u": ("sum", F.col("_n")), "_d": ("sum", F.col("_n"), "back")})
+    return run.select(*keys, value, (F.col("_u") / (F.col("_u") + F.col("_d") - F.col("_n"))).alias("ecdf"))
 
 
 def over_representation(

@@ -135,7 +135,7 @@ def reduce_groups(
             extra = ranked.filter(F.col("_at") == 2).select(*keys, col.alias(n))
         else:
             continue
-        result = ordered.attach(result, extra, keys, "left")
+        result = ordered.attach(result, extra, keys, "left", null_safe=True)
     return result.select(*keys, *wanted)
 
 
@@ -230,16 +230,14 @@ def interpolate(df: DataFrame, keys: Sequence[str], order: Sequence[Column], col
     """Linear in row position between known values; trailing gaps repeat the
     last value, leading gaps stay null. The order columns are numbers without
     gaps (nulls) and unique per group."""
-    cuts = ordered.cut_points(df, order[0])
-    placed = ordered.scan(df, keys, order, {"_at": ("count", None)}, cuts=cuts)
+    placed = ordered.scan(ordered.blocked(df, order), keys, order, {"_at": ("count", None)})
     known = F.when(F.col(col).isNotNull(), F.struct(F.col("_at").alias("at"), F.col(col).alias("v")))
     placed = placed.withColumn("_known", known)
-    back = ordered.scan(placed, keys, order, {"_prev": ("last", F.col("_known"))}, cuts=cuts)
-    both = ordered.scan(back, keys, [-o for o in order], {"_next": ("last", F.col("_known"))}, cuts=ordered.flipped(cuts))
+    both = ordered.scan(placed, keys, order, {"_prev": ("last", F.col("_known")), "_next": ("last", F.col("_known"), "back")})
     p, n = F.col("_prev"), F.col("_next")
     slope = (n["v"] - p["v"]) / F.nullif(n["at"] - p["at"], F.lit(0))
     value = F.coalesce(F.col(col), p["v"] + slope * (F.col("_at") - p["at"]), p["v"])
-    return both.withColumn(col, value).drop("_at", "_known", "_prev", "_next")
+    return both.withColumn(col, value).drop("_at", "_known", "_prev", "_next", ordered.BLOCK)
 
 
 def displacement(df: DataFrame, keys: Sequence[str], order: Sequence[Column], x: str, y: str, out: str) -> DataFrame:
@@ -252,7 +250,7 @@ def zscore(df: DataFrame, keys: Sequence[str], value: str, out: str, ddof: int =
     """(x - mean) / sd per group, with the moments aggregated before the join."""
     sd = F.stddev_samp if ddof else F.stddev_pop
     moments = df.groupBy(*keys).agg(F.avg(value).alias("_m"), sd(value).alias("_s"))
-    joined = ordered.attach(df, moments, keys)
+    joined = ordered.attach(df, moments, keys, null_safe=True)
     return joined.withColumn(out, (F.col(value) - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))).drop("_m", "_s")
 
 

@@ -53,8 +53,7 @@ NT = ["nontargeting_0", "nontargeting_1"]
 
 
 def barplot(t):
-    # every control cell is used, so that the result does not depend on a sample
-    return S.gene_statistics(screen_cells(t), "x", NT, sample_size=10**9)
+    return S.gene_statistics(screen_cells(t), "x", NT)
 
 
 @query("delta_auc", f"WITH {AUCS} SELECT gene, sgRNA, rep, round(x, 6) AS x, 'sg' || split_part(sgRNA, '_', 2) AS sgRNA_num FROM aucs")
@@ -142,6 +141,17 @@ def _(t):
     return d.withColumns({"fisher_combined_chi": r("fisher_combined_chi", 5), "pval": r("pval", 6)})
 
 
+# thousands of p-values per group: the tail must not over- or underflow
+@query("fisher_combine_large", f"""
+WITH p AS (SELECT l_returnflag AS gene, ((l_orderkey * 7919 + l_linenumber) % 997 + 1) / 1000.0::DOUBLE AS p FROM lineitem),
+f AS (SELECT gene, count(*) AS n_sg, -2 * sum(ln(p)) AS chi FROM p GROUP BY 1)
+SELECT gene, n_sg, round(chi, 3) AS fisher_combined_chi, round({chi2_even('chi', 'n_sg')}, 6) AS pval FROM f""")
+def _(t):
+    p = t.lineitem.select(F.col("l_returnflag").alias("gene"), (((F.col("l_orderkey") * 7919 + F.col("l_linenumber")) % 997 + 1) / F.lit(1000.0)).alias("p"))
+    d = S.fisher_combine(p, "gene", "p")
+    return d.withColumns({"fisher_combined_chi": r("fisher_combined_chi", 3), "pval": r("pval", 6)})
+
+
 @query("wasserstein_to_control", """
 WITH c AS (SELECT value AS v FROM events WHERE event_type = 'view'), x AS (SELECT event_type AS g, value AS v FROM events),
 pts AS (SELECT DISTINCT g, v FROM (SELECT g, v FROM x UNION ALL SELECT DISTINCT x.g, c.v FROM (SELECT DISTINCT g FROM x) x CROSS JOIN c)),

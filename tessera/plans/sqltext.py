@@ -17,7 +17,7 @@ def t_two_sided(t: str, nu: str) -> str:
 
 
 def chi2_even(x: str, m: str) -> str:
-    return f"exp(-({x}) / 2) * list_sum(list_transform(range(0, {m}), lambda k: exp(k * ln(({x}) / 2) - lgamma(k + 1))))"
+    return f"list_sum(list_transform(range(0, {m}), lambda k: exp(k * ln(({x}) / 2) - ({x}) / 2 - lgamma(k + 1))))"
 
 
 def hypergeometric(k: str, s: str, h: str, u: str) -> str:
