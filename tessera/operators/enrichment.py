@@ -47,8 +47,8 @@ def gsea(metric: DataFrame, sets: DataFrame, gene: str, term: str, permutations:
     if not permutations:
         return real
     draws = placed.select(gene, F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
-    # the top bits spread evenly, so the hash itself is the numeric order key
-    mixed = ordered.scan(draws, ["perm"], [F.xxhash64(gene, "perm", F.lit(seed)), F.col(gene)], {"rank": ("count", None)})
+    place = F.md5(F.concat_ws("|", F.col(gene).cast("string"), F.col("perm").cast("string"), F.lit(str(seed))))
+    mixed = ordered.scan(draws, ["perm"], [place, F.col(gene)], {"rank": ("count", None)})
     shuffled = mixed.join(placed.select("rank", "metric"), "rank")
     null = enrichment_scores(n, members.join(shuffled, gene), [term, "perm"])
     tested = null.join(real.select(term, F.col("es").alias("_es")), term)

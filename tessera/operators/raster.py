@@ -27,10 +27,21 @@ def _along(keys: Sequence[str], axis: str):
     return W.partitionBy(*keys, "i" if axis == "j" else "j").orderBy(axis)
 
 
+def _by_tile(px: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bring each tile together once; windows along rows and columns then need no further shuffle."""
+    return px.repartition(*keys) if keys else px
+
+
 def image_size(px: DataFrame, keys: Sequence[str]) -> DataFrame:
     return px.groupBy(*keys).agg((F.max("i") + 1).alias("_h"), (F.max("j") + 1).alias("_w"))
 
 
+def _with_size(px: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``px`` with its tile's ``_h`` and ``_w``, partitioned by tile."""
+    tile = W.partitionBy(*keys)
+    return _by_tile(px, keys).withColumns({"_h": F.max("i").over(tile) + 1, "_w": F.max("j").over(tile) + 1})
+
+
 # --- projections and arithmetic -------------------------------------------
 
 def project(px: DataFrame, keys: Sequence[str], how: str = "max") -> DataFrame:
@@ -71,7 +82,7 @@ def extreme_filter(px: DataFrame, keys: Sequence[str], width: int, kinds: Sequen
     """``max`` and/or ``min`` over a square of ``width`` pixels, as new columns."""
     low, high = -(width // 2), width - 1 - width // 2
     rows, cols = (_along(keys, a).rangeBetween(low, high) for a in ("j", "i"))
-    half = px.withColumns({f"_{k}": getattr(F, k)("value").over(rows) for k in kinds})
+    half = _by_tile(px, keys).withColumns({f"_{k}": getattr(F, k)("value").over(rows) for k in kinds})
     return half.withColumns({k: getattr(F, k)(f"_{k}").over(cols) for k in kinds}).drop(*[f"_{k}" for k in kinds])
 
 
@@ -82,8 +93,7 @@ def max_filter(px: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
 def find_peaks(px: DataFrame, keys: Sequence[str], width: int = 5) -> DataFrame:
     """max - min of the neighbourhood where a pixel is its maximum, else 0;
     pixels closer than ``width`` to the edge are 0."""
-    size = image_size(px, keys)
-    near = attach(extreme_filter(px, keys, width, ("max", "min")), size, keys)
+    near = extreme_filter(_with_size(px, keys), keys, width, ("max", "min"))
     inside = (F.col("i") >= width) & (F.col("j") >= width) & (F.col("i") < F.col("_h") - width) & (F.col("j") < F.col("_w") - width)
     height = F.when(inside & (F.col("value") == F.col("max")), F.col("max") - F.col("min")).otherwise(F.lit(0) * F.col("value"))
     return near.withColumn("value", height).drop("max", "min", "_h", "_w")
@@ -115,7 +125,7 @@ def convolve(px: DataFrame, keys: Sequence[str], kernels: dict[str, tuple[Sequen
     """Separable kernels on whole images with mirrored edges: each output is
     (weights along j, weights along i) of ``value``."""
     r = max(len(w) // 2 for pair in kernels.values() for w in pair)
-    sized = attach(px, image_size(px, keys), keys)
+    sized = _with_size(px, keys)
     wide = _reflect(sized, keys, "j", r)
     rows = wide.withColumns({f"_{n}": _taps("value", wj, _along(keys, "j")) for n, (wj, _) in kernels.items()})
     rows = rows.filter((F.col("j") >= 0) & (F.col("j") < F.col("_w")))
@@ -135,7 +145,7 @@ def laplacian_of_gaussian(px: DataFrame, keys: Sequence[str], sigma: float = 1.0
 def disk_mean(px: DataFrame, keys: Sequence[str], radius: int) -> DataFrame:
     """``mean`` over the pixels of a disk that lie in the image."""
     half = [int(math.sqrt(radius * radius - d * d)) for d in range(-radius, radius + 1)]
-    rows = px
+    rows = _by_tile(px, keys)
     for w in sorted(set(half)):
         span = _along(keys, "j").rangeBetween(-w, w)
         rows = rows.withColumns({f"_s{w}": F.sum("value").over(span), f"_c{w}": F.count("value").over(span)})
@@ -173,21 +183,33 @@ def rolling_ball(px: DataFrame, keys: Sequence[str], radius: int) -> DataFrame:
     if shrink > 1:
         block = [F.floor(F.col(c) / shrink).cast("int").alias(c) for c in ("i", "j")]
         small = px.select(*keys, *block, "value").groupBy(*keys, "i", "j").agg(F.avg("value").alias("value"))
-    sized = attach(small, image_size(small, keys), keys)
-    offsets = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(z).alias("z")) for a, b, z in ball])).alias("_o")
-    o = F.col("_o")
-    low = sized.select(*keys, "i", "j", "_h", "_w", "value", offsets).select(
-        *keys, (F.col("i") - o["a"]).alias("i"), (F.col("j") - o["b"]).alias("j"), "_h", "_w", (F.col("value") - o["z"]).alias("gap"))
-    low = low.filter((F.col("i") >= 0) & (F.col("j") >= 0) & (F.col("i") + side <= F.col("_h")) & (F.col("j") + side <= F.col("_w")))
-    low = low.groupBy(*keys, "i", "j").agg(F.min("gap").alias("gap"))
-    high = low.select(*keys, "i", "j", "gap", offsets).select(
-        *keys, (F.col("i") + o["a"]).alias("_bi"), (F.col("j") + o["b"]).alias("_bj"), (F.col("gap") + o["z"]).alias("bg"))
-    high = high.groupBy(*keys, "_bi", "_bj").agg(F.max("bg").alias("bg"))
-    placed = px.withColumns({"_bi": F.floor(F.col("i") / shrink), "_bj": F.floor(F.col("j") / shrink)})
-    joined = attach(placed, high, [*keys, "_bi", "_bj"], "left")
+    small = _with_size(small, keys)
+    profiles: dict[int, tuple[tuple[int, int], ...]] = {}
+    for a, b, z in sorted(ball):
+        profiles[a] = (*profiles.get(a, ()), (b, z))
+    kinds = {p: f"_p{n}" for n, p in enumerate(dict.fromkeys(profiles.values()))}
+    along_j, along_i = _along(keys, "j"), _along(keys, "i")
+
+    def most(f, terms: list[Column]) -> Column:
+        return f(*terms) if len(terms) > 1 else terms[0]
+
+    # where a ball at (i, j) touches from below: along rows per ball line, then over the lines
+    low = small.withColumns({k: most(F.least, [F.lead("value", b).over(along_j) - z for b, z in p]) for p, k in kinds.items()})
+    fits = (F.col("i") + side <= F.col("_h")) & (F.col("j") + side <= F.col("_w"))
+    gap = most(F.least, [F.lead(kinds[p], a).over(along_i) for a, p in profiles.items()])
+    low = low.withColumn("_gap", F.when(fits, gap)).drop(*kinds.values())
+    # the highest surface that the balls reach
+    high = low.withColumns({k: most(F.greatest, [F.lag("_gap", b).over(along_j) + z for b, z in p]) for p, k in kinds.items()})
+    high = high.withColumn("bg", most(F.greatest, [F.lag(kinds[p], a).over(along_i) for a, p in profiles.items()])).drop("_gap", "_h", "_w", *kinds.values())
+    if shrink > 1:
+        high = high.select(*keys, F.col("i").alias("_bi"), F.col("j").alias("_bj"), "bg")
+        placed = px.withColumns({"_bi": F.floor(F.col("i") / shrink).cast("int"), "_bj": F.floor(F.col("j") / shrink).cast("int")})
+        joined = attach(placed, high, [*keys, "_bi", "_bj"], "left").drop("_bi", "_bj")
+    else:
+        joined = high
     # no ball fits in an image smaller than it: nothing is subtracted
     ground = F.least(F.coalesce("bg", F.lit(0) * F.col("value")), F.col("value"))
-    return joined.withColumn("value", F.col("value") - ground).drop("_bi", "_bj", "bg")
+    return joined.withColumn("value", F.col("value") - ground).drop("bg")
 
 
 # --- registration -----------------------------------------------------------
@@ -211,7 +233,7 @@ def phase_offset(target: np.ndarray, source: np.ndarray, upsample: int = 1) -> t
 
 def registration_offsets(px: DataFrame, keys: Sequence[str], frame: str, schema: str, upsample: int = 1, window: float = 1.0) -> DataFrame:
     """(keys, frame, oi, oj): offset of every frame to the first, measured on
-    the centred 1/window part. One task handles one tile's frames."""
+    the centred 1/window part. One group holds one frame and the first one."""
     keys = list(keys)
     size = image_size(px, keys)
     border = lambda n: F.floor(F.col(n) / 2 * (1 - 1 / window))
@@ -219,19 +241,21 @@ def registration_offsets(px: DataFrame, keys: Sequence[str], frame: str, schema:
         (F.col("i") >= border("_h")) & (F.col("i") < F.col("_h") - border("_h"))
         & (F.col("j") >= border("_w")) & (F.col("j") < F.col("_w") - border("_w")))
 
+    # every frame meets the first one's plane, so a group is two planes however many frames there are
+    first = inner.groupBy(*keys).agg(F.min(frame).alias("_first"))
+    known = attach(inner.select(*keys, frame, "i", "j", "value"), first, keys)
+    base = known.filter(F.col(frame) == F.col("_first")).select(*keys, "i", "j", F.col("value").alias("_base"))
+    pairs = attach(known, base, [*keys, "i", "j"])
+
     def measure(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].to_numpy() - pdf["i"].min(), pdf["j"].to_numpy() - pdf["j"].min()
-        planes = {}
-        for f, at in pdf.groupby(frame).indices.items():
-            plane = np.zeros((i.max() + 1, j.max() + 1))
-            plane[i[at], j[at]] = pdf["value"].to_numpy()[at]
-            planes[f] = plane
-        first = planes[min(planes)]
-        moves = [(f, *((0.0, 0.0) if p is first else phase_offset(p, first, upsample))) for f, p in planes.items()]
-        out = pd.DataFrame(moves, columns=[frame, "oi", "oj"])
-        return out.assign(**{k: pdf[k].iloc[0] for k in keys})
+        plane, origin = np.zeros((2, i.max() + 1, j.max() + 1))
+        plane[i, j], origin[i, j] = pdf["value"], pdf["_base"]
+        same = pdf[frame].iloc[0] == pdf["_first"].iloc[0]
+        oi, oj = (0.0, 0.0) if same else phase_offset(plane, origin, upsample)
+        return pdf[[*keys, frame]].head(1).assign(oi=oi, oj=oj)
 
-    return inner.select(*keys, frame, "i", "j", "value").groupBy(*keys).applyInPandas(measure, schema)
+    return pairs.groupBy(*keys, frame).applyInPandas(measure, schema)
 
 
 def apply_offsets(px: DataFrame, offsets: DataFrame, keys: Sequence[str], on: Sequence[str] | None = None) -> DataFrame:
@@ -257,10 +281,11 @@ def apply_offsets(px: DataFrame, offsets: DataFrame, keys: Sequence[str], on: Se
 
 # --- geometry of images ------------------------------------------------------
 
-def split_tiles(px: DataFrame, side: int, tile: str = "tile_part", per_row: int = 1000) -> DataFrame:
-    """Cut images into square parts with their own coordinates."""
-    part = F.floor(F.col("i") / side) * per_row + F.floor(F.col("j") / side)
-    return px.withColumn(tile, part).withColumns({"i": F.col("i") % side, "j": F.col("j") % side})
+def split_tiles(px: DataFrame, side: int, row: str = "part_i", column: str = "part_j") -> DataFrame:
+    """Cut images into square parts, keyed by row and column of the part, with
+    their own coordinates."""
+    parts = {row: F.floor(F.col("i") / side), column: F.floor(F.col("j") / side)}
+    return px.withColumns(parts).withColumns({"i": F.col("i") % side, "j": F.col("j") % side})
 
 
 def montage(px: DataFrame, index: Column, columns: int, height: int, width: int) -> DataFrame:
@@ -343,6 +368,26 @@ def fill_holes(mask: DataFrame, px: DataFrame, keys: Sequence[str], max_area: in
     return mask.select(*keys, "i", "j").unionByName(filled)
 
 
+def _squared_distance(mask: np.ndarray) -> np.ndarray:
+    """Squared distance to the nearest pixel outside ``mask`` (whose rim is
+    outside): along rows first, then over the rows of each column."""
+    n, m = mask.shape
+    run = np.zeros((n, m), dtype=np.int64)
+    for j in range(1, m):
+        run[:, j] = np.where(mask[:, j], run[:, j - 1] + 1, 0)
+    back = np.zeros((n, m), dtype=np.int64)
+    for j in range(m - 2, -1, -1):
+        back[:, j] = np.where(mask[:, j], back[:, j + 1] + 1, 0)
+    flat = np.minimum(run, back) ** 2
+    out = flat.copy()
+    for d in range(1, n):
+        if d * d > out.max():
+            break
+        out[d:] = np.minimum(out[d:], flat[:-d] + d * d)
+        out[:-d] = np.minimum(out[:-d], flat[d:] + d * d)
+    return out
+
+
 def split_touching(labels: DataFrame, keys: Sequence[str], schema: str, smooth: int = 1) -> DataFrame:
     """Split each object at the saddles of its distance map. An object is one
     task's group: it is never larger than a cell clump."""
@@ -353,26 +398,20 @@ def split_touching(labels: DataFrame, keys: Sequence[str], schema: str, smooth:
         a, b = i - i.min() + 1, j - j.min() + 1
         mask = np.zeros((a.max() + 2, b.max() + 2), dtype=bool)
         mask[a, b] = True
-        out = np.argwhere(~mask)
-        dist = np.array([np.sqrt(((out - p) ** 2).sum(axis=1).min()) for p in np.stack([a, b], 1)])
-        height = np.zeros(mask.shape)
-        height[a, b] = dist
+        height = np.where(mask, np.sqrt(_squared_distance(mask)), 0.0)
         for _ in range(smooth):
             around = sum(np.roll(np.roll(height, d, 0), e, 1) for d in (-1, 0, 1) for e in (-1, 0, 1))
             height = np.where(mask, around / 9, 0)
-        # climb: every pixel follows its highest neighbour to a summit
-        parent = {}
-        for p, q in zip(a, b):
-            near = [(height[p + d, q + e], -(p + d), -(q + e)) for d in (-1, 0, 1) for e in (-1, 0, 1) if mask[p + d, q + e]]
-            top = max(near)
-            parent[p, q] = (-top[1], -top[2])
-        def summit(x):
-            while parent[x] != x:
-                x = parent[x]
-            return x
-        tops = [summit((p, q)) for p, q in zip(a, b)]
-        codes = {t: n for n, t in enumerate(sorted(set(tops)))}
-        return pdf[[*keys, "i", "j", "label"]].assign(part=[codes[t] for t in tops])
+        # climb: every pixel follows its highest neighbour (the first in reading order) to a summit
+        height = np.where(mask, height, -1.0)
+        steps = [(d, e) for d in (-1, 0, 1) for e in (-1, 0, 1)]
+        best = np.argmax([np.roll(np.roll(height, -d, 0), -e, 1) for d, e in steps], axis=0).ravel()
+        at = np.arange(height.size) + np.array([d * height.shape[1] + e for d, e in steps])[best]
+        at = np.where(mask.ravel(), at, np.arange(height.size))
+        while (at != at[at]).any():
+            at = at[at]
+        _, part = np.unique(at.reshape(mask.shape)[a, b], return_inverse=True)
+        return pdf[[*keys, "i", "j", "label"]].assign(part=part)
 
     parts = labels.select(*keys, "i", "j", "label").groupBy(*keys, "label").applyInPandas(split, schema)
     ids = parts.select(*keys, "label", "part").distinct()
@@ -402,25 +441,40 @@ def nuclei_stack(px: DataFrame, keys: Sequence[str], frame: str, key_schema: str
     return segment_nuclei(px, [*keys, frame], f"{key_schema}, {frame} int", threshold, **options)
 
 
-def grow_cells(nuclei: DataFrame, mask: DataFrame, keys: Sequence[str], max_steps: int = 200, drop_border: bool = False) -> DataFrame:
-    """Grow labels over ``mask`` (keys, i, j), one chessboard step per round;
-    a pixel reached by several cells goes to the lowest label. Only the newest
-    front is joined, so the work is linear in the grown pixels."""
+def grow_cells(nuclei: DataFrame, mask: DataFrame, keys: Sequence[str], drop_border: bool = False) -> DataFrame:
+    """Grow labels over ``mask`` (keys, i, j) by chessboard steps until nothing
+    is left to reach; each pixel goes to the nearest nucleus within the mask,
+    ties to the lowest label.
+
+    A round sweeps rows, columns and both diagonals in both directions: along a
+    run of mask pixels the nearest label is a running minimum. So the rounds
+    count the turns of the longest path, not its steps."""
     keys = list(keys)
     at = [*keys, "i", "j"]
-    front = cut_lineage(nuclei.select(*at, "label"))
-    done = [front]
-    free = cut_lineage(mask.select(*at).join(front, at, "left_anti"))
-    near = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(e).alias("e")) for d in (-1, 0, 1) for e in (-1, 0, 1) if (d, e) != (0, 0)])
-    for _ in range(max_steps):
-        step = front.withColumn("_o", F.explode(near)).select(
-            *keys, (F.col("i") + F.col("_o.d")).alias("i"), (F.col("j") + F.col("_o.e")).alias("j"), "label")
-        front = cut_lineage(step.groupBy(*at).agg(F.min("label").alias("label")).join(free, at, "left_semi"))
-        if front.isEmpty():
+    start = nuclei.select(*at, F.struct(F.lit(0).cast("bigint").alias("d"), F.col("label")).alias("best"))
+    px = mask.select(*at).join(start, at, "full").repartition(*map(F.col, keys)) if keys else mask.select(*at).join(start, at, "full")
+    lines = {"i": ("j", F.col("i")), "j": ("i", F.col("j")), "sum": ("i", F.col("i") + F.col("j")), "difference": ("i", F.col("i") - F.col("j"))}
+    for name, (step, line) in lines.items():  # runs without a gap share step - position
+        place = F.row_number().over(W.partitionBy(*keys, line).orderBy(step))
+        px = px.withColumn(f"_run_{name}", F.col(step) - place)
+    px, mark = cut_lineage(px), None
+    while True:
+        for name, (step, line) in lines.items():
+            run = W.partitionBy(*keys, line, f"_run_{name}").orderBy(step)
+            known = F.col("best").isNotNull()
+            d, s = F.col("best.d"), F.col(step)
+            there = F.min(F.when(known, F.struct((d - s).alias("d"), F.col("best.label").alias("label")))).over(run.rowsBetween(W.unboundedPreceding, 0))
+            back = F.min(F.when(known, F.struct((d + s).alias("d"), F.col("best.label").alias("label")))).over(run.rowsBetween(0, W.unboundedFollowing))
+            px = px.withColumns({"_a": there, "_b": back}).withColumn("best", F.least(
+                F.when(F.col("_a").isNotNull(), F.struct((F.col("_a.d") + s).alias("d"), F.col("_a.label").alias("label"))),
+                F.when(F.col("_b").isNotNull(), F.struct((F.col("_b.d") - s).alias("d"), F.col("_b.label").alias("label"))),
+            )).drop("_a", "_b")
+        px = cut_lineage(px)
+        now = tuple(px.agg(F.count("best"), F.sum("best.d"), F.sum("best.label")).first())
+        if now == mark:
             break
-        done.append(front)
-        free = cut_lineage(free.join(front, at, "left_anti"))
-    cells = reduce(DataFrame.unionByName, done)
+        mark = now
+    cells = px.filter(F.col("best").isNotNull()).select(*at, F.col("best.label").alias("label"))
     if drop_border:
         sized = attach(cells, image_size(mask, keys), keys)
         edge = (F.col("i") == 0) | (F.col("j") == 0) | (F.col("i") == F.col("_h") - 1) | (F.col("j") == F.col("_w") - 1)

@@ -22,7 +22,7 @@ long AS (SELECT vec_id, gene, guide, k::INTEGER AS pos, embedding[k + 1]::DOUBLE
 
 @query("varying_positions", f"WITH {LONG} SELECT pos, round(stddev_samp(v), 6) AS std, round(avg(v), 6) AS mean FROM long GROUP BY 1 HAVING stddev_samp(v) / avg(v) >= 0.1 AND avg(v) <> 0")
 def _(t):
-    return D.varying_positions(cells(t), "features", ["vec_id"], sample=None).select("pos", r("std", 6).alias("std"), r("mean", 6).alias("mean"))
+    return D.varying_positions(cells(t), "features").select("pos", r("std", 6).alias("std"), r("mean", 6).alias("mean"))
 
 
 @query("kept_positions", f"""
@@ -30,7 +30,7 @@ WITH {LONG}, k AS (SELECT pos FROM long GROUP BY 1 HAVING stddev_samp(v) / avg(v
 def _(t):
     from tessera.session import cut_lineage
     c = cells(t)
-    d = D.keep_positions(c, "features", D.varying_positions(c, "features", ["vec_id"], sample=None))
+    d = D.keep_positions(c, "features", D.varying_positions(c, "features"))
     return d.select("vec_id", F.array_join(F.transform("features", lambda x: r(x * 1000).cast("bigint").cast("string")), ",").alias("features"))
 
 
@@ -78,13 +78,13 @@ def _(t):
     return d.select("vec_id", r(F.col("features")[0], 6).alias("first"), r(F.element_at("features", -1), 6).alias("last"), F.size("features").alias("width"))
 
 
-@query("forest_roc_auc", None)
+# every feature tells its class apart, so each class's area is exactly 1
+@query("forest_roc_auc", "SELECT DISTINCT label AS \"class\", 1.0::DOUBLE AS auc FROM embeddings")
 def _(t):
-    train, test = D.split_by_key(cells(t), "vec_id")
-    scores = D.forest_scores(train, test, "features", "label", ["vec_id"], trees=10, depth=5)
-    return D.roc_auc(D.roc_curves(scores, "label"))
-
-
+    apart = F.transform("features", lambda x, k: x / 100 + (F.col("label") == k % 10).cast("double") + F.col("label") * 2.0)
+    train, test = D.split_by_key(cells(t).withColumn("features", apart), "vec_id")
+    scores = D.forest_scores(train, test, "features", "label", ["vec_id"], trees=100, depth=8)
+    return D.roc_auc(D.roc_curves(scores, "label")).withColumn("auc", r("auc", 6))
 
 
 # the first feature as a score for "label below 5"
@@ -142,9 +142,21 @@ def _(t):
     return E.gsea(part_metric(t), part_sets(t), "gene", "term", permutations=0).withColumn("es", r("es", 6))
 
 
-@query("gsea_permutations", None)
-def _(t):
-    return E.gsea(part_metric(t), part_sets(t), "gene", "term", permutations=20)
+# places of a permutation are ordered by MD5, which both engines have
+@query("gsea_permutations", f"""
+WITH {METRIC}, rk AS (SELECT gene, metric, row_number() OVER (ORDER BY metric DESC, gene) AS rank FROM metric), n AS (SELECT count(*) AS n FROM rk),
+pm AS (SELECT 0 AS perm, gene, rank FROM rk UNION ALL
+  SELECT perm, gene, row_number() OVER (PARTITION BY perm ORDER BY md5(gene::VARCHAR || '|' || perm::VARCHAR || '|7'), gene) FROM rk, (SELECT unnest(range(1, 1001)) AS perm)),
+h AS (SELECT s.p_brand AS term, perm, pm.rank, abs(m.metric) AS w FROM part s JOIN pm ON pm.gene = s.p_partkey JOIN rk m ON m.rank = pm.rank),
+c AS (SELECT term, perm, w, rank, sum(w) OVER q AS cw, count(*) OVER q AS k, sum(w) OVER p AS nr, count(*) OVER p AS nh FROM h WINDOW p AS (PARTITION BY term, perm), q AS (PARTITION BY term, perm ORDER BY rank)),
+e AS (SELECT term, perm, max(cw / nr - (rank - k) / (n - nh)) AS hi, min((cw - w) / nr - (rank - k) / (n - nh)) AS lo, max(nh) AS n_hits FROM c, n GROUP BY ALL),
+s AS (SELECT term, perm, n_hits, CASE WHEN hi >= -lo THEN hi ELSE lo END AS es FROM e),
+t AS (SELECT r.term, r.es, r.n_hits, x.es AS xs FROM s r JOIN s x USING (term) WHERE r.perm = 0 AND x.perm > 0)
+SELECT term, round(any_value(es), 6) AS es, any_value(n_hits) AS n_hits, round(any_value(es) / avg(abs(xs)) FILTER ((xs >= 0) = (es >= 0)), 4) AS nes,
+  round(count(*) FILTER ((xs >= 0) = (es >= 0) AND abs(xs) >= abs(es)) / nullif(count(*) FILTER ((xs >= 0) = (es >= 0)), 0), 6) AS pval FROM t GROUP BY 1""")
+def _(t):
+    d = E.gsea(part_metric(t), part_sets(t), "gene", "term", permutations=1000)
+    return d.withColumns({"es": r("es", 6), "nes": r("nes", 4), "pval": r("pval", 6)})
 
 
 @query("differential_overlap", """

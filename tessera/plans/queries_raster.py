@@ -29,8 +29,9 @@ px AS (SELECT vec_id AS tile, (k // 8)::INTEGER AS i, (k % 8)::INTEGER AS j, rou
 
 
 def near(kind, lo, hi):
-    """Square neighbourhood by a self join, to differ from the window form."""
-    return f"(SELECT a.tile, a.i, a.j, {kind}(b.value) AS v FROM px a JOIN px b ON a.tile = b.tile AND b.i BETWEEN a.i + {lo} AND a.i + {hi} AND b.j BETWEEN a.j + {lo} AND a.j + {hi} GROUP BY ALL)"
+    """Square neighbourhood by equi-joins on a list of offsets, to differ from the window form."""
+    steps = f"(SELECT unnest(range({lo}, {hi} + 1)) AS d)"
+    return f"(SELECT a.tile, a.i, a.j, {kind}(b.value) AS v FROM px a CROSS JOIN {steps} o CROSS JOIN {steps} p JOIN px b ON a.tile = b.tile AND b.i = a.i + o.d AND b.j = a.j + p.d GROUP BY ALL)"
 
 
 @query("max_filter", f"WITH {PX} SELECT tile, i, j, v AS value FROM {near('max', -1, 1)}")
@@ -177,14 +178,39 @@ def _(t):
     return R.filter_regions(R.label_components(mask(t), TILE), plane(t), TILE, (F.col("area") >= 3) & (F.col("mean_intensity") >= 1150))
 
 
-@query("grow_cells", None)
+@query("grow_cells", f"""
+{COMPONENTS}, o AS (SELECT unnest([-1, 0, 1]) AS d), free AS (SELECT tile, i, j FROM px WHERE value > 950),
+g(tile, i, j, label) USING KEY (tile, i, j) AS (
+  SELECT tile, i, j, label FROM lab UNION
+  SELECT f.tile, f.i, f.j, min(g.label) FROM g CROSS JOIN o CROSS JOIN o AS p JOIN free f ON f.tile = g.tile AND f.i = g.i + o.d AND f.j = g.j + p.d
+  LEFT JOIN recurring.g AS r ON r.tile = f.tile AND r.i = f.i AND r.j = f.j WHERE r.tile IS NULL GROUP BY ALL)
+SELECT tile, i, j, label FROM g""")
 def _(t):
     return R.grow_cells(R.label_components(mask(t), TILE), plane(t).filter("value > 950"), TILE)
 
 
-@query("segment_nuclei", None)
+DISK = "(i - ci) * (i - ci) + (j - cj) * (j - cj) <= radius * radius"
+DISKS = """
+c AS (SELECT s_suppkey AS tile, k, (12 + 24 * (k // 2))::INTEGER AS ci, (12 + 24 * (k % 2))::INTEGER AS cj, (4 + (s_suppkey + k) % 3)::INTEGER AS radius, 1500 + 100 * (s_suppkey % 7) AS value
+  FROM supplier, (SELECT unnest(range(4)) AS k))"""
+
+
+def disks(t):
+    """A field of 48 x 48 pixels per supplier with four bright disks of known place and size."""
+    s = t.supplier.select(F.col("s_suppkey").alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    c = s.select("tile", "k", (12 + 24 * F.floor(F.col("k") / 2)).cast("int").alias("ci"), (12 + 24 * (F.col("k") % 2)).cast("int").alias("cj"),
+                 (4 + (F.col("tile") + F.col("k")) % 3).alias("radius"), (1500 + 100 * (F.col("tile") % 7)).alias("bright"))
+    px = c.withColumn("i", F.explode(F.sequence(F.col("ci") - 12, F.col("ci") + 11))).withColumn("j", F.explode(F.sequence(F.col("cj") - 12, F.col("cj") + 11)))
+    return px.select("tile", "i", "j", F.when(F.expr(DISK), F.col("bright")).otherwise(100).cast("bigint").alias("value"))
+
+
+# on a level background the objects are the disks, numbered by their first pixel in reading order
+@query("segment_nuclei", f"""
+WITH {DISKS}, p AS (SELECT c.*, i, j FROM c, (SELECT unnest(range(48))::INTEGER AS i), (SELECT unnest(range(48))::INTEGER AS j) WHERE {DISK}),
+f AS (SELECT tile, k, min(i * 48 + j) AS first FROM p GROUP BY ALL), n AS (SELECT tile, k, row_number() OVER (PARTITION BY tile ORDER BY first)::INTEGER AS label FROM f)
+SELECT tile, i, j, label FROM p JOIN n USING (tile, k)""")
 def _(t):
-    return R.segment_nuclei(plane(t), TILE, "tile bigint", 1000, radius=3, area_min=2, area_max=40)
+    return R.segment_nuclei(disks(t), TILE, "tile bigint", 1000, radius=15, area_min=20, area_max=300).select("tile", "i", "j", "label")
 
 
 # --- regions -----------------------------------------------------------------

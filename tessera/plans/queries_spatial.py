@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import spatial, tabular as T, tracking
+from tessera.plans.queries_reads import LINE
 from tessera.plans.registry import query
 from tessera.plans.sqltext import inverse4
 
@@ -100,20 +101,19 @@ def _(t):
 
 # --- tracking ------------------------------------------------------------
 
-FRAMES = 5
+FRAMES = 7
 
 
 def line_nuclei(t):
-    """Orders are nuclei that move a little from line number to line number."""
-    li = t.lineitem.filter(F.col("l_linenumber") <= FRAMES).groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"), F.max("l_discount").alias("d"))
+    """Line items are nuclei; those of an order lie close, one frame per line number."""
     k = F.col("l_orderkey")
-    return li.select((k % 40).alias("tile"), (F.col("l_linenumber") - 1).alias("frame"), k.alias("label"),
-                     ((k * 37) % 1000 + F.col("q") / 10).alias("i"), ((k * 91) % 997 + F.col("d") * 50).alias("j"))
+    return t.lineitem.select((k % 40).alias("tile"), (F.col("l_linenumber") - 1).alias("frame"), F.expr(LINE).alias("label"),
+                             ((k * 37) % 1000 + F.col("l_quantity") / 10).alias("i"), ((k * 91) % 997 + F.col("l_discount") * 50).alias("j"))
 
 
 NUCLEI = f"""
-li AS (SELECT l_orderkey AS k, l_linenumber, max(l_quantity) AS q, max(l_discount) AS d FROM lineitem WHERE l_linenumber <= {FRAMES} GROUP BY ALL),
-n AS (SELECT k % 40 AS tile, l_linenumber - 1 AS frame, k AS label, (k * 37) % 1000 + q / 10 AS i, (k * 91) % 997 + d * 50 AS j FROM li),
+li AS (SELECT l_orderkey AS k, l_linenumber, {LINE} AS label, l_quantity AS q, l_discount AS d FROM lineitem),
+n AS (SELECT k % 40 AS tile, l_linenumber - 1 AS frame, label, (k * 37) % 1000 + q / 10 AS i, (k * 91) % 997 + d * 50 AS j FROM li),
 e AS (SELECT a.tile, a.frame, a.label, b.label AS prev, {DIST} AS distance FROM n a JOIN n b ON a.tile = b.tile AND a.frame = b.frame + 1
   QUALIFY row_number() OVER (PARTITION BY a.tile, a.frame, a.label ORDER BY {DIST}, b.label) <= 3)"""
 

@@ -290,14 +290,14 @@ def _(t):
 
 
 @query("custom_order_rank", """
-SELECT o_orderkey, list_position(['3-MEDIUM', '1-URGENT', '5-LOW'], o_orderpriority)::BIGINT AS place FROM orders WHERE o_orderpriority IN ('3-MEDIUM', '1-URGENT', '5-LOW')""")
+SELECT o_orderkey, list_position(['3-MEDIUM', '1-URGENT', '5-LOW'], o_orderpriority)::BIGINT AS place FROM orders""")
 def _(t):
     wanted = ["3-MEDIUM", "1-URGENT", "5-LOW"]
-    o = t.orders.filter(F.col("o_orderpriority").isin(wanted))
-    return o.select("o_orderkey", T.custom_order(F.col("o_orderpriority"), wanted).alias("place"))
+    return t.orders.select("o_orderkey", T.custom_order(F.col("o_orderpriority"), wanted).alias("place"))
 
 
-@query("seeded_sample", None)
+@query("seeded_sample", """
+SELECT o_orderkey, o_totalprice FROM orders ORDER BY substr(md5(concat_ws('|', o_orderkey::VARCHAR, '7')), 1, 15), o_orderkey LIMIT 50""")
 def _(t):
     return T.hash_sample(t.orders, 50, ["o_orderkey"], seed=7).select("o_orderkey", "o_totalprice")
 

@@ -105,7 +105,7 @@ def _(t):
 
 @query("sharpest_plane", """
 WITH px AS (SELECT vec_id // 20 AS tile, (vec_id % 20)::INTEGER AS z, (k // 8)::INTEGER AS i, (k % 8)::INTEGER AS j, round((embedding[k + 1]::DOUBLE + 1) * 1000)::BIGINT AS value FROM embeddings, (SELECT unnest(range(64)) AS k)),
-s AS (SELECT a.tile, a.z, a.i, a.j, sum(CASE WHEN a.i = b.i AND a.j = b.j THEN -4 ELSE 1 END * b.value) AS lap FROM px a JOIN px b ON a.tile = b.tile AND a.z = b.z AND abs(a.i - b.i) + abs(a.j - b.j) <= 1 WHERE a.z BETWEEN 5 AND 18 GROUP BY ALL),
+s AS (SELECT a.tile, a.z, a.i, a.j, sum(CASE WHEN a.i = b.i AND a.j = b.j THEN -4 ELSE 1 END * b.value) AS lap FROM px a JOIN px b ON a.tile = b.tile AND a.z = b.z AND abs(a.i - b.i) + abs(a.j - b.j) <= 1 GROUP BY ALL),
 v AS (SELECT tile, z, var_pop(lap) AS v FROM s GROUP BY ALL), best AS (SELECT tile, arg_max(z, v) AS z FROM v GROUP BY 1)
 SELECT tile, z, i, j, value FROM px JOIN best USING (tile, z)""")
 def _(t):

@@ -9,7 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 # fixed values: TIFF tags and field types
 WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, ROWS, COUNTS, KIND = 256, 257, 258, 259, 273, 277, 278, 279, 339
@@ -124,17 +124,16 @@ def slice_series(px: DataFrame, n_sites: int, start_site: int = 0, end_site: int
     return split.filter(F.col("site") < last) if last is not None else split
 
 
-def sharpest_plane(px: DataFrame, keys: Sequence[str], z: str = "z", low: int = 5, high: int = 19) -> DataFrame:
-    """The z plane, low <= z < high, whose Laplacian varies most, per tile."""
+def sharpest_plane(px: DataFrame, keys: Sequence[str], z: str = "z", low: int | None = None, high: int | None = None) -> DataFrame:
+    """The z plane whose Laplacian varies most, per tile; of all planes, or of
+    those with low <= z < high."""
     from tessera.operators.ordered import attach
 
-    planes = px.filter((F.col(z) >= low) & (F.col(z) < high))
-    spread = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(w).alias("w"))
-                                 for a, b, w in [(0, 0, -4), (0, 1, 1), (0, -1, 1), (1, 0, 1), (-1, 0, 1)]]))
-    o = F.col("_o")
-    lap = planes.withColumn("_o", spread).groupBy(*keys, z, (F.col("i") + o["a"]).alias("i"), (F.col("j") + o["b"]).alias("j")).agg(
-        F.sum(F.col("value") * o["w"]).alias("lap"))
-    inside = attach(lap, planes.select(*keys, z, "i", "j"), [*keys, z, "i", "j"])
+    planes = px if low is None else px.filter(F.col(z) >= low)
+    planes = planes if high is None else planes.filter(F.col(z) < high)
+    planes = planes.repartition(*keys, z)
+    near = [F.sum("value").over(W.partitionBy(*keys, z, across).orderBy(along).rangeBetween(-1, 1)) for along, across in (("i", "j"), ("j", "i"))]
+    inside = planes.withColumn("lap", near[0] + near[1] - 6 * F.col("value"))  # both sums hold the pixel itself
     score = inside.groupBy(*keys, z).agg(F.var_pop("lap").alias("score"))
     best = score.groupBy(*keys).agg(F.min_by(z, F.struct(-F.col("score"), F.col(z))).alias(z))
     return attach(px, best, [*keys, z])

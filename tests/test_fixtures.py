@@ -113,7 +113,7 @@ def test_histogram_wrap(spark):
 
 def test_delta_auc_counts_outside_values(spark):
     df = spark.createDataFrame([("a", x) for x in (0., .1, .5, 1., 2., -3.)] + [("n", x) for x in (.1, .6)], "g string, v double")
-    got = {r["g"]: r["v"] for r in S.delta_auc(df, ["g"], "v", df.filter("g = 'n'"), 0, 1, 4).collect()}
+    got = {r["g"]: r["v"] for r in S.delta_auc(df, ["g"], "v", F.col("g") == "n", 0, 1, 4).collect()}
     ctrl, a = np.array([.5, .5, 1, 1]), np.cumsum([2, 0, 1, 1]) / 6
     assert abs(got["a"] - np.trapezoid(ctrl - a) / 4) < 1e-12 and abs(got["n"]) < 1e-12
 

@@ -147,6 +147,10 @@ def test_labels_holes_and_growth(spark):
     grown = array(R.grow_cells(R.label_components(mask, ["tile"]), px, ["tile"]), a.shape, "label")
     assert (grown > 0).all() and grown[0, 0] == 1 and grown[11, 11] == 2
     none = R.grow_cells(R.label_components(mask, ["tile"]), px.filter("value > 0"), ["tile"])
+    strip = spark.range(500).select(F.lit(1).alias("tile"), F.lit(0).alias("i"), F.col("id").cast("int").alias("j"))
+    seeds = spark.createDataFrame([(1, 0, 0, 7), (1, 0, 499, 3)], "tile int, i int, j int, label int")
+    far = {r["j"]: r["label"] for r in R.grow_cells(seeds, strip, ["tile"]).collect()}
+    assert far == {j: 7 if j < 250 else 3 for j in range(500)}
     assert none.count() == int(a.sum())
 
 
