@@ -24,19 +24,19 @@ def step(name: str):
 
 
 def _load(spark: SparkSession, value):
-    """A path or a list of paths becomes a table, anything else is an option."""
-    if isinstance(value, (list, tuple)) and value and all(isinstance(v, str) for v in value):
-        try:
-            return load_many(spark, [v for v in value if suffix(v)])
-        except IOError:
-            return value
-    if isinstance(value, str):
-        try:
-            suffix(value)
-        except IOError:
-            return value
-        return load_file(spark, value)
-    return value
+    """A path or a list of paths becomes a table, anything else is an option.
+    ``(paths, schema)`` as a dict with these keys is for text files."""
+    if isinstance(value, dict) and set(value) == {"paths", "schema"}:
+        return load_many(spark, value["paths"], value["schema"], ordered=False)
+    several = isinstance(value, (list, tuple)) and bool(value) and all(isinstance(v, str) for v in value)
+    if not several and not isinstance(value, str):
+        return value
+    try:  # only the names decide; a missing file raises below
+        for v in value if several else [value]:
+            suffix(v)
+    except IOError:
+        return value
+    return load_many(spark, list(value)) if several else load_file(spark, value)
 
 
 def run(spark: SparkSession, name: str, output: str | None = None, **inputs) -> DataFrame:

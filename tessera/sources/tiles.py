@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 # fixed values: TIFF tags and field types
@@ -78,7 +80,7 @@ def storage_type(page: np.ndarray) -> np.ndarray:
     raise TypeError(f"cannot store pixels of type {page.dtype}")
 
 
-def read_tiff(spark: SparkSession, path: str) -> DataFrame:
+def read_tiff(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """(file, page, i, j, value). Files are decoded in tasks, scan line by scan
     line; pixels are exploded in the JVM."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -95,9 +97,13 @@ def read_tiff(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_tiff(px: DataFrame, folder: str, keys: Sequence[str], page: str | None = None) -> DataFrame:
-    """One TIFF per tile in a folder that all executors share; returns the
-    written paths. A repeated task writes the same bytes again."""
+    """One TIFF per tile in ``folder``; returns the written paths. The folder is
+    a URI of a store that all executors reach (``hdfs://``, ``s3://``, or
+    ``file://`` for a shared mount); a plain path is for local masters only. A
+    repeated task writes the same bytes again under the same name."""
     keys = list(keys)
+    if "://" not in folder and not px.sparkSession.sparkContext.master.startswith("local["):
+        raise ValueError("name the folder by a URI that all executors reach")
     cols = [*keys, "i", "j", "value"] + ([page] if page else [])
 
     def write(key, pdf):
@@ -106,11 +112,13 @@ def write_tiff(px: DataFrame, folder: str, keys: Sequence[str], page: str | None
             plane = np.zeros((part["i"].max() + 1, part["j"].max() + 1), dtype=part["value"].to_numpy().dtype)
             plane[part["i"], part["j"]] = part["value"]
             pages.append(plane)
-        name = os.path.join(folder, "_".join(f"{k}-{v}" for k, v in zip(keys, key)) + ".tif")
-        part_name = f"{name}.{os.getpid()}.part"
-        with open(part_name, "wb") as f:
+        name = f"{folder.rstrip('/')}/" + "_".join(f"{k}-{v}" for k, v in zip(keys, key)) + ".tif"
+        store, at = fs.FileSystem.from_uri(name)
+        store.create_dir(os.path.dirname(at))
+        part_name = f"{at}.{uuid.uuid4().hex}.part"
+        with store.open_output_stream(part_name) as f:
             f.write(encode_pages(pages))
-        os.replace(part_name, name)
+        store.move(part_name, at)
         return pd.DataFrame({"path": [name], "pages": [len(pages)]})
 
     return px.select(*cols).groupBy(*keys).applyInPandas(write, "path string, pages int")

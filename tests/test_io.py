@@ -17,8 +17,15 @@ def test_csv_sniffing_and_empty_files(spark, tmp_path):
     a = tables.load_file(spark, str(tmp_path / "a.csv"), "x int, y double")
     assert [tuple(r) for r in a.orderBy("x").collect()] == [(1, None), (2, 3.5)]
     assert tables.load_file(spark, str(tmp_path / "b.csv"), "x int, y int").first()["y"] == 5
-    many = tables.load_many(spark, [str(tmp_path / f) for f in ("a.csv", "b.csv", "e.csv")])
-    assert many.count() == 3
+    many = tables.load_many(spark, [str(tmp_path / f) for f in ("a.csv", "b.csv", "e.csv")], "x int, y double, z string")
+    assert sorted(map(tuple, many.collect()), key=str) == [(1, None, None), (2, 3.5, None), (4, 5.0, None)]
+    with pytest.raises(ValueError, match="schema"):
+        tables.load_file(spark, str(tmp_path / "a.csv"))
+    (tmp_path / "q.csv").write_text('y,x\n"1,5",2\n,3\n')
+    assert sorted(map(tuple, tables.load_file(spark, str(tmp_path / "q.csv"), "x int, y string").collect())) == [(2, "1,5"), (3, None)]
+    (tmp_path / "w.csv").write_text("x,y\nfive,1\n")
+    with pytest.raises(Exception, match="(?i)cast"):
+        tables.load_file(spark, str(tmp_path / "w.csv"), "x int, y double").collect()
     with pytest.raises(TypeError):
         tables.load_file(spark, 3)
     with pytest.raises(IOError):
@@ -51,7 +58,34 @@ def test_vectors_and_matrix(spark, tmp_path):
     with pytest.raises(Exception, match="expected 4"):
         tables.load_vectors(spark, str(tmp_path / "v.txt"), 4).collect()
     (tmp_path / "m.csv").write_text(",s1,s2\nTP53,1,2\n")
-    assert tables.load_matrix(spark, str(tmp_path / "m.csv")).first()["gene"] == "TP53"
+    assert tuple(tables.load_matrix(spark, str(tmp_path / "m.csv"), ["s1", "s2"]).first()) == ("TP53", 1.0, 2.0)
+
+
+def test_thousands_of_small_files_are_one_scan(spark, tmp_path):
+    paths = []
+    for n in range(5000):
+        paths.append(str(tmp_path / f"{n}.csv"))
+        with open(paths[-1], "w") as f:
+            f.write(f"cell,area\n{n},{n * 2}\n" if n % 2 else f"area cell\n{n * 2} {n}\n")
+    rows = tables.load_many(spark, paths, "cell int, area int")
+    assert rows._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2  # lines, and their heads
+    assert rows.filter("area = cell * 2").count() == 5000
+
+
+def test_side_car_by_line_number(spark, tmp_path):
+    (tmp_path / "f.txt").write_text("1 2\n3 4\n5 6\n")
+    (tmp_path / "c.txt").write_text("x\ny\nz\n")
+    f, c = (tables.numbered_lines(spark, str(tmp_path / n)).drop("file") for n in ("f.txt", "c.txt"))
+    both = tables.join_by_line(f, c.withColumnRenamed("value", "cell")).orderBy("line").collect()
+    assert [tuple(r) for r in both] == [(0, "1 2", "x"), (1, "3 4", "y"), (2, "5 6", "z")]
+    with pytest.raises(Exception, match="without a partner"):
+        tables.join_by_line(f, c.withColumnRenamed("value", "cell").filter("line < 2")).collect()
+
+
+def test_a_missing_file_is_not_an_option(spark, tmp_path):
+    registry.STEPS.setdefault("same", lambda df: df)
+    with pytest.raises(Exception, match="(?i)exist"):
+        registry.run(spark, "same", df=[str(tmp_path / "none.parquet")])
 
 
 def test_library_readers(spark, tmp_path):
