@@ -288,6 +288,25 @@ def split_tiles(px: DataFrame, side: int, row: str = "part_i", column: str = "pa
     return px.withColumns(parts).withColumns({"i": F.col("i") % side, "j": F.col("j") % side})
 
 
+def split_overlapping(px: DataFrame, width: int, overlap: int, row: str = "part_i", column: str = "part_j") -> DataFrame:
+    """Cut images into parts of ``width`` that reach ``overlap`` pixels into
+    their neighbours; a pixel goes to every part that covers it and keeps its
+    place. ``merge_chunks`` puts the parts back together."""
+    def parts(axis: str, end: str) -> Column:
+        first = F.greatest(F.lit(0), F.floor((F.col(axis) - width - overlap) / width) + 1)
+        last = F.least(F.floor((F.col(axis) + overlap) / width), F.floor(F.col(end) / width))
+        return F.sequence(first, last)
+
+    ends = px.agg(F.max("i").alias("_ei"), F.max("j").alias("_ej"))
+    wide = attach(px, ends, []).withColumn(row, F.explode(parts("i", "_ei")))
+    return wide.withColumn(column, F.explode(parts("j", "_ej"))).drop("_ei", "_ej")
+
+
+def remove_channels(px: DataFrame, channels: Sequence, channel: str = "channel") -> DataFrame:
+    """Drop channels from a stack."""
+    return px.filter(~F.col(channel).isin(*channels))
+
+
 def montage(px: DataFrame, index: Column, columns: int, height: int, width: int) -> DataFrame:
     """Place images number 0, 1, .. row by row on one canvas."""
     return px.withColumns({

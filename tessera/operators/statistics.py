@@ -250,6 +250,27 @@ def ecdf(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return run.select(*keys, value, (F.col("_u") / (F.col("_u") + F.col("_d") - F.col("_n"))).alias("ecdf"))
 
 
+def lower_envelope(df: DataFrame, group: str, value: str, low: float, high: float, points: int) -> DataFrame:
+    """(x, envelope): the least of all groups' distribution curves, each
+    interpolated between its steps, on an even grid. Left of a group's values
+    its curve is 0, right of them 1."""
+    steps = ecdf(df, [group], value).select(group, F.col(value).cast("double").alias("x"), F.col("ecdf").alias("y"))
+    start = steps.groupBy(group).agg(F.min("x").alias("x")).withColumn("y", F.lit(0.0))
+    # the curve rises from 0 at its first value
+    grid = df.select(group).distinct().withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select(
+        group, (F.lit(low) + F.col("_g") * ((high - low) / (points - 1))).alias("x"), F.lit(None).cast("double").alias("y"))
+    both = start.unionByName(steps).unionByName(grid).withColumn("_m", F.when(F.col("y").isNotNull(), F.struct("x", "y")))
+    asked = F.col("y").isNull().cast("int")
+    height = F.coalesce("y", F.lit(0.0))
+    both = ordered.blocked(both, [F.col("x")])
+    both = scan(both, [group], [F.col("x"), asked, height], {"_lo": ("last", F.col("_m"))})
+    both = scan(both, [group], [F.col("x"), 1 - asked, height], {"_hi": ("last", F.col("_m"), "back")})
+    share = (F.col("x") - F.col("_lo.x")) / F.nullif(F.col("_hi.x") - F.col("_lo.x"), F.lit(0.0))
+    y = F.when(F.col("_lo").isNull(), 0.0).when(F.col("_hi").isNull(), 1.0).otherwise(
+        F.col("_lo.y") + (F.col("_hi.y") - F.col("_lo.y")) * F.coalesce(share, F.lit(0.0)))
+    return both.filter("y IS NULL").groupBy("x").agg(F.min(y).alias("envelope"))
+
+
 def over_representation(
     hits: DataFrame, sets: DataFrame, universe: DataFrame, gene: str, term: str, library: Sequence[str] = ()
 ) -> DataFrame:

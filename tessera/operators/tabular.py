@@ -81,6 +81,31 @@ def columns_like(df: DataFrame, prefix="", suffix="", contains="", pattern=None)
     ]
 
 
+def category_codes(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Codes of the sorted distinct values from 0; null is -1."""
+    kinds = df.select(col).filter(F.col(col).isNotNull()).distinct()
+    codes = ordered.scan(kinds, [], [F.col(col)], {"_code": ("count", None)})
+    codes = codes.select(F.col(col).alias("_v"), (F.col("_code") - 1).alias(out))
+    return df.join(codes, df[col] == codes["_v"], "left").drop("_v").withColumn(out, F.coalesce(out, F.lit(-1).cast("bigint")))
+
+
+def reindex(df: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """One row per row of ``index`` (a key and its place), with nulls where
+    ``df`` has no such key; keys that the index lacks go."""
+    return index.join(df, key, "left")
+
+
+def matching_terms(df: DataFrame, col: str, alternatives: Sequence[str]) -> DataFrame:
+    """Rows whose term matches one of the patterns."""
+    return df.filter(F.col(col).rlike("|".join(f"(?:{a})" for a in alternatives)))
+
+
+def log_ratio(a: Column, b: Column) -> Column:
+    """log2(a / b); 0 gives minus infinity and 0/0 NaN, as floating point has it."""
+    x = a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
+    return F.when((a == 0) & (b == 0), F.lit(float("nan"))).when(b == 0, F.lit(float("inf"))).when(x == 0, F.lit(float("-inf"))).otherwise(F.log2(x))
+
+
 def add_suffix(df: DataFrame, suffix: str, keys: Sequence[str]) -> DataFrame:
     return df.withColumnsRenamed({c: c + suffix for c in df.columns if c not in keys})
 

@@ -6,6 +6,7 @@ from tessera.plans import (  # noqa: F401
     queries_design,
     queries_raster,
     queries_reads,
+    queries_registration,
     queries_spatial,
     queries_statistics,
     queries_tables,
