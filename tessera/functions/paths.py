@@ -17,6 +17,8 @@ SUFFIX = r"(?:\.(.*))*\.(tif|pkl|csv|fastq)"
 FOLDER = r"([0-9]+X).(?:([^_\.]*).*?)\/([A-H][0-9]+)(?:[_-]Site[_-](([0-9]+)))?\/?"
 
 FILE_TAIL = SUBDIR + MAG + CYCLE + WELL + SITE + TILE + SUFFIX
+# what a path must hold before a pattern that needs it is tried
+HAS_SUFFIX, HAS_DATE = r"\.(?:tif|pkl|csv|fastq)", r"[0-9]{8}"
 # pattern and the group number of each field, in order of priority
 PATTERNS = [
     ("^" + HOME + DATASET + FILE_TAIL,
@@ -44,10 +46,13 @@ def parse_filename(path: Column, strict: bool = True) -> Column:
     # one match per pattern: the wanted groups, or nothing if it does not match
     mark = "\u0001"
     texts = []
-    for pattern, groups in PATTERNS:
+    for pattern, groups in PATTERNS:  # the dear patterns are tried only where a cheap test allows
         wanted = mark.join(f"${groups[f]}" if f in groups else "" for f in FIELDS)
         replaced = F.regexp_replace(path, pattern + ".*$", wanted)
-        texts.append(F.try_element_at(F.filter(F.array(replaced), lambda x: F.contains(x, F.lit(mark))), F.lit(1)))
+        tried = F.try_element_at(F.filter(F.array(replaced), lambda x: F.contains(x, F.lit(mark))), F.lit(1))
+        for test, needed in ((HAS_DATE, "date" in groups), (HAS_SUFFIX, "ext" in groups)):
+            tried = F.when(path.rlike(test), tried) if needed else tried
+        texts.append(tried)
     found = F.split(F.coalesce(*texts), mark)
     missing = F.raise_error(F.concat(F.lit("failed to parse filename: "), path)) if strict else F.lit(None)
     # the lambda's variable keeps the matches from being evaluated per field
