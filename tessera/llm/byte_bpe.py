@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tessera.llm.common import documents, whole
 
 MOST_VOCABULARY_BYTES = 64 << 20
-_REMEMBERED_WORDS = 1_000_000
+_REMEMBERED_WORDS = 300_000
 _REMEMBERED_BYTES = 256
 _REMEMBERED_PAIRS = 2_000_000
 _LONG_TEXT = 1 << 20
@@ -129,19 +129,25 @@ class PrefixTable:
 
 
 class _Words(dict):
-    """Encodings of pieces as packed little-endian numbers, made when asked for."""
+    """Encodings of pieces as packed little-endian numbers, made when asked
+    for. When full, the words move to ``old`` and those still in use come back."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.old = vocabulary, {}
 
     def __missing__(self, piece: str) -> bytes:
+        packed = self.old.get(piece)
+        if packed is not None:
+            self[piece] = packed
+            return packed
         data = piece.encode("utf-8", "surrogatepass")
         whole_piece = self.vocabulary.rank.get(data)
         ids = [whole_piece] if whole_piece is not None else PrefixTable(self.vocabulary, data).encode()
         packed = np.array(ids, "<u4").tobytes()
         if len(data) <= _REMEMBERED_BYTES:
             if len(self) >= _REMEMBERED_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
