@@ -27,10 +27,14 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import SPACE, documents, id_key, saved, shared_folder, whole
 
-#: The state lives in RocksDB; many small stores must not reserve disk space ahead.
+#: The state lives in RocksDB; many small stores must neither reserve disk space
+#: ahead nor hold memory of their own.
 _STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
 }
 #: The filter of hit digests has this many buckets of 32 768 bits (4 KB): 2 MB at most.
 _BUCKETS = 512
