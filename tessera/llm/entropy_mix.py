@@ -44,9 +44,8 @@ def ranked(df: DataFrame, column: str) -> DataFrame:
     lastly = F.col(column).isNull()
     parts = cut_lineage(df.repartitionByRange(lastly, F.col(column)).withColumn("part", F.spark_partition_id()))
     counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    ahead = counts.alias("a").join(counts.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(
-        F.col("a.part").alias("part")
-    ).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("ahead"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    ahead = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     within = F.row_number().over(Window.partitionBy("part").orderBy(lastly, column))
     return parts.withColumn("within", within).join(ahead, "part").withColumn("rank", F.col("within") + F.col("ahead")).drop(
         "part", "within", "ahead"
