@@ -10,8 +10,9 @@ from tessera.plans.registry import query
 from tessera.plans.sqltext import inverse4
 
 
-#: The columns that tell line items apart, in one number.
-LINE = "((l_orderkey * 10 + l_linenumber) * 1000003 + l_partkey) * 10007 + l_suppkey"
+# the columns that tell line items apart, in one number
+_LINE = "substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT), CAST(l_quantity AS BIGINT))), 1, 15)"
+LINE, LINE_SQL = f"CAST(conv({_LINE}, 16, 10) AS BIGINT)", f"CAST('0x' || {_LINE} AS BIGINT)"
 
 
 def line_reads(t):
@@ -29,7 +30,7 @@ def line_reads(t):
 
 READS = f"""
 reads AS (
-  SELECT l_returnflag AS well, 0::BIGINT AS site, {LINE} AS read, l_orderkey % 4000 AS cell,
+  SELECT l_returnflag AS well, 0::BIGINT AS site, {LINE_SQL} AS read, l_orderkey % 4000 AS cell,
          l_returnflag || l_linestatus || (l_quantity % 3)::INT::VARCHAR AS barcode, 1 - l_discount * 8 AS Q_min
   FROM lineitem)"""
 
@@ -70,22 +71,22 @@ N_CYCLES = 3
 
 def line_bases(t):
     """Long bases table: 3 cycles x 4 channels per line item."""
-    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"),
+    li = t.lineitem.select("l_orderkey", "l_linenumber", F.expr(LINE).alias("read"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"),
                            F.col("l_tax").alias("x"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
     q, d, x, n = F.col("q"), F.round(F.col("d") * 500), F.round(F.col("x") * 600), F.col("l_linenumber") * 7.0
     p, s = (F.col("p") % 50).cast("double"), (F.col("s") % 50).cast("double")
     signal = F.array(F.array(q, d, x, n), F.array(x, n, q, d), F.array(p, s, q, n))
     reads = li.select(
         F.concat(F.lit("w"), (F.col("l_orderkey") % 3).cast("string")).alias("well"), (F.col("l_orderkey") % 4).alias("site"),
-        F.expr(LINE).alias("read"), (F.col("l_orderkey") % 50).alias("cell"),
+        "read", (F.col("l_orderkey") % 50).alias("cell"),
         F.col("p").alias("i"), F.col("s").alias("j"), signal.alias("signal"))
     return reads_op.unpack_bases(reads, LETTERS, ["well", "site", "read", "cell", "i", "j"])
 
 
 BASES = f"""
-li AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS q, l_discount AS d, l_tax AS x, l_partkey AS p, l_suppkey AS s FROM lineitem),
+li AS (SELECT l_orderkey, l_linenumber, {LINE_SQL} AS read, l_quantity AS q, l_discount AS d, l_tax AS x, l_partkey AS p, l_suppkey AS s FROM lineitem),
 li2 AS (SELECT *, round(d * 500) AS d2, round(x * 600) AS x2, l_linenumber * 7.0::DOUBLE AS n FROM li),
-r AS (SELECT 'w' || (l_orderkey % 3)::VARCHAR AS well, l_orderkey % 4 AS site, {LINE} AS read, l_orderkey % 50 AS cell, p AS i, s AS j,
+r AS (SELECT 'w' || (l_orderkey % 3)::VARCHAR AS well, l_orderkey % 4 AS site, read, l_orderkey % 50 AS cell, p AS i, s AS j,
   [[q, d2, x2, n], [x2, n, q, d2], [(p % 50)::DOUBLE, (s % 50)::DOUBLE, q, n]] AS sig FROM li2),
 c AS (SELECT well, site, read, cell, i, j, k AS cycle, sig[k] AS x FROM r, (SELECT unnest(range(1, 4)) AS k))"""
 

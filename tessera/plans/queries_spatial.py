@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import spatial, tabular as T, tracking
-from tessera.plans.queries_reads import LINE
+from tessera.plans.queries_reads import LINE, LINE_SQL
 from tessera.plans.registry import query
 from tessera.plans.sqltext import inverse4
 
@@ -112,7 +112,7 @@ def line_nuclei(t):
 
 
 NUCLEI = f"""
-li AS (SELECT l_orderkey AS k, l_linenumber, {LINE} AS label, l_quantity AS q, l_discount AS d FROM lineitem),
+li AS (SELECT l_orderkey AS k, l_linenumber, {LINE_SQL} AS label, l_quantity AS q, l_discount AS d FROM lineitem),
 n AS (SELECT k % 40 AS tile, l_linenumber - 1 AS frame, label, (k * 37) % 1000 + q / 10 AS i, (k * 91) % 997 + d * 50 AS j FROM li),
 e AS (SELECT a.tile, a.frame, a.label, b.label AS prev, {DIST} AS distance FROM n a JOIN n b ON a.tile = b.tile AND a.frame = b.frame + 1
   QUALIFY row_number() OVER (PARTITION BY a.tile, a.frame, a.label ORDER BY {DIST}, b.label) <= 3)"""
