@@ -16,7 +16,7 @@ Defined cases: rows without an id, null vectors and vectors with null or
 non-finite components take no part; vectors of unequal length are compared as
 if the shorter ended in zeros; equal scores go to the smaller id; a query's own
 id is no candidate; repeated candidate rows each count, repeated queries count
-once; scores beyond 64 bits stop at the limit; with fewer candidates than k all
+once; scores beyond 64 bits stop at the limit, and tie there; with fewer candidates than k all
 are returned.
 """
 
@@ -111,8 +111,8 @@ def _group(k: int):
             c = [[int(x) for x in v] for v in c]
             for own, vector in zip(queries["id"], q):
                 vector = [int(x) for x in vector]
-                scores = sorted((-sum(a * b for a, b in zip(v, vector)), i) for v, i in zip(c, ids.tolist()) if i != own)[:k]
-                rows += [(own, i, _saturated(-s)) for s, i in scores]
+                scores = sorted((-_saturated(sum(a * b for a, b in zip(v, vector))), i) for v, i in zip(c, ids.tolist()) if i != own)[:k]
+                rows += [(own, i, -s) for s, i in scores]
         return pd.DataFrame(rows, columns=columns).astype("int64")
 
     return search

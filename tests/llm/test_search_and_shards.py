@@ -13,8 +13,9 @@ from tests.oracle import DATA, compare, connect
 def brute(vectors, queries, k):
     out = []
     for qi, q in queries:
-        scores = sorted((-int(sum(int(np.floor(256 * a)) * int(np.floor(256 * b)) for a, b in zip(q, v))), i) for i, v in vectors if i != qi)
-        out += [(qi, n + 1, i, max(-2**63, min(2**63 - 1, -s))) for n, (s, i) in enumerate(scores[:k])]
+        exact = [(sum(int(np.floor(256 * a)) * int(np.floor(256 * b)) for a, b in zip(q, v)), i) for i, v in vectors if i != qi]
+        scores = sorted((-max(-2**63, min(2**63 - 1, s)), i) for s, i in exact)
+        out += [(qi, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
 
