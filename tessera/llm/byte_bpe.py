@@ -30,7 +30,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tessera.llm.common import documents, whole
+from tessera.llm.common import documents, text_batches, whole
 
 MOST_VOCABULARY_BYTES = 64 << 20
 _REMEMBERED_WORDS = 300_000
@@ -184,6 +184,7 @@ def _coder(data: bytes, pattern: str) -> Coder:
 
 
 def _vocabulary(spark: SparkSession, path: str):
+    text_batches(spark)
     with open(path, "rb") as f:
         data = f.read(MOST_VOCABULARY_BYTES + 1)
     if len(data) > MOST_VOCABULARY_BYTES:

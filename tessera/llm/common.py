@@ -47,6 +47,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows and bytes that one Arrow batch of texts holds at most.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold few texts: they are long, and each
+    batch is in memory several times on its way to Python and back."""
+    for name, most in BATCH.items():
+        now = str(spark.conf.get(name, None) or "")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def whole(text: str | Column) -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

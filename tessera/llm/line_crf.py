@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tessera.llm.common import crc_mod, documents, labelled, saved, whole
+from tessera.llm.common import crc_mod, documents, labelled, saved, text_batches, whole
 
 EXAMPLES = 4_000
 STEPS = 60
@@ -196,6 +196,7 @@ def _sums(theta: np.ndarray):
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out=None, limit: int = EXAMPLES, steps: int = STEPS) -> np.ndarray | float:
     """Parameters by L-BFGS, or a constant score if the labels do not differ."""
+    text_batches(docs.sparkSession)
     held_out = F.lit(False) if held_out is None else held_out
     rows = labelled(docs, labels, label, held_out, limit)
     data = saved(rows.select("text", F.col("label").cast("int").alias("label")).mapInPandas(_examples, "label int, lines long, x binary"), "crf-features")

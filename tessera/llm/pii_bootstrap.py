@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tessera.llm.common import documents, id_key, saved, whole
+from tessera.llm.common import documents, id_key, saved, text_batches, whole
 from tessera.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -189,6 +189,7 @@ def slots(text: str, hashes: _Hashes, wanted: np.ndarray, counts: Counter) -> li
 
 def detect(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs``: id, counts and digest of the base spans, ``spans`` (all), ``n_added``."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("id"), id_key(doc_id).alias("key"), F.xxhash64(whole(text)).alias("h"), whole(text).alias("text"))
     base = saved(rows.withColumn("r", _base("text")).select("id", "key", "h", "r.*"), "pii-base")
     seeds = base.select(F.explode("seeds").alias("s")).select("s.*")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
-from tessera.llm.common import documents, id_key, saved, whole
+from tessera.llm.common import documents, id_key, saved, text_batches, whole
 from tessera.operators.graph import connected_components
 
 SHINGLE = 3
@@ -67,6 +67,7 @@ def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(id, fp) per row of ``docs``."""
+    text_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).alias("id"), _fingerprints(whole(text)).alias("fp"))
 
 

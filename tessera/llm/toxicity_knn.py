@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tessera.llm.common import crc_mod, documents, labelled, saved, whole
+from tessera.llm.common import crc_mod, documents, labelled, saved, text_batches, whole
 
 EXAMPLES = 20_000
 VOCABULARY = 4_096
@@ -210,6 +210,7 @@ def choose_terms(examples: DataFrame, limit: int = VOCABULARY, least: float = CH
 
 def features(docs: DataFrame, vocabulary: dict[str, int], text: str = "text"):
     """A column with the vocabulary terms of the whole text, repeats included."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -223,6 +224,7 @@ def features(docs: DataFrame, vocabulary: dict[str, int], text: str = "text"):
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 5, limit: int = EXAMPLES, k: int = NEIGHBOURS) -> tuple[Model, DataFrame]:
     """The model, and the features (all columns of ``docs`` but the text, terms) of all documents."""
+    text_batches(docs.sparkSession)
     examples = labelled(docs, labels, label, crc_mod("doc_id", fold) == 0, limit)
     vocabulary = choose_terms(examples)
     table = saved(docs.withColumn("terms", features(docs, vocabulary)).drop("text"), "toxicity-terms")

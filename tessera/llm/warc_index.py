@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import saved, shared_folder, whole
+from tessera.llm.common import saved, shared_folder, text_batches, whole
 
 #: Bytes that one archive file holds at most, one record more or less.
 FILE_BYTES = 256 << 20
@@ -142,6 +142,7 @@ def decisions(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write an archive record per row of ``pages`` (page_id, url, html); returns the index, itself written once."""
+    text_batches(pages.sparkSession)
     html = whole("html")
     rows = pages.select(
         "page_id", "url", html.alias("html"), F.concat(F.sha1(html.cast("binary")), F.sha2(html, 256)).alias("payload"),
