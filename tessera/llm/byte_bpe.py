@@ -30,7 +30,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tessera.llm.common import documents, text_batches, whole
+from tessera.llm.common import documents, text_batches, whole, worker_cache
 
 MOST_VOCABULARY_BYTES = 64 << 20
 _REMEMBERED_WORDS = 300_000
@@ -172,15 +172,8 @@ class Coder:
         return b"".join(map(self.vocabulary.token.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-_CODERS: dict[tuple[int, str], Coder] = {}
-
-
 def _coder(data: bytes, pattern: str) -> Coder:
-    key = (hash(data), pattern)
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = Coder(data, pattern)
-    return _CODERS[key]
+    return worker_cache(("byte_bpe", hash(data), pattern), lambda: Coder(data, pattern))
 
 
 def _vocabulary(spark: SparkSession, path: str):

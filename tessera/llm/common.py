@@ -60,6 +60,18 @@ def text_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+_WORKER: dict = {}
+
+
+def worker_cache(key, make):
+    """What a Python worker remembers from task to task; of one operator at a
+    time, so that the memory of one is free for the next."""
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = make()
+    return _WORKER[key]
+
+
 def whole(text: str | Column) -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

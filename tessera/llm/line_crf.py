@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tessera.llm.common import crc_mod, documents, labelled, saved, text_batches, whole
+from tessera.llm.common import crc_mod, documents, labelled, saved, text_batches, whole, worker_cache
 
 EXAMPLES = 4_000
 STEPS = 60
@@ -269,6 +269,7 @@ def score(theta: np.ndarray | float, text: str = "text"):
 
     @F.pandas_udf(T.DoubleType())
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        worker_cache("line_crf", object)
         for texts in batches:
             yield pd.Series(quality(theta, texts.tolist()), dtype="float64")
 

@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tessera.llm.common import documents, id_key, saved, text_batches, whole
+from tessera.llm.common import documents, id_key, saved, text_batches, whole, worker_cache
 from tessera.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -133,7 +133,7 @@ def _seeds(text: str, spans: list[tuple[int, str, int]], hashes: _Hashes) -> lis
 
 @F.pandas_udf(_BASE)
 def _base(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    hashes = _Hashes()
+    hashes = worker_cache("pii", _Hashes)
     for texts in batches:
         rows = []
         for text in texts:
@@ -201,7 +201,7 @@ def detect(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", support:
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(patterns))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, wanted = _Hashes(), np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").view(bool)
+        hashes, wanted = worker_cache("pii", _Hashes), np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").view(bool)
         names = ["key", "h", "side", "context", "n", "instance", "start", "end"]
         counts: Counter = Counter()
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
-from tessera.llm.common import documents, id_key, saved, text_batches, whole
+from tessera.llm.common import documents, id_key, saved, text_batches, whole, worker_cache
 from tessera.operators.graph import connected_components
 
 SHINGLE = 3
@@ -61,6 +61,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 @F.pandas_udf(T.LongType())
 def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    worker_cache("simhash", object)
     for texts in batches:
         yield pd.Series([fingerprint(t) for t in texts], dtype="int64")
 

@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tessera.llm.common import crc_mod, documents, labelled, saved, text_batches, whole
+from tessera.llm.common import crc_mod, documents, labelled, saved, text_batches, whole, worker_cache
 
 EXAMPLES = 20_000
 VOCABULARY = 4_096
@@ -215,7 +215,8 @@ def features(docs: DataFrame, vocabulary: dict[str, int], text: str = "text"):
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def terms(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scanner = Scanner(shared.value)
+        words = shared.value
+        scanner = worker_cache(("toxicity", hash(frozenset(words.items()))), lambda: Scanner(words))
         for texts in batches:
             yield texts.map(scanner.terms)
 
