@@ -246,11 +246,9 @@ def _(t):
 @query("channel_correlation", f"""
 WITH {PX}, {LAB}, box AS (SELECT tile, cell, min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1 FROM lab WHERE cell > 0 GROUP BY ALL)
 SELECT b.tile, b.cell, round(CASE WHEN isnan(corr(value, c1)) THEN NULL ELSE corr(value, c1) END, 6) AS corr FROM box b JOIN px p ON p.tile = b.tile AND p.i BETWEEN i0 AND i1 AND p.j BETWEEN j0 AND j1 WHERE value > 0
-GROUP BY ALL HAVING count(*) > 2""")
+GROUP BY ALL""")
 def _(t):
-    d = G.channel_correlation(blocks(t), channels(t), TILE, "c0", "c1")
-    box = G.bounding_boxes(blocks(t), TILE).filter("(i1 - i0) * (j1 - j0) > 2").select("tile", F.col("label").alias("cell"))
-    return d.join(box, ["tile", "cell"], "left_semi").withColumn("corr", r("corr", 6))
+    return G.channel_correlation(blocks(t), channels(t), TILE, "c0", "c1").withColumn("corr", r("corr", 6))
 
 
 @query("compartment_join", f"""
