@@ -3,6 +3,8 @@ with its values as pixels and the reversed vector as a second channel."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tessera.operators import raster as R, regions as G, registration
@@ -264,15 +266,20 @@ def _(t):
 
 @query("region_morphology", f"""
 WITH {PX}, {LAB}, c AS (SELECT tile, cell, avg(i) AS ci, avg(j) AS cj FROM lab WHERE cell > 0 GROUP BY ALL),
-m AS (SELECT tile, cell, count(*) AS n, (max(i) - min(i) + 1) * (max(j) - min(j) + 1) AS box, sum(pow(i - ci, 2)) AS m20, sum((i - ci) * (j - cj)) AS m11, sum(pow(j - cj, 2)) AS m02 FROM lab JOIN c USING (tile, cell) GROUP BY ALL),
+m AS (SELECT tile, cell, count(*) AS n, (max(i) - min(i) + 1) * (max(j) - min(j) + 1) AS box, sum(pow(i - ci, 2)) AS m20, sum((i - ci) * (j - cj)) AS m11, sum(pow(j - cj, 2)) AS m02,
+  sum(pow(i - ci, 3)) / pow(count(*), 2.5) AS h30, sum(pow(i - ci, 2) * (j - cj)) / pow(count(*), 2.5) AS h21, sum((i - ci) * pow(j - cj, 2)) / pow(count(*), 2.5) AS h12, sum(pow(j - cj, 3)) / pow(count(*), 2.5) AS h03 FROM lab JOIN c USING (tile, cell) GROUP BY ALL),
 t AS (SELECT *, m02 / n + 1.0::DOUBLE / 12 AS a, -m11 / n AS b, m20 / n + 1.0::DOUBLE / 12 AS c FROM m),
 e AS (SELECT *, (a + c + sqrt(pow(a - c, 2) + 4 * b * b)) / 2 AS l1, greatest(0, (a + c - sqrt(pow(a - c, 2) + 4 * b * b)) / 2) AS l2 FROM t)
 SELECT tile, cell, n AS area, round(n / box, 6) AS extent, round(4 * sqrt(l1), 5) AS major_axis, round(4 * sqrt(l2), 5) AS minor_axis, round(sqrt(1 - l2 / l1), 5) AS eccentricity,
-  round((m20 + m02) / pow(n, 2), 6) AS hu1, round(pow(m20 / pow(n, 2) - m02 / pow(n, 2), 2) + 4 * pow(m11 / pow(n, 2), 2), 6) AS hu2 FROM e""")
+  [round((m20 + m02) / pow(n, 2), 6) + 0.0, round(pow(m20 / pow(n, 2) - m02 / pow(n, 2), 2) + 4 * pow(m11 / pow(n, 2), 2), 6) + 0.0,
+   round(pow(h30 - 3 * h12, 2) + pow(3 * h21 - h03, 2), 6) + 0.0, round(pow(h30 + h12, 2) + pow(h21 + h03, 2), 6) + 0.0,
+   round((h30 - 3 * h12) * (h30 + h12) * (pow(h30 + h12, 2) - 3 * pow(h21 + h03, 2)) + (3 * h21 - h03) * (h21 + h03) * (3 * pow(h30 + h12, 2) - pow(h21 + h03, 2)), 6) + 0.0,
+   round((m20 - m02) / pow(n, 2) * (pow(h30 + h12, 2) - pow(h21 + h03, 2)) + 4 * m11 / pow(n, 2) * (h30 + h12) * (h21 + h03), 6) + 0.0,
+   round((3 * h21 - h03) * (h30 + h12) * (pow(h30 + h12, 2) - 3 * pow(h21 + h03, 2)) - (h30 - 3 * h12) * (h21 + h03) * (3 * pow(h30 + h12, 2) - pow(h21 + h03, 2)), 6) + 0.0] AS hu FROM e""")
 def _(t):
     d = G.morphology(blocks(t), TILE)
     return d.select("tile", "cell", "area", r("extent", 6).alias("extent"), *[r(c, 5).alias(c) for c in ("major_axis", "minor_axis", "eccentricity")],
-                    r(F.col("hu_moments")[0], 6).alias("hu1"), r(F.col("hu_moments")[1], 6).alias("hu2"))
+                    F.transform("hu_moments", lambda x: r(x, 6) + 0.0).alias("hu")  # no negative zeros)
 
 
 # vertices - edges + faces of the union of pixel squares
@@ -296,14 +303,24 @@ def _(t):
     return G.perimeters(blocks(t), TILE).withColumn("perimeter", r("perimeter", 6))
 
 
+def zernike_sql(n, m):
+    """Magnitude of one moment from its definition, over pixels (v, rho, phi)."""
+    f = math.factorial
+    terms = " + ".join(
+        f"({(-1) ** k * f(n - k) // (f(k) * f((n + m) // 2 - k) * f((n - m) // 2 - k))}) * pow(rho, {n - 2 * k})" for k in range((n - m) // 2 + 1))
+    return f"round({n + 1} / pi() * sqrt(pow(sum(v * ({terms}) * cos({m} * phi)), 2) + pow(sum(v * ({terms}) * sin({m} * phi)), 2)), 5)"
+
+
+ORDERS = [(n, m) for n in range(10) for m in range(n + 1) if (n - m) % 2 == 0]
+
+
 @query("zernike_moments", f"""
 WITH {PX}, {LAB}, c AS (SELECT tile, cell, sum(value * i) / sum(value) AS ci, sum(value * j) / sum(value) AS cj, sum(value) AS s FROM lab WHERE cell > 0 GROUP BY ALL),
-p AS (SELECT tile, cell, value / s AS v, (i - ci) / 9 AS y, (j - cj) / 9 AS x FROM lab JOIN c USING (tile, cell))
-SELECT tile, cell, round(sum(v) / pi(), 6) AS z00, round(2 / pi() * sqrt(pow(sum(v * x), 2) + pow(sum(v * y), 2)), 6) AS z11, round(3 / pi() * abs(sum(v * (2 * (x * x + y * y) - 1))), 6) AS z20,
-  round(3 / pi() * sqrt(pow(sum(v * (x * x - y * y)), 2) + pow(sum(v * 2 * x * y), 2)), 6) AS z22 FROM p WHERE x * x + y * y <= 1 GROUP BY ALL""")
+p AS (SELECT tile, cell, value / s AS v, sqrt(pow(i - ci, 2) + pow(j - cj, 2)) / 9 AS rho, atan2(i - ci, j - cj) AS phi FROM lab JOIN c USING (tile, cell))
+SELECT tile, cell, [{", ".join(zernike_sql(*o) for o in ORDERS)}] AS zernike FROM p WHERE rho <= 1 GROUP BY ALL""")
 def _(t):
     z = G.zernike(blocks(t), channels(t), TILE, "c0")
-    return z.select("tile", "cell", *[r(F.col("zernike")[k], 6).alias(n) for k, n in enumerate(["z00", "z11", "z20", "z22"])])
+    return z.select("tile", "cell", F.transform("zernike", lambda x: r(x, 5)).alias("zernike"))
 
 
 @query("threshold_adjacency", f"""
