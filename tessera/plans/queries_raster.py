@@ -279,7 +279,7 @@ SELECT tile, cell, n AS area, round(n / box, 6) AS extent, round(4 * sqrt(l1), 5
 def _(t):
     d = G.morphology(blocks(t), TILE)
     return d.select("tile", "cell", "area", r("extent", 6).alias("extent"), *[r(c, 5).alias(c) for c in ("major_axis", "minor_axis", "eccentricity")],
-                    F.transform("hu_moments", lambda x: r(x, 6) + 0.0).alias("hu")  # no negative zeros)
+                    F.transform("hu_moments", lambda x: r(x, 6) + 0.0).alias("hu"))  # no negative zeros
 
 
 # vertices - edges + faces of the union of pixel squares
