@@ -32,6 +32,8 @@ MOST = 2.0
 #: Rows of one rounding block, about.
 BLOCK = 20_000
 _UNIT = 1 << 20
+#: Parts that the rows of a source are dealt to where they meet its row of aims.
+_SALT = 64
 
 
 def words(text: str | Column) -> Column:
@@ -116,7 +118,8 @@ def tilts(histogram: DataFrame, aims: DataFrame, most: float = MOST, max_steps:
 def _rounded(rows: DataFrame, aims: DataFrame, block: int) -> DataFrame:
     """``rows`` with ``copies``: systematic rounding in order of size, per
     block, in whole units so that the order of additions does not matter."""
-    dealt = rows.join(aims.select("key", "target", "tilt", "full", "largest", "docs"), "key")
+    salted = aims.select("key", "target", "tilt", "full", "largest", "docs", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))).alias("salt"))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("id", "h", "row"), F.lit(_SALT)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
     rate = F.when(F.col("full"), F.lit(MOST)).when(F.col("size") == 0, F.lit(1.0)).when(F.col("target") <= 0, F.lit(0.0)).otherwise(
         F.least(F.lit(MOST), F.exp(F.col("tilt") * F.col("size") / F.col("largest")))
     )
