@@ -3,12 +3,17 @@
 Base spans (e-mail, IP, card, phone) come from fixed rules and always stay.
 They seed the bootstrap: the two words before and after each span are lexical
 patterns. Patterns that at least ``SUPPORT`` different seeds share are counted
-over the whole corpus: how often each occurs, and which identifier-like words
-fill its slot. Spark then scores the graph of patterns and instances in turns:
-a pattern scores the share of its occurrences that hold trusted instances, an
-instance the noisy-or of the patterns that hold it. Words in slots of patterns
-of at least ``PATTERN_SCORE``, themselves at ``INSTANCE_SCORE`` or above, are
-new spans of the pattern's kind.
+over the whole corpus: how often each occurs, and which identifier-like runs of
+words fill its slot. Spark then scores the graph of patterns and instances until
+it settles: a pattern scores the share of its occurrences that hold trusted
+instances, an instance the noisy-or of the patterns that hold it. What fills
+slots of patterns of at least ``PATTERN_SCORE``, itself at ``INSTANCE_SCORE`` or
+above, is a new span of the pattern's kind. Wherever else such an instance
+stands, as one word or as a whole run, its contexts count like those of a seed
+in the next turn; turns end when they bring no new pattern.
+
+A slot holds one word, or the run of words with a digit or an @ that starts
+there; a run ends where a base span begins.
 
 Which contexts matter is told to the second scan by a bitmap of fixed size;
 what passes it by chance is dropped by an exact join. Graph and counts stay
@@ -36,7 +41,9 @@ from tessera.llm.common import documents, id_key, saved, text_batches, whole, wo
 from tessera.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, ROUNDS, PATTERN_SCORE, INSTANCE_SCORE = 3, 3, 0.8, 0.9
+SUPPORT, EPSILON, PATTERN_SCORE, INSTANCE_SCORE = 3, 1e-6, 0.8, 0.9
+#: How far below its fixed point a score may be when it has settled.
+_NEAR = 1e-5
 _BITS = 1 << 22
 _REMEMBERED = 500_000
 # Fixed rules, written so that no part of a text is read again and again.
@@ -98,7 +105,35 @@ def _mixed(two: np.ndarray, near: np.ndarray, side: int) -> np.ndarray:
 
 
 def identifier_like(word: str) -> bool:
-    return len(word) >= 6 and ("@" in word or any("0" <= c <= "9" for c in word))
+    return len(word) >= 6 and bears(word)
+
+
+def bears(word: str) -> bool:
+    """Whether the word may be a part of an identifier."""
+    return "@" in word or any("0" <= c <= "9" for c in word)
+
+
+def free_words(text: str, words: list[str], places: list[tuple[int, int]]) -> list[bool]:
+    """Per word whether it may be a part of an unseen identifier: it bears a digit or @ and no base span covers it."""
+    base, at = sorted((a, b) for a, _, b in base_spans(text)), 0
+    out, end = [], -1  # ``end`` of the spans that begin before the word's end
+    for word, (a, b) in zip(words, places):
+        while at < len(base) and base[at][0] < b:
+            end, at = max(end, base[at][1]), at + 1
+        out.append(end <= a and bears(word))
+    return out
+
+
+def _runs(free: list[bool]) -> tuple[list[int], list[int]]:
+    """Per word the first and the last of its run."""
+    first, last = list(range(len(free))), list(range(len(free)))
+    for i in range(1, len(free)):
+        if free[i] and free[i - 1]:
+            first[i] = first[i - 1]
+    for i in range(len(free) - 2, -1, -1):
+        if free[i] and free[i + 1]:
+            last[i] = last[i + 1]
+    return first, last
 
 
 _SEED = T.StructType([
@@ -174,31 +209,53 @@ def slots(text: str, hashes: _Hashes, wanted: np.ndarray, counts: Counter) -> li
         for at in np.nonzero(wanted[_mixed(two, h[1:-1], n)])[0].tolist():
             context = f"{words[at + outer].lower()} {words[at + 1].lower()}"
             counts[side, context] += 1
-            if identifier_like(words[at + slot]):
+            if bears(words[at + slot]):
                 hits.append((side, context, at + slot))
     found = []
     if hits:
         places = [m.span() for m in _WORD.finditer(text)]
-        base = base_spans(text)
+        free = free_words(text, words, places)
+        first, last = _runs(free)
         for side, context, slot in hits:
-            a, b = places[slot]
-            if not any(s < b and a < e for s, _, e in base):
-                found.append((side, context, words[slot], a, b))
+            if free[slot]:
+                i, j = (slot, last[slot]) if side == "L" else (first[slot], slot)
+                unit = " ".join(words[i:j + 1])
+                if identifier_like(unit):
+                    found.append((side, context, unit, places[i][0], places[j][1]))
     return found
 
 
-def detect(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
-    """One row per row of ``docs``: id, counts and digest of the base spans, ``spans`` (all), ``n_added``."""
-    text_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("id"), id_key(doc_id).alias("key"), F.xxhash64(whole(text)).alias("h"), whole(text).alias("text"))
-    base = saved(rows.withColumn("r", _base("text")).select("id", "key", "h", "r.*"), "pii-base")
-    seeds = base.select(F.explode("seeds").alias("s")).select("s.*")
-    on = ["side", "context"]
-    patterns = saved(
-        seeds.groupBy("kind", *on, "bit", "instance").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("kind", *on, "bit").agg(F.count(F.lit(1)).alias("seeds"), F.sum("n").alias("hits")).filter(F.col("seeds") >= support), "pii-patterns",
-    )
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(patterns))
+def _name(unit: str) -> int:
+    return zlib.crc32(unit.encode("utf-8", "surrogatepass")) % _BITS
+
+
+_OCCURS = "side string, context string, bit int, instance string"
+
+
+def occurrences(text: str, hashes: _Hashes, wanted: np.ndarray) -> list[tuple[str, str, int, str]]:
+    """Contexts of the words and whole runs that may be among the wanted instances."""
+    words = _WORD.findall(text)
+    if len(words) < 3 or not any(map(bears, words)):
+        return []
+    free = free_words(text, words, [m.span() for m in _WORD.finditer(text)])
+    last = _runs(free)[1]
+    out = []
+    for i, own in enumerate(free):
+        ends = ({i, last[i]} if not i or not free[i - 1] else {i}) if own else ()
+        for j in ends:
+            unit = " ".join(words[i:j + 1])
+            if identifier_like(unit) and wanted[_name(unit)]:
+                for n, (side, step) in enumerate(_SIDES):
+                    near, two = (i - 1, i - 2) if step < 0 else (j + 1, j + 2)
+                    if 0 <= two < len(words):
+                        bit = _mixed(*(np.array([hashes[words[x]]], np.uint64) for x in (two, near)), n)
+                        out.append((side, f"{words[two].lower()} {words[near].lower()}", int(bit[0]), unit))
+    return out
+
+
+def _slots(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """How often patterns occur and what fills their slots, as in ``_SLOTS``."""
+    bits = rows.sparkSession.sparkContext.broadcast(_bitmap(patterns))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, wanted = worker_cache("pii", _Hashes), np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").view(bool)
@@ -219,27 +276,77 @@ def detect(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", support:
                 yield counted()
         yield counted()
 
-    seen = saved(rows.select("key", "h", "text").mapInPandas(scan, _SLOTS), "pii-slots")
-    total = seen.filter(F.col("instance").isNull()).groupBy(*on).agg(F.sum("n").alias("total"))
-    known = saved(patterns.select("kind", *on, "hits").join(total, on), "pii-counted")
-    places = seen.filter(F.col("instance").isNotNull()).drop("n")
-    edges = saved(
-        places.groupBy(*on, "instance").agg(F.count(F.lit(1)).alias("n")).join(known.select("kind", *on), on), "pii-edges"
-    )
-    trusted = edges.select("kind", "instance").distinct().withColumn("trust", F.lit(0.0))
-    for _ in range(rounds):
+    return saved(rows.select("key", "h", "text").mapInPandas(scan, _SLOTS), "pii-slots")
+
+
+def _contexts(rows: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(kind, side, context, bit, instance): where trusted instances (kind, instance) stand."""
+    named = trusted.select(F.pmod(F.crc32(F.col("instance").cast("binary")), F.lit(_BITS)).cast("int").alias("bit"))
+    bits = rows.sparkSession.sparkContext.broadcast(_bitmap(named))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, wanted = worker_cache("pii", _Hashes), np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").view(bool)
+        for batch in batches:
+            yield pd.DataFrame([o for text in batch["text"] for o in occurrences(text, hashes, wanted)], columns=["side", "context", "bit", "instance"])
+
+    return rows.select("text").mapInPandas(scan, _OCCURS).distinct().join(trusted.select("kind", "instance"), "instance")
+
+
+def _settled(edges: DataFrame, known: DataFrame, epsilon: float) -> tuple[DataFrame, DataFrame]:
+    """Scores of patterns and trust of instances: the least fixed point, to ``epsilon``."""
+    on = ["side", "context"]
+    trusted = cut_lineage(edges.select("kind", "instance").distinct().withColumn("trust", F.lit(0.0)))
+    while True:
         more = edges.join(trusted, ["kind", "instance"]).groupBy("kind", *on).agg(F.sum(F.col("n") * F.col("trust")).alias("more"))
         scores = known.join(more, ["kind", *on], "left").withColumn(
             "score", F.least(F.lit(1.0), (F.col("hits") + F.coalesce("more", F.lit(0.0))) / (F.col("total") + 1))
         )
         scores = cut_lineage(scores.select("kind", *on, "score"))
         good = scores.filter(F.col("score") >= 0.5)
-        trusted = cut_lineage(edges.join(good, ["kind", *on]).groupBy("kind", "instance").agg(
-            (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6)))))).alias("trust")
-        ))
-    new = places.join(scores.filter(F.col("score") >= PATTERN_SCORE), on).join(
-        trusted.filter(F.col("trust") >= INSTANCE_SCORE), ["kind", "instance"]
-    )
+        found = edges.join(good, ["kind", *on]).groupBy("kind", "instance").agg(
+            (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6)))))).alias("now")
+        )
+        both = cut_lineage(trusted.join(found, ["kind", "instance"], "left").withColumn("now", F.coalesce("now", F.lit(0.0))))
+        trusted = both.select("kind", "instance", F.col("now").alias("trust"))
+        if (both.agg(F.max(F.abs(F.col("now") - F.col("trust")))).first()[0] or 0.0) <= epsilon:  # trust only ever rises
+            return scores, trusted
+
+
+def detect(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", support: int = SUPPORT, epsilon: float = EPSILON) -> DataFrame:
+    """One row per row of ``docs``: id, counts and digest of the base spans, ``spans`` (all), ``n_added``."""
+    text_batches(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).alias("id"), id_key(doc_id).alias("key"), F.xxhash64(whole(text)).alias("h"), whole(text).alias("text"))
+    base = saved(rows.withColumn("r", _base("text")).select("id", "key", "h", "r.*"), "pii-base")
+    seeds = base.select(F.explode("seeds").alias("s")).select("s.*")
+    on = ["side", "context"]
+    seeded = saved(seeds.groupBy("kind", *on, "bit", "instance").agg(F.count(F.lit(1)).alias("n")), "pii-seeded")
+    more, before = None, -1
+    while True:
+        own = seeded if more is None else seeded.unionByName(more.withColumn("n", F.lit(0).cast("long")))
+        patterns = saved(
+            own.groupBy("kind", *on, "bit").agg(F.count_distinct("instance").alias("seeds"), F.sum("n").alias("hits")).filter(F.col("seeds") >= support), "pii-patterns",
+        )
+        n = patterns.count()
+        if n <= before:  # patterns are only ever added
+            break
+        before = n
+        seen = _slots(rows, patterns)
+        total = seen.filter(F.col("instance").isNull()).groupBy(*on).agg(F.sum("n").alias("total"))
+        known = saved(patterns.select("kind", *on, "hits").join(total, on), "pii-counted")
+        places = seen.filter(F.col("instance").isNotNull()).drop("n")
+        edges = saved(
+            places.groupBy(*on, "instance").agg(F.count(F.lit(1)).alias("n")).join(known.select("kind", *on), on), "pii-edges"
+        )
+        scores, trusted = _settled(edges, known, epsilon)
+        new = places.join(scores.filter(F.col("score") >= PATTERN_SCORE - _NEAR), on).join(
+            trusted.filter(F.col("trust") >= INSTANCE_SCORE - _NEAR), ["kind", "instance"]
+        )
+        new = saved(new, "pii-new")
+        held = new.select("kind", "instance").distinct()
+        if held.isEmpty():
+            break
+        again = _contexts(rows, held)
+        more = saved(again if more is None else more.unionByName(again.select(*more.columns)).distinct(), "pii-contexts")
     one = new.groupBy("key", "h", "start", "end").agg(F.max(F.struct("score", "kind"))["kind"].alias("kind"))
     name = F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string"))
     added = one.groupBy("key", "h").agg(F.collect_list(name).alias("added"))  # spans of one text

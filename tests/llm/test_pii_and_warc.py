@@ -74,6 +74,28 @@ def test_loose_contexts_add_nothing(spark):
     assert pii_bootstrap.detect(spark.createDataFrame(rows, "doc_id long, text string").limit(0)).count() == 0
 
 
+def found(spark, texts):
+    got = pii_bootstrap.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).filter("n_added > 0").collect()
+    return {r["id"]: [s for s in r["spans"].split(",") if s] for r in got}
+
+
+def test_scores_settle(spark):
+    texts = [f"thing{i}x was here so write to user{i}@mail.example.com" for i in range(10)] + [f"and so write to hidden{i}(at)example" for i in range(5)]
+    assert set(found(spark, texts)) == set(range(10, 15))  # trust 0.881 after three rounds, 10 / 11 in the end
+
+
+def test_new_instances_induce_patterns(spark):
+    texts = [f"well you may write to user{i}@mail.example.com" for i in range(30)]
+    texts += [f"well you may write to secret{i}(at)example" for i in range(2)] + ["then you may write to secret2(at)example"]
+    texts += [f"contact desk holds secret{i % 3}(at)example" for i in range(30)] + ["contact desk holds other7(at)example"]
+    assert set(found(spark, texts)) == set(range(30, 64))
+
+
+def test_slots_span_numbers_written_with_spaces(spark):
+    texts = [f"please call me at +49 30 {1000000 + i} today friend" for i in range(20)] + ["please call me at 030 55 12 7 today friend"]
+    assert found(spark, texts) == {20: ["phone:18:29"]}
+
+
 PAGES = [
     (1, "http://a\nb", "x", 0), (2, None, "x", 0), (2, "u", "x", 0), (None, "q", "x", 0), (5, "e", None, 0), (6, "e", "", 0), (7, "z", "ü\r\n\r\nWARC/1.1\r\n" * 9000, 0),
     (None, None, None, 0),
