@@ -87,6 +87,14 @@ def _(t):
     return D.roc_auc(D.roc_curves(scores, "label")).withColumn("auc", r("auc", 6))
 
 
+# the embeddings as they are, by the forest of full size; Spark's forest has no SQL form
+@query("forest_roc_auc_embeddings")
+def _(t):
+    train, test = D.split_by_key(cells(t), "vec_id")
+    scores = D.forest_scores(train, test, "features", "label", ["vec_id"])
+    return D.roc_auc(D.roc_curves(scores, "label")).withColumn("auc", r("auc", 6))
+
+
 # the first feature as a score for "label below 5"
 @query("roc_auc", """
 WITH s AS (SELECT (label < 5)::INT AS hit, round(embedding[1]::DOUBLE, 6) AS score FROM embeddings), p AS (SELECT score FROM s WHERE hit = 1), n AS (SELECT score FROM s WHERE hit = 0)
