@@ -3,6 +3,8 @@
 import corpus_pipeline
 from tessera.llm import (
     byte_bpe,
+    chat_masks,
+    chat_repair,
     entropy_mix,
     exact_dedup,
     extendible,
@@ -12,6 +14,7 @@ from tessera.llm import (
     simhash_mih,
     toxicity_knn,
     warc_index,
+    whitening,
 )
 
 QUERIES = {
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_toxicity_knn": toxicity_knn.query,
     "op9_warc_index": warc_index.query,
     "op10_simhash_mih": simhash_mih.query,
+    "op11_chat_repair": chat_repair.query,
+    "op12_chat_masks": chat_masks.query,
+    "op13_whitening": whitening.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -32,4 +38,5 @@ SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op4_maxscore": maxscore.SQL,
     "op5_extendible": extendible.SQL,
+    "op12_chat_masks": chat_masks.SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
