@@ -146,12 +146,12 @@ def rendered_block(turns: list[tuple[str, str]]) -> tuple[str, np.ndarray]:
     return "".join(parts), np.array(spans, np.int64).reshape(-1, 2)
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list[tuple[str, str]]]]:
-    """(conversation, turns) of at most about ``BLOCK`` characters, in order."""
+def _blocks(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[str, list[tuple[str, str]]]]:
+    """(conversation, turns) of at most about ``most`` characters, in order."""
     now, held, size = None, [], 0
     for batch in batches:
         for key, role, text in zip(batch["key"], batch["role"], batch["text"]):
-            if held and (key != now or size >= BLOCK):
+            if held and (key != now or size >= most):
                 yield now, held
                 held, size = [], 0
             now = key
@@ -214,14 +214,14 @@ def conversation(key: Column) -> Column:
     return F.when(key != "null", key.cast("long"))
 
 
-def formatted(turns: DataFrame, path: str, pattern: str) -> DataFrame:
+def formatted(turns: DataFrame, path: str, pattern: str, block: int = BLOCK) -> DataFrame:
     """(conv_id, part, block, formatted, ids, loss): renderings with their token
     ids and the mask per token; the blocks of a long conversation go by part, then block."""
     data = _vocabulary(turns.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder, part = _coder(data.value, pattern), TaskContext.get().partitionId()
-        for n, (key, held) in enumerate(_blocks(batches)):
+        for n, (key, held) in enumerate(_blocks(batches, block)):
             text, spans = rendered_block(held)
             pieces = list(coder.masked(text, spans))
             yield pd.DataFrame({
@@ -233,7 +233,7 @@ def formatted(turns: DataFrame, path: str, pattern: str) -> DataFrame:
     return out.select(conversation(F.col("key")).alias("conv_id"), "part", "block", "formatted", "ids", "loss")
 
 
-def digests(turns: DataFrame, path: str, pattern: str) -> DataFrame:
+def digests(turns: DataFrame, path: str, pattern: str, block: int = BLOCK) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
     formatted_chars), read back from ids and mask."""
     data = _vocabulary(turns.sparkSession, path)
@@ -249,7 +249,7 @@ def digests(turns: DataFrame, path: str, pattern: str) -> DataFrame:
             if state is not None:
                 rows.append((now, part, 0, *state.row(), None, None))
 
-        for n, (key, held) in enumerate(_blocks(batches)):
+        for n, (key, held) in enumerate(_blocks(batches, block)):
             text, spans = rendered_block(held)
             pieces = list(coder.masked(text, spans))
             back = coder.text(ids for ids, _ in pieces)
@@ -265,11 +265,11 @@ def digests(turns: DataFrame, path: str, pattern: str) -> DataFrame:
             else:
                 state.add(back, under)
                 kept.append((back, under))
-                if sum(len(b) for b, _ in kept) > BLOCK:  # long: left to the second stream as well
+                if sum(len(b) for b, _ in kept) > block:  # long: left to the second stream as well
                     rows += [(key, part, n - len(kept) + 1 + m, *[None] * len(_DIGEST), b, u) for m, (b, u) in enumerate(kept)]
                     size += sum(len(b) for b, _ in kept)
                     first, state, kept = key, None, []
-            if len(rows) >= 1000 or size >= 8 * BLOCK:
+            if len(rows) >= 1000 or size >= 8 * block:
                 yield pd.DataFrame(rows, columns=columns)
                 rows, size = [], 0
         if state is not None:  # the last one of the range
