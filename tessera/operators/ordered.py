@@ -6,7 +6,7 @@ window runs per (group, block), and one header row per (group, block) carries
 the state across the cuts, so no join is needed. The number of blocks is that
 of the range exchange: the session's shuffle partitions, merged by size by
 adaptive execution. Rows that tie on the first order column are split by the
-others.
+others, and rows of different groups with equal order values by their keys.
 """
 
 from __future__ import annotations
@@ -21,10 +21,13 @@ from tessera.session import cut_lineage
 BLOCK = "_block"
 
 
-def blocked(df: DataFrame, order: Sequence[Column], n_blocks: int | None = None) -> DataFrame:
+def blocked(df: DataFrame, order: Sequence[Column], n_blocks: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """``df`` cut into ranges along ``order`` (ascending, nulls first) and
-    written once. Several scans along the axis, or against it, may share it."""
-    spread = df.repartitionByRange(n_blocks, *order) if n_blocks else df.repartitionByRange(*order)
+    written once. Several scans along the axis, or against it, may share it.
+    Rows of many groups with one order value are split by their ``keys``; the
+    ranges of each group are in order all the same."""
+    axis = [*order, *map(F.col, keys)]
+    spread = df.repartitionByRange(n_blocks, *axis) if n_blocks else df.repartitionByRange(*axis)
     return cut_lineage(spread.withColumn(BLOCK, F.spark_partition_id()))
 
 
@@ -61,7 +64,7 @@ def scan(
     pass. A frame from ``blocked`` along the same order keeps its blocks.
     """
     keys, shared = list(keys), BLOCK in df.columns
-    body = df if shared else blocked(df, order, n_blocks)
+    body = df if shared else blocked(df, order, n_blocks, keys)
     spec = {name: (out[0], out[1], len(out) > 2 and out[2] == "back") for name, out in outputs.items()}
     places = [f"_o{n}" for n in range(len(order))]
     forward = [F.col(p).asc_nulls_first() for p in places]

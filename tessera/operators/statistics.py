@@ -53,7 +53,7 @@ def adjust_pvalues(df: DataFrame, p: str, keys: Sequence[str] = (), bh: str | No
     """
     keys, v = list(keys), F.col(p)
     tied = df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_c"))
-    tied = scan(ordered.blocked(tied, [v]), keys, [v], {"_upto": ("sum", F.col("_c")), "_down": ("sum", F.col("_c"), "back")})
+    tied = scan(ordered.blocked(tied, [v], keys=keys), keys, [v], {"_upto": ("sum", F.col("_c")), "_down": ("sum", F.col("_c"), "back")})
     # of _m values, _upto are at or below this one and _down at or above
     step_up = v * (F.col("_upto") + F.col("_down") - F.col("_c")) / F.col("_upto")
     step_down = F.when(v >= 1, F.lit(1.0)).otherwise(-F.expm1(F.col("_down") * F.log1p(-v)))
@@ -262,7 +262,7 @@ def lower_envelope(df: DataFrame, group: str, value: str, low: float, high: floa
     both = start.unionByName(steps).unionByName(grid).withColumn("_m", F.when(F.col("y").isNotNull(), F.struct("x", "y")))
     asked = F.col("y").isNull().cast("int")
     height = F.coalesce("y", F.lit(0.0))
-    both = ordered.blocked(both, [F.col("x")])
+    both = ordered.blocked(both, [F.col("x")], keys=[group])
     both = scan(both, [group], [F.col("x"), asked, height], {"_lo": ("last", F.col("_m"))})
     both = scan(both, [group], [F.col("x"), 1 - asked, height], {"_hi": ("last", F.col("_m"), "back")})
     share = (F.col("x") - F.col("_lo.x")) / F.nullif(F.col("_hi.x") - F.col("_lo.x"), F.lit(0.0))

@@ -256,7 +256,7 @@ def interpolate(df: DataFrame, keys: Sequence[str], order: Sequence[Column], col
     """Linear in row position between known values; trailing gaps repeat the
     last value, leading gaps stay null. The order columns are numbers without
     gaps (nulls) and unique per group."""
-    placed = ordered.scan(ordered.blocked(df, order), keys, order, {"_at": ("count", None)})
+    placed = ordered.scan(ordered.blocked(df, order, keys=keys), keys, order, {"_at": ("count", None)})
     known = F.when(F.col(col).isNotNull(), F.struct(F.col("_at").alias("at"), F.col(col).alias("v")))
     placed = placed.withColumn("_known", known)
     both = ordered.scan(placed, keys, order, {"_prev": ("last", F.col("_known")), "_next": ("last", F.col("_known"), "back")})

@@ -7,7 +7,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tessera.operators import raster as R, regions as G, registration
+from tessera.operators import raster as R, regions as G, registration, shapes
 from tessera.plans.registry import query
 
 r = F.round
@@ -365,3 +365,34 @@ WITH {PX} SELECT tile // 10 AS plate, round(avg(c), 6) AS r FROM (SELECT tile, c
 def _(t):
     per = tiles(t).filter("value > 900 AND c1 > 900").groupBy("tile").agg(F.corr("value", "c1").alias("c"))
     return per.groupBy(F.floor(F.col("tile") / 10).alias("plate")).agg(r(F.avg("c"), 6).alias("r"))
+
+
+# --- outlines ------------------------------------------------------------------
+
+@query("region_hulls", f"""
+WITH {PX}, {LAB}, rw AS (SELECT tile, cell, i, min(j) AS a, max(j) AS b, count(*) AS n FROM lab WHERE cell > 0 GROUP BY ALL),
+p AS (SELECT DISTINCT tile, cell, 2 * i + d AS y, 2 * CASE e WHEN 0 THEN a ELSE b END + CASE WHEN d <> 0 THEN 0 WHEN e = 0 THEN -1 ELSE 1 END AS x FROM rw, (SELECT unnest([-1, 0, 1]) AS d), (SELECT unnest([0, 1]) AS e)),
+e AS (SELECT a.tile, a.cell, a.y AS ay, a.x AS ax, b.y AS zy, b.x AS zx FROM p a JOIN p b ON a.tile = b.tile AND a.cell = b.cell AND (a.y <> b.y OR a.x <> b.x) JOIN p c ON a.tile = c.tile AND a.cell = c.cell
+  GROUP BY ALL HAVING min((b.y - a.y) * (c.x - a.x) - (b.x - a.x) * (c.y - a.y)) >= 0),
+o AS (SELECT tile, cell, ay, ax, arg_min(zy, (zy - ay) ** 2 + (zx - ax) ** 2) AS zy, arg_min(zx, (zy - ay) ** 2 + (zx - ax) ** 2) AS zx FROM e GROUP BY ALL),
+ar AS (SELECT tile, cell, abs(sum(ay * zx - zy * ax)) / 8 AS hull_area FROM o GROUP BY ALL),
+inside AS (SELECT px.tile, e.cell, px.i, px.j FROM px JOIN e USING (tile) GROUP BY ALL HAVING min((zy - ay) * (2 * px.j - ax) - (zx - ax) * (2 * px.i - ay)) >= 0),
+cv AS (SELECT tile, cell, count(*) AS convex_area FROM inside GROUP BY ALL), n AS (SELECT tile, cell, sum(n)::BIGINT AS area FROM rw GROUP BY ALL)
+SELECT tile, cell, area, hull_area::DOUBLE AS hull_area, convex_area, area::DOUBLE / convex_area AS solidity FROM n JOIN ar USING (tile, cell) JOIN cv USING (tile, cell)""")
+def _(t):
+    return shapes.hulls(blocks(t), TILE, band=2).drop("hull")
+
+
+SIDES_SQL = " UNION ALL ".join(
+    f"SELECT tile, cell, {d} AS d, i + {s[0]} AS y, j + {s[1]} AS x, i + {e[0]} AS ty, j + {e[1]} AS tx FROM spot ANTI JOIN (SELECT tile, cell, i - {n[0]} AS i, j - {n[1]} AS j FROM spot) USING (tile, cell, i, j)"
+    for d, (s, e, n) in enumerate(shapes.SIDES))
+
+
+@query("region_contours", f"""
+WITH RECURSIVE {PX}, {LAB}, spot AS (SELECT tile, cell, i, j FROM lab WHERE cell > 0), sd AS ({SIDES_SQL}),
+nx AS (SELECT a.tile, a.cell, (a.y * 100 + a.x) * 4 + a.d AS s, arg_min((b.y * 100 + b.x) * 4 + b.d, (b.d - a.d + 5) % 4) AS t FROM sd a JOIN sd b ON a.tile = b.tile AND a.cell = b.cell AND a.ty = b.y AND a.tx = b.x GROUP BY ALL),
+w AS (SELECT tile, cell, s AS head, s AS here, 0 AS place FROM nx UNION ALL SELECT w.tile, w.cell, w.head, nx.t, place + 1 FROM w JOIN nx ON w.tile = nx.tile AND w.cell = nx.cell AND w.here = nx.s WHERE nx.t <> w.head),
+l AS (SELECT tile, cell, head, count(*) AS length FROM w GROUP BY ALL HAVING min(here) = head), o AS (SELECT *, row_number() OVER (PARTITION BY tile, cell ORDER BY head)::INTEGER AS loop FROM l)
+SELECT w.tile, w.cell, loop, length, place::BIGINT AS place, (here // 400)::INTEGER AS y, ((here // 4) % 100)::INTEGER AS x FROM w JOIN o USING (tile, cell, head)""")
+def _(t):
+    return shapes.contours(blocks(t), TILE)

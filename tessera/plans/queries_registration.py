@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import raster as R, registration, statistics as S, tabular as T
+from tessera.operators import corners, raster as R, registration, statistics as S, tabular as T
 from tessera.plans import workflows
 from tessera.plans.queries_raster import DISK, DISKS, PX, TILE, disks, plane
 from tessera.plans.registry import query
@@ -63,6 +63,51 @@ def _(t):
     return registration.register_and_offset(both, TILE, "frame", limit=5).select("tile", "frame", "i", "j", "value")
 
 
+def turned_spots(t, side=96, number=140, sigma=1.7):
+    """A field of bright spots per supplier, and the same field turned by 1 to
+    10 degrees about its centre and moved by whole pixels; spots are drawn at
+    their exact places."""
+    k, n = F.col("s_suppkey"), F.col("n")
+    place = lambda salt: F.pmod(F.xxhash64(k, n, F.lit(salt)), F.lit(1000 * side)) / 1000.0
+    spots = t.supplier.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(number - 1)))).select(
+        k.alias("tile"), place(1).alias("y0"), place(2).alias("x0"), (300 + F.pmod(F.xxhash64(k, n, F.lit(3)), F.lit(2000))).alias("a"),
+        F.radians((1 + k % 10) * (1 - 2 * (k % 2))).alias("turn"), (k % 5 - 2).alias("di"), (k % 3 - 1).alias("dj"))
+    mid = (side - 1) / 2
+    y, x, c, s = F.col("y0") - mid, F.col("x0") - mid, F.cos("turn"), F.sin("turn")
+    both = spots.select("tile", "a", F.lit(0).alias("cycle"), F.col("y0").alias("y"), F.col("x0").alias("x")).unionByName(
+        spots.select("tile", "a", F.lit(1).alias("cycle"), (y * c - x * s + mid + F.col("di")).alias("y"), (y * s + x * c + mid + F.col("dj")).alias("x")))
+    near = F.sequence(F.lit(-6), F.lit(6))
+    px = both.withColumn("i", F.explode(F.transform(near, lambda d: F.round("y").cast("int") + d))).withColumn("j", F.explode(F.transform(near, lambda d: F.round("x").cast("int") + d)))
+    px = px.filter((F.col("i") >= 0) & (F.col("i") < side) & (F.col("j") >= 0) & (F.col("j") < side))
+    light = F.col("a") * F.exp(-(F.pow(F.col("i") - F.col("y"), 2) + F.pow(F.col("j") - F.col("x"), 2)) / (2 * sigma * sigma))
+    line = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    ground = t.supplier.select(k.alias("tile"), F.explode(F.array(F.lit(0), F.lit(1))).alias("cycle")).withColumn("i", line).withColumn("j", line).withColumn("v", F.lit(0.0))
+    drawn = px.select("tile", "cycle", "i", "j", light.alias("v")).unionByName(ground).groupBy("tile", "cycle", "i", "j").agg(F.sum("v").alias("v"))
+    return drawn.select("tile", "cycle", "i", "j", F.round("v").cast("bigint").alias("value"))
+
+
+# the turn in degrees, where the middle of the first cycle lies in the second one, and how far off the farthest corner is
+@query("rotated_cycles", """
+SELECT s_suppkey AS tile, ((1 + s_suppkey % 10) * (1 - 2 * (s_suppkey % 2)))::BIGINT AS turn, s_suppkey % 5 - 2 AS di, s_suppkey % 3 - 1 AS dj, TRUE AS within_half FROM supplier""")
+def _(t):
+    moves = corners.rigid_moves(turned_spots(t), TILE, "cycle").filter("cycle = 1")
+    k, mid = F.col("tile"), 47.5
+    truth = F.radians((1 + k % 10) * (1 - 2 * (k % 2)))
+
+    def goes(y, x):
+        """Where a place goes by the move, less where it goes in truth."""
+        c, s = F.cos("turn"), F.sin("turn")
+        tc, ts = F.cos(truth), F.sin(truth)
+        di = y * c - x * s + F.col("si") - ((y - mid) * tc - (x - mid) * ts + mid + k % 5 - 2)
+        dj = y * s + x * c + F.col("sj") - ((y - mid) * ts + (x - mid) * tc + mid + k % 3 - 1)
+        return di, dj
+
+    far = F.greatest(*[F.sqrt(a * a + b * b) for a, b in (goes(y, x) for y in (0, 95) for x in (0, 95))])
+    di, dj = goes(mid, mid)
+    return moves.select(
+        "tile", r(F.degrees("turn")).cast("bigint").alias("turn"), r(di + k % 5 - 2).cast("bigint").alias("di"), r(dj + k % 3 - 1).cast("bigint").alias("dj"), (far < 0.5).alias("within_half"))
+
+
 @query("fill_holes", f"""
 WITH RECURSIVE {PX}, bg AS (SELECT tile, i, j FROM px WHERE value <= 950), o(d, e) AS (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)),
 outside AS (SELECT tile, i, j FROM bg WHERE i IN (0, 7) OR j IN (0, 7) UNION SELECT b.tile, b.i, b.j FROM outside s CROSS JOIN o JOIN bg b ON b.tile = s.tile AND b.i = s.i + o.d AND b.j = s.j + o.e)

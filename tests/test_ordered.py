@@ -102,3 +102,15 @@ def test_interpolate_edges(spark):
     df = spark.createDataFrame([(n, v) for n, v in enumerate([None, 1.0, None, 4.0, None, None])], "o int, v double")
     got = [r["v"] for r in interpolate(df, [], [F.col("o")], "v").orderBy("o").collect()]
     assert got == [None, 1.0, 2.5, 4.0, 4.0, 4.0]
+
+
+def test_groups_that_share_one_value_are_split(spark):
+    """100 000 groups with one zero each and 300 000 other values."""
+    zeros = spark.range(100_000).select(F.col("id").alias("k"), F.lit(0.0).alias("v"))
+    others = spark.range(300_000).select((F.col("id") % 100_000).alias("k"), (F.xxhash64("id") % 1_000_003).cast("double").alias("v"))
+    df = zeros.unionByName(others)
+    sizes = [r["n"] for r in blocked(df, [F.col("v")], 8, ["k"]).groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 400_000 and max(sizes) < 80_000
+    want = df.groupBy("k").agg(F.percentile("v", 0.5).alias("m"))
+    got = quantiles(df, ["k"], F.col("v"), [0.5]).select("k", F.col("q")[0].alias("m"))
+    assert got.join(want, "k").filter(F.abs(got["m"] - want["m"]) > 1e-9).isEmpty() and got.count() == 100_000
