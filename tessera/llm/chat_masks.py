@@ -129,7 +129,8 @@ class ChatCoder:
 
     def text(self, pieces: Iterator[np.ndarray]) -> str:
         """The text of some ids; a character may be cut between pieces."""
-        return b"".join(self.token[i] for ids in pieces for i in ids.tolist()).decode("utf-8", "surrogatepass")
+        token = self.token.__getitem__
+        return b"".join(b"".join(map(token, ids.tolist())) for ids in pieces).decode("utf-8", "surrogatepass")
 
 
 def rendered_block(turns: list[tuple[str, str]]) -> tuple[str, np.ndarray]:

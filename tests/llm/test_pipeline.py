@@ -9,7 +9,7 @@ from tests.oracle import DATA
 
 
 def test_all_queries_are_registered():
-    assert set(queries.QUERIES) == {"pipeline"} | {k for k in queries.QUERIES if k.startswith("op")} and len(queries.QUERIES) == 11
+    assert set(queries.QUERIES) == {"pipeline"} | {k for k in queries.QUERIES if k.startswith("op")} and len(queries.QUERIES) == 14
     assert set(queries.SQL) <= set(queries.QUERIES)
 
 
