@@ -21,6 +21,7 @@ one document count as toxic if one is; repeated rows are scored alike.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -170,9 +171,10 @@ class Model:
 def _monotone(votes: list[tuple[float, int]]) -> tuple[list[float], list[float]]:
     """Rising steps (upper ends, levels) of the label's rate over the vote, by pooling of neighbours."""
     pools: list[list[float]] = []
-    for vote, label in sorted(votes):
-        pools.append([label, 1, vote])
-        while len(pools) > 1 and (pools[-2][2] == pools[-1][2] or pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]):
+    for vote, same in itertools.groupby(sorted(votes), key=lambda v: v[0]):  # equal votes are one pool from the start
+        labels = [label for _, label in same]
+        pools.append([sum(labels), len(labels), vote])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             a, n, end = pools.pop()
             pools[-1] = [pools[-1][0] + a, pools[-1][1] + n, end]
     return [p[2] for p in pools], [p[0] / p[1] for p in pools]

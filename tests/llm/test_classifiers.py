@@ -142,3 +142,38 @@ def test_quality_of_odd_rows(spark, corpus):
     assert line_crf.fit(docs.select("doc_id", "text"), labels.limit(0)) == 0.5
     assert line_crf.fit(docs.limit(0).select("doc_id", "text"), labels) == 0.5
     assert docs.limit(0).withColumn("q", line_crf.score(theta)).count() == 0
+
+
+def test_many_line_breaks_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    theta = rng.normal(0, 0.3, 3 * line_crf.WIDTH + 4)
+    text = "\n" * (1 << 18) + "some words.\n" * 5
+    tracemalloc.start()
+    value = line_crf.quality(theta, [text])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 <= value <= 1 and peak < 120 << 20
+    # windows do not change what a text scores
+    short = "\n".join(["One line here.", "", "!!!", "One line here."] * 3000)
+    whole, length = line_crf.line_features(short)
+    assert len(whole) == 12_000 and whole[4000:, 13].max() == 1
+    p, _, _ = line_crf.marginals(line_crf.unary(whole, np.array([12_000]), theta[:-4].reshape(3, -1)), np.array([12_000]), theta[-4:].reshape(2, 2))
+    assert abs(line_crf.quality(theta, [short])[0] - (p * (length + 1)).sum() / (length + 1).sum()) < 1e-5
+
+
+def test_calibration_keeps_equal_votes_together():
+    # most clean examples vote 0, a few vote 1 like all toxic ones
+    votes = [(0.0, 0)] * 100 + [(1.0, 0)] * 3 + [(1.0, 1)] * 20
+    ends, levels = toxicity_knn._monotone(votes)
+    assert ends == [0.0, 1.0] and levels == [0.0, 20 / 23]
+    rng = random.Random(9)
+    votes = [(v, int(rng.random() < v)) for v in (round(rng.random(), 1) for _ in range(2000))]
+    ends, levels = toxicity_knn._monotone(votes)
+    assert levels == sorted(levels) and ends == sorted(ends) and len(ends) > 5
+    total = {}
+    for v, y in votes:
+        at = next(n for n, e in enumerate(ends) if v <= e)
+        total.setdefault(at, []).append(y)
+    assert all(abs(sum(ys) / len(ys) - levels[at]) < 1e-12 for at, ys in total.items())
