@@ -12,7 +12,8 @@ optimiser is one Spark job that adds up loss and gradient over them, and only
 these sums reach the driver. Scoring reads every whole text.
 
 Defined cases: a null text counts as empty and is one empty line; lines of any
-length and number are read in slices; without labels of both kinds the score
+length are read in slices, and the features of many lines in windows, of which
+three numbers per line stay; further columns are ignored; without labels of both kinds the score
 is the labels' mean (0.5 without any); several labels of one document count as
 good if one is; repeated rows are scored alike.
 """
@@ -34,6 +35,8 @@ STEPS = 60
 THRESHOLD = 0.7
 _RIDGE = 1e-3
 _SLICE = 1 << 20
+#: Lines whose features are in memory at a time.
+_LINES = 4096
 _CELLS = 2_000_000
 _PUNCTUATION = [c for c in map(chr, range(33, 127)) if not c.isalnum()]
 _LOWER, _UPPER, _DIGIT, _SPACE, _OTHER, _FOREIGN, _BREAK = range(7)
@@ -62,9 +65,9 @@ _TABLE = _kinds()
 WIDTH = 14 + _KINDS
 
 
-def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(lines x WIDTH features between 0 and about 1, lengths in characters)."""
-    lines = text.split("\n")
+def _window(lines: list[str], seen: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and lengths of some lines; ``seen`` knows the lines before them."""
+    text = "\n".join(lines)
     counts = np.zeros((len(lines), _KINDS))
     at = 0
     for start in range(0, len(text), _SLICE):
@@ -80,7 +83,6 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     letters = share[:, _LOWER] + share[:, _UPPER] + share[:, _FOREIGN]
     marks = share[:, 7:].sum(axis=1)
     words = np.zeros((len(lines), 4))
-    seen: set[int] = set()
     for n, line in enumerate(lines):
         found = line.split()
         if found:
@@ -101,6 +103,20 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return out, length
 
 
+def line_windows(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(lines x WIDTH features between 0 and about 1, lengths in characters),
+    for at most ``_LINES`` lines at a time."""
+    lines, seen = text.split("\n"), set()
+    for at in range(0, len(lines), _LINES):
+        yield _window(lines[at:at + _LINES], seen)
+
+
+def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """All windows together, for training examples."""
+    x, length = zip(*line_windows(text))
+    return np.concatenate(x), np.concatenate(length)
+
+
 def _neighbours(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For the lines of documents in a row, the rows before and after; the row past the end stands for none."""
     n = int(sizes.sum())
@@ -112,7 +128,12 @@ def _neighbours(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def unary(x: np.ndarray, sizes: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Score of "good" over "bad" per line, from the line and its neighbours."""
-    parts = np.vstack([x @ w.T.astype(np.float32), np.zeros((1, 3), np.float32)]).astype(np.float64)
+    return from_parts(x @ w.T.astype(np.float32), sizes)
+
+
+def from_parts(parts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The same from every line's three shares: own, for the line behind, for the line before."""
+    parts = np.vstack([parts, np.zeros((1, 3), np.float32)]).astype(np.float64)
     before, after = _neighbours(sizes)
     return parts[:-1, 0] + parts[before, 1] + parts[after, 2]
 
@@ -250,9 +271,10 @@ def quality(theta: np.ndarray, texts: list[str]) -> list[float]:
     w, links = theta[:3 * WIDTH].reshape(3, WIDTH), theta[3 * WIDTH:].reshape(2, 2)
     scores, sizes, lengths = [], [], []
     for text in texts:
-        x, length = line_features(text)
-        scores.append(unary(x, np.array([len(x)]), w))
-        sizes.append(len(x))
+        parts, length = zip(*((x @ w.T.astype(np.float32), n) for x, n in line_windows(text)))
+        parts, length = np.concatenate(parts), np.concatenate(length)
+        scores.append(from_parts(parts, np.array([len(parts)])))
+        sizes.append(len(parts))
         lengths.append(length + 1)
     if not texts:
         return []
