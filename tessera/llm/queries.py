@@ -38,5 +38,6 @@ SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op4_maxscore": maxscore.SQL,
     "op5_extendible": extendible.SQL,
+    "op9_warc_index": warc_index.SQL,
     "op12_chat_masks": chat_masks.SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

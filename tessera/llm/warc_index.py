@@ -38,6 +38,8 @@ from tessera.llm.common import saved, shared_folder, text_batches, whole
 
 #: Bytes that one archive file holds at most, one record more or less.
 FILE_BYTES = 256 << 20
+#: Bytes that one task reads back, about.
+PIECE_BYTES = 16 << 20
 #: Bytes of one range read at most, and of a gap that is read over.
 READ_BYTES, GAP_BYTES = 8 << 20, 64 << 10
 #: Names of the format.
@@ -201,8 +203,10 @@ def read(index: DataFrame, read_bytes: int = READ_BYTES, gap_bytes: int = GAP_BY
         if close:
             close()
 
-    spans = index.select("file", "offset", "length", F.floor(F.col("offset") / (64 << 20)).alias("piece"))
-    ordered = spans.repartition("file", "piece").sortWithinPartitions("file", "offset").drop("piece")
+    # the index is small and what it selects is not: tasks go by the bytes to read
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    spans = index.select("file", "offset", "length", F.floor(F.col("offset") / PIECE_BYTES).alias("piece"))
+    ordered = spans.repartition(max(1, -(-total // PIECE_BYTES)), "file", "piece").sortWithinPartitions("file", "offset").drop("piece")
     return ordered.mapInPandas(
         fetch, "page_id long, record_type string, refers_to long, url string, digest string, payload_bytes long, payload_digest string, html string"
     )
@@ -227,3 +231,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     index = write(pages, shared_folder(spark, "warc"))
     return read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_HEX, _BASE32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Five hexadecimal digits at a time are four digits of base 32.
+SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS last FROM p),
+g AS (SELECT *, list_transform(range(8), lambda k: list_sum(list_transform(range(5), lambda m: (instr('{_HEX}', substr(x, 5 * k + m + 1, 1)) - 1) * (1 << (16 - 4 * m)::INTEGER)))::BIGINT) AS v FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(v, lambda b: list_aggregate(list_transform([15, 10, 5, 0], lambda s: substr('{_BASE32}', ((b >> s) & 31)::INTEGER + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM g
+"""
