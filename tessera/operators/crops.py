@@ -100,3 +100,52 @@ def cell_crops(px: DataFrame, cells: DataFrame, keys: Sequence[str], half: int,
     elif edge != "pad":
         raise ValueError(f"unknown edge rule: {edge}")
     return resize(padded_crops(px, boxes, keys), [*keys, "crop"], (2 * half, 2 * half), (wanted, wanted))
+
+
+def inscribed(px: DataFrame, keys: Sequence[str], good: str = "good") -> DataFrame:
+    """(keys, i0, j0, i1, j1, area): the largest rectangle of each image whose
+    pixels all are ``good``, ends exclusive; of several the first by i0, then
+    j0. Images without a good pixel have none.
+
+    The height of the good run above each pixel is a window along columns. In a
+    row the rectangles that end there come from one pass with a stack of rising
+    heights; a row is one group, never more than the width of an image."""
+    keys = list(keys)
+    above = W.partitionBy(*keys, "j").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    wall = F.coalesce(F.max(F.when(~F.coalesce(F.col(good), F.lit(False)), F.col("i"))).over(above), F.min("i").over(above) - 1)
+    heights = px.withColumn("h", (F.col("i") - wall).cast("int"))
+    rows = heights.groupBy(*keys, "i").agg(F.array_sort(F.collect_list(F.struct(F.col("j").cast("int").alias("j"), "h"))).alias("r"))
+    end = F.struct((F.element_at("r", -1)["j"] + 1).alias("j"), F.lit(0).alias("h"))  # pops what is left
+    block = lambda area, h, j0, j1: F.struct(area.alias("area"), h.alias("h"), j0.alias("j0"), j1.alias("j1"))
+    none = block(F.lit(0).cast("long"), F.lit(0), F.lit(0), F.lit(0))
+    start = F.struct(F.array().cast("array<struct<j:int,h:int>>").alias("stack"), none.alias("best"))
+
+    def better(a, b):
+        """The larger one; of equals the higher one, then the one farther left."""
+        wins = (b["area"] > a["area"]) | ((b["area"] == a["area"]) & ((b["h"] > a["h"]) | ((b["h"] == a["h"]) & (b["j0"] < a["j0"]))))
+        return F.when(wins, b).otherwise(a)
+
+    def step(state, p):
+        popped = F.filter(state["stack"], lambda s: s["h"] >= p["h"])
+        done = F.transform(popped, lambda s: block(s["h"].cast("long") * (p["j"] - s["j"]), s["h"], s["j"], p["j"]))
+        left = F.when(F.size(popped) > 0, popped[0]["j"]).otherwise(p["j"])
+        stays = F.filter(state["stack"], lambda s: s["h"] < p["h"])
+        stack = F.when(p["h"] > 0, F.concat(stays, F.array(F.struct(left.alias("j"), p["h"].alias("h"))))).otherwise(stays)
+        return F.struct(stack.alias("stack"), F.aggregate(done, state["best"], better).alias("best"))
+
+    found = rows.select(*keys, "i", F.aggregate(F.concat("r", F.array(end)), start, step)["best"].alias("b")).filter("b.area > 0")
+    i0 = (F.col("i") + 1 - F.col("b.h")).cast("int")
+    pick = F.min(F.struct((-F.col("b.area")).alias("a"), i0.alias("i0"), F.col("b.j0").alias("j0"), (F.col("i") + 1).cast("int").alias("i1"), F.col("b.j1").alias("j1")))
+    return found.groupBy(*keys).agg(pick.alias("p")).select(*keys, "p.i0", "p.j0", "p.i1", "p.j1", (-F.col("p.a")).alias("area"))
+
+
+def trim(px: DataFrame, keys: Sequence[str], plane: str) -> DataFrame:
+    """The planes of every pile cut to the largest rectangle in which no plane
+    is 0 or missing, from its own corner."""
+    keys = list(keys)
+    planes = px.groupBy(*keys).agg(F.count_distinct(plane).alias("_n"))
+    seen = px.groupBy(*keys, "i", "j").agg(F.count_distinct(F.when(F.col("value") != 0, F.col(plane))).alias("_c"))
+    box = inscribed(attach(seen, planes, keys).withColumn("good", F.col("_c") == F.col("_n")), keys).drop("area")
+    inside = attach(px, box, keys).filter("i >= i0 AND i < i1 AND j >= j0 AND j < j1")
+    return inside.withColumns({"i": F.col("i") - F.col("i0"), "j": F.col("j") - F.col("j0")}).select(*px.columns)
+

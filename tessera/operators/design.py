@@ -8,10 +8,15 @@ from tessera.functions import sequences as Q
 from tessera.operators.cells import first_per_key
 
 
+def conflicts(design: DataFrame) -> DataFrame:
+    """(group, n): groups with several (prefix_length, edit_distance)."""
+    spec = F.count_distinct(F.struct("prefix_length", "edit_distance"))
+    return design.groupBy("group").agg(spec.alias("n")).filter("n > 1")
+
+
 def validate_design(design: DataFrame) -> DataFrame:
     """Every group has one (prefix_length, edit_distance)."""
-    spec = F.count_distinct(F.struct("prefix_length", "edit_distance"))
-    bad = design.groupBy("group").agg(spec.alias("n")).filter("n > 1").limit(10).collect()
+    bad = conflicts(design).limit(10).collect()
     if bad:
         raise ValueError(f"multiple prefix specifications for groups {sorted(r['group'] for r in bad)}")
     return design

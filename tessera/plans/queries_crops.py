@@ -85,3 +85,26 @@ m AS (SELECT tile, (i // 2)::INTEGER AS i, (j // 2)::INTEGER AS j, avg(v) AS v F
 SELECT tile, i, j, round(greatest(lo, least(hi, v)), 4)::DOUBLE AS value FROM m JOIN e USING (tile)""")
 def _(t):
     return crops.resize(disks(t), TILE, (48, 48), (24, 24)).select("tile", "i", "j", r("value", 4).alias("value"))
+
+
+# all rectangles of a tile by the sums over its corner blocks; those without a dark pixel count
+@query("inscribed_rectangles", f"""
+WITH {PX}, c AS (SELECT tile, i + 1 AS i, j + 1 AS j, sum(s) OVER (PARTITION BY tile, j ORDER BY i) AS s FROM (SELECT tile, i, j, sum((value <= 850)::INTEGER) OVER (PARTITION BY tile, i ORDER BY j) AS s FROM px)),
+l AS (SELECT tile, list(s ORDER BY i, j) AS s FROM (SELECT tile, i, j, s FROM c UNION ALL SELECT vec_id, 0, k, 0 FROM embeddings, (SELECT unnest(range(9)) AS k) UNION ALL SELECT vec_id, k, 0, 0 FROM embeddings, (SELECT unnest(range(1, 9)) AS k)) GROUP BY 1),
+e AS (SELECT a::INTEGER AS a, b::INTEGER AS b FROM (SELECT unnest(range(8)) AS a), (SELECT unnest(range(1, 9)) AS b) WHERE a < b), q AS (SELECT tile, y.a AS i0, x.a AS j0, y.b AS i1, x.b AS j1, s FROM l, e y, e x),
+f AS (SELECT *, ((i1 - i0) * (j1 - j0))::BIGINT AS area FROM q WHERE s[i1 * 9 + j1 + 1] - s[i0 * 9 + j1 + 1] - s[i1 * 9 + j0 + 1] + s[i0 * 9 + j0 + 1] = 0)
+SELECT tile, i0, j0, i1, j1, area FROM f QUALIFY row_number() OVER (PARTITION BY tile ORDER BY area DESC, i0, j0, i1, j1) = 1""")
+def _(t):
+    return crops.inscribed(plane(t).withColumn("good", F.col("value") > 850), TILE)
+
+
+# three copies of a tile on one canvas, moved by up to three pixels: what is left is their common part
+@query("trimmed_piles", f"""
+WITH {PX}, m AS (SELECT tile, f, ((tile + f * 2) % 4)::INTEGER AS di, ((tile // 4 + f) % 4)::INTEGER AS dj FROM (SELECT DISTINCT tile FROM px), (SELECT unnest([0, 1, 2])::INTEGER AS f)),
+b AS (SELECT tile, max(di) AS i0, max(dj) AS j0, min(di) + 8 AS i1, min(dj) + 8 AS j1 FROM m GROUP BY 1)
+SELECT px.tile, f AS frame, i + di - i0 AS i, j + dj - j0 AS j, value + 1 AS value FROM px JOIN m USING (tile) JOIN b USING (tile) WHERE i + di >= i0 AND i + di < i1 AND j + dj >= j0 AND j + dj < j1""")
+def _(t):
+    k, f = F.col("tile"), F.col("frame")
+    moved = plane(t).withColumn("frame", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("value", F.col("value") + 1)
+    moved = moved.withColumns({"i": (F.col("i") + (k + f * 2) % 4).cast("int"), "j": (F.col("j") + (F.floor(k / 4) + f) % 4).cast("int")})
+    return crops.trim(crops.pile(moved, TILE, "frame"), TILE, "frame").select("tile", "frame", "i", "j", "value")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import paths, plates, sequences as Q
 from tessera.operators import design
 from tessera.plans.registry import query
+from tessera.sources import tables
 
 HEX, DNA = "0123456789abcdef", "ACGTACGTACGTACGT"
 
@@ -83,8 +84,7 @@ def _(t):
 @query("design_conflicts", """
 SELECT p_brand AS "group", count(DISTINCT (p_size % 7, p_type)) AS n FROM part GROUP BY 1 HAVING count(DISTINCT (p_size % 7, p_type)) > 1""")
 def _(t):
-    p = t.part.select(F.col("p_brand").alias("group"), F.struct((F.col("p_size") % 7).alias("a"), "p_type").alias("spec"))
-    return p.groupBy("group").agg(F.count_distinct("spec").alias("n")).filter("n > 1")
+    return design.conflicts(t.part.select(F.col("p_brand").alias("group"), (F.col("p_size") % 7).alias("prefix_length"), F.col("p_type").alias("edit_distance")))
 
 
 OLIGOS = f"""
@@ -212,7 +212,6 @@ def _(t):
 @query("url_path_pieces", r"""
 SELECT page_id, split_part(url, '/', 3) AS host, split_part(url, '/', 4) AS piece, nullif(regexp_extract(url, '/([0-9]+)', 1), '')::BIGINT AS number FROM pages""")
 def _(t):
-    parts = F.split("url", "/")
-    return t.pages.select("page_id", F.coalesce(F.try_element_at(parts, F.lit(3)), F.lit("")).alias("host"),
-                          F.coalesce(F.try_element_at(parts, F.lit(4)), F.lit("")).alias("piece"),
-                          F.nullif(F.regexp_extract("url", "/([0-9]+)", 1), F.lit("")).cast("bigint").alias("number"))
+    keys = tables.path_keys(F.col("url"), 2, 3, "/([0-9]+)")
+    named = {n: F.coalesce(keys[k], F.lit("")) for n, k in (("host", "plate"), ("piece", "well"))}
+    return t.pages.select("page_id", *[c.alias(n) for n, c in named.items()], keys["site"].alias("number"))

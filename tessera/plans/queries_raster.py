@@ -41,9 +41,15 @@ def _(t):
     return R.max_filter(plane(t), TILE, 3)
 
 
+NEAR = "RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING"
+#: ``ext``: greatest and least value of the 3 x 3 neighbourhood, along rows and then along columns.
+EXTREMES = f"""
+line AS (SELECT *, max(value) OVER w AS a, min(value) OVER w AS b FROM px WINDOW w AS (PARTITION BY tile, i ORDER BY j {NEAR})),
+ext AS (SELECT tile, i, j, value, max(a) OVER w AS hi, min(b) OVER w AS lo FROM line WINDOW w AS (PARTITION BY tile, j ORDER BY i {NEAR}))"""
+
+
 @query("find_peaks", f"""
-WITH {PX}, hi AS {near('max', -1, 1)}, lo AS {near('min', -1, 1)}
-SELECT tile, i, j, CASE WHEN value = hi.v AND i BETWEEN 3 AND 4 AND j BETWEEN 3 AND 4 THEN hi.v - lo.v ELSE 0 END AS value FROM px JOIN hi USING (tile, i, j) JOIN lo USING (tile, i, j)""")
+WITH {PX}, {EXTREMES} SELECT tile, i, j, CASE WHEN value = hi AND i BETWEEN 3 AND 4 AND j BETWEEN 3 AND 4 THEN hi - lo ELSE 0 END AS value FROM ext""")
 def _(t):
     return R.find_peaks(plane(t), TILE, 3)
 
@@ -97,13 +103,18 @@ def _(t):
 
 
 def ball_sql(radius):
+    """Leads and lags along rows per ball line, then over the lines."""
     _, ball = R.ball_offsets(radius)
     side = max(a for a, _, _ in ball) + 1
-    b = ", ".join(f"({x}, {y}, {z})" for x, y, z in ball)
-    return f"""WITH {PX}, ball(a, b, z) AS (VALUES {b}),
-lo AS (SELECT tile, i - a AS i, j - b AS j, min(value - z) AS gap FROM px CROSS JOIN ball WHERE i - a BETWEEN 0 AND {8 - side} AND j - b BETWEEN 0 AND {8 - side} GROUP BY ALL),
-hi AS (SELECT tile, i + a AS i, j + b AS j, max(gap + z) AS bg FROM lo CROSS JOIN ball GROUP BY ALL)
-SELECT tile, i, j, value - least(bg, value) AS value FROM px JOIN hi USING (tile, i, j)"""
+    lines = {a: [(b, z) for x, b, z in ball if x == a] for a in sorted({a for a, _, _ in ball})}
+    low = ", ".join(f"least({', '.join(f'lead(value, {b}) OVER w - {z}' for b, z in p)}) AS g{a}" for a, p in lines.items())
+    high = ", ".join(f"greatest({', '.join(f'lag(gap, {b}) OVER w + {z}' for b, z in p)}) AS s{a}" for a, p in lines.items())
+    down = ", ".join(f"lead(g{a}, {a}) OVER w" for a in lines)
+    up = ", ".join(f"lag(s{a}, {a}) OVER w" for a in lines)
+    return f"""WITH {PX}, row AS (SELECT *, {low} FROM px WINDOW w AS (PARTITION BY tile, i ORDER BY j)),
+gap AS (SELECT tile, i, j, value, CASE WHEN i <= {8 - side} AND j <= {8 - side} THEN least({down}) END AS gap FROM row WINDOW w AS (PARTITION BY tile, j ORDER BY i)),
+top AS (SELECT *, {high} FROM gap WINDOW w AS (PARTITION BY tile, i ORDER BY j)), bg AS (SELECT tile, i, j, value, greatest({up}) AS bg FROM top WINDOW w AS (PARTITION BY tile, j ORDER BY i))
+SELECT tile, i, j, value - least(bg, value) AS value FROM bg"""
 
 
 @query("rolling_ball", ball_sql(3))
@@ -350,8 +361,8 @@ def _(t):
 
 
 @query("extract_bases", f"""
-WITH {PX}, {LAB}, hi AS {near('max', -1, 1)}, sp AS (SELECT tile, i, j, row_number() OVER (PARTITION BY tile ORDER BY i, j) - 1 AS read FROM px JOIN hi USING (tile, i, j) WHERE value = v AND value > 1200)
-SELECT tile, i, j, 1 AS cycle, 'G' AS channel, v AS intensity, read, cell FROM sp JOIN hi USING (tile, i, j) JOIN lab USING (tile, i, j)""")
+WITH {PX}, {EXTREMES}, sp AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY i, j) - 1 AS read FROM ext WHERE value = hi AND value > 1200)
+SELECT tile, i, j, 1 AS cycle, 'G' AS channel, hi AS intensity, read, CASE WHEN value > 1000 THEN 1 + (i // 4) * 2 + (j // 4) ELSE 0 END::INTEGER AS cell FROM sp""")
 def _(t):
     p = plane(t)
     top = R.max_filter(p, TILE, 3)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import hitsets, tabular as T
+from tessera.operators import deep, hitsets, regions, tabular as T
 from tessera.operators.ordered import scan
 from tessera.operators.quantiles import quantiles
 from tessera.plans.registry import query
@@ -315,19 +315,17 @@ def _(t):
 @query("right_join_info", """
 SELECT o_orderkey, o_custkey, c_name FROM customer RIGHT JOIN orders ON c_custkey = o_custkey AND c_acctbal > 0""")
 def _(t):
-    return t.customer.filter("c_acctbal > 0").join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "right").select(
-        "o_orderkey", "o_custkey", "c_name")
+    cells = t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return deep.join_features(cells, t.orders, ["o_custkey"]).select("o_orderkey", "o_custkey", "c_name")
 
 
 @query("inner_join_compartments", """
 WITH a AS (SELECT l_orderkey, sum(l_quantity) AS area FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_orderkey, sum(l_quantity) AS area FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
 SELECT l_orderkey, a.area AS area_nuclear, b.area AS area_cell FROM a JOIN b USING (l_orderkey)""")
 def _(t):
-    # the filtered sums of both compartments come from one pass instead of a self join
-    flag, q = F.col("l_returnflag"), F.col("l_quantity")
-    s = t.lineitem.filter(flag.isin("A", "R")).groupBy("l_orderkey").agg(
-        F.sum(F.when(flag == "A", q)).alias("area_nuclear"), F.sum(F.when(flag == "R", q)).alias("area_cell"))
-    return s.filter("area_nuclear IS NOT NULL AND area_cell IS NOT NULL")
+    sums = t.lineitem.groupBy("l_returnflag", F.col("l_orderkey").alias("cell")).agg(F.sum("l_quantity").alias("area"))
+    part = lambda flag: sums.filter(F.col("l_returnflag") == flag).select("cell", "area")
+    return regions.compartments({"nuclear": part("A"), "cell": part("R")}, []).withColumnRenamed("cell", "l_orderkey")
 
 
 @query("semi_join_members", """

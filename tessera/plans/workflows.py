@@ -1,4 +1,4 @@
-"""Whole screens as one lazy plan each, from pixels to tables."""
+"""Workflows from pixels to tables. Building one runs jobs where a step iterates."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.operators import cells as C, raster as R, reads, regions as G, tracking
+from tessera.operators import cells as C, raster as R, reads, regions as G, shapes, tracking
 from tessera.operators.ordered import attach
 from tessera.operators.registry import step
 from tessera.session import cut_lineage
@@ -60,23 +60,34 @@ def phenotype(px: DataFrame, nuclei: DataFrame, cells: DataFrame, channels: Sequ
 @step("extended_phenotype")
 def extended_phenotype(
     px: DataFrame, compartments: dict[str, DataFrame], channel, corr_channels: Sequence, keys: Sequence[str] = ("well", "site"),
+    morphology: bool = True,
 ) -> DataFrame:
-    """One channel's intensity, order, correlation and Zernike features in
-    every compartment (nuclear, cell, cyto)."""
+    """One channel's intensity, order, correlation, Zernike and texture
+    features in every compartment (nuclear, cell, cyto), and the compartments'
+    shapes."""
     keys = list(keys)
+    at = [*keys, "cell"]
     wide = cut_lineage(G.wide_pixels(px, keys, [channel, *corr_channels]))
     c, parts = f"c{channel}", {}
     for name, labels in compartments.items():
         table = G.feature_table(labels, wide, keys, G.intensity(c, "channel"))
-        table = table.join(G.order_features(labels, wide, keys, c, "channel"), [*keys, "cell"])
-        table = table.join(G.zernike(labels, wide, keys, c), [*keys, "cell"])
+        table = table.join(G.order_features(labels, wide, keys, c, "channel"), at)
+        table = table.join(G.zernike(labels, wide, keys, c), at).join(G.threshold_adjacency(labels, wide, keys, c), at)
         for n, other in enumerate(corr_channels, 1):
             corr = G.channel_correlation(labels, wide, keys, f"c{other}", c).withColumnRenamed("corr", f"channel_corrch{n}")
-            table = table.join(corr, [*keys, "cell"])
-        parts[name] = table
+            table = table.join(corr, at)
+        parts[name] = table.join(region_shapes(labels, keys), at) if morphology else table
     return G.compartments(parts, keys)
 
 
+@step("region_shapes")
+def region_shapes(labels: DataFrame, keys: Sequence[str] = ("well", "site")) -> DataFrame:
+    """Moments, perimeter, Euler number and solidity of every region."""
+    at = [*keys, "cell"]
+    hulls = shapes.hulls(labels, keys).select(*at, "hull_area", "convex_area", "solidity")
+    return G.morphology(labels, keys).join(G.perimeters(labels, keys), at).join(hulls, at)
+
+
 @step("live")
 def live_tracks(
     px: DataFrame, threshold: float, n_frames: int, key_schema: str, keys: Sequence[str] = ("well", "site"), ball: int | None = None,

@@ -78,14 +78,19 @@ def load_many(spark: SparkSession, paths: Sequence[str] | str, schema: Schema |
     return df.select(*sorted(df.columns)) if ordered else df
 
 
+def path_keys(path: Column, plate_part: int = 4, well_part: int = 5, site: str = r"Site-(\d+)") -> dict[str, Column]:
+    """Keys by their place in a path: plate and well are pieces, the site is found in the whole path."""
+    parts = F.split(path, "/")
+    return {
+        "plate": F.try_element_at(parts, F.lit(plate_part + 1)), "well": F.try_element_at(parts, F.lit(well_part + 1)),
+        "site": F.nullif(F.regexp_extract(path, site, 1), F.lit("")).cast("bigint")}
+
+
 def load_with_file_keys(spark: SparkSession, glob: str, schema, plate_part: int = 4, well_part: int = 5) -> DataFrame:
     """CSV files whose path pieces and names hold the keys: plate and well by
     place in the path, site after ``Site-`` and cell before the suffix."""
     df = spark.read.schema(schema).csv(glob, header=True).withColumn("file", F.col("_metadata.file_path"))
-    parts = F.split(F.regexp_replace("file", "^file:/+", "/"), "/")
-    return df.withColumns({
-        "plate": F.try_element_at(parts, F.lit(plate_part + 1)), "well": F.try_element_at(parts, F.lit(well_part + 1)),
-        "site": F.nullif(F.regexp_extract("file", r"Site-(\d+)", 1), F.lit("")).cast("bigint")})
+    return df.withColumns(path_keys(F.regexp_replace("file", "^file:/+", "/"), plate_part, well_part))
 
 
 def load_vectors(spark: SparkSession, path: str, width: int, sep: str = " ") -> DataFrame:
