@@ -25,7 +25,7 @@ def padded_crops(px: DataFrame, boxes: DataFrame, keys: Sequence[str], pad: int
     size = boxes.filter((F.col("i1") - F.col("i0") + 2 * pad > 0) & (F.col("j1") - F.col("j0") + 2 * pad > 0))
     spots = _rectangle(size, keys, F.col("i1") - F.col("i0") + 2 * pad, F.col("j1") - F.col("j0") + 2 * pad)
     spots = spots.select(*keys, "crop", F.col("i").alias("_ci"), F.col("j").alias("_cj"), (F.col("i") + F.col("i0") - pad).alias("i"), (F.col("j") + F.col("j0") - pad).alias("j"))
-    met = attach(spots, px.select(*keys, "i", "j", "value"), [*keys, "i", "j"], "left")
+    met = attach(spots, px.select(*keys, "i", "j", "value"), [*keys, "i", "j"], "left", large=True)
     return met.select(*keys, "crop", F.col("_ci").alias("i"), F.col("_cj").alias("j"), F.coalesce("value", F.lit(0).cast(px.schema["value"].dataType)).alias("value"))
 
 
@@ -44,7 +44,7 @@ def pile(px: DataFrame, keys: Sequence[str], image: str) -> DataFrame:
     keys = list(keys)
     canvas = px.groupBy(*keys).agg((F.max("i") + 1).alias("_h"), (F.max("j") + 1).alias("_w"))
     spots = _rectangle(attach(px.select(*keys, image).distinct(), canvas, keys), keys, F.col("_h"), F.col("_w")).drop("_h", "_w")
-    met = attach(spots, px.select(*keys, image, "i", "j", "value"), [*keys, image, "i", "j"], "left")
+    met = attach(spots, px.select(*keys, image, "i", "j", "value"), [*keys, image, "i", "j"], "left", large=True)
     return met.withColumn("value", F.coalesce("value", F.lit(0).cast(px.schema["value"].dataType)))
 
 
