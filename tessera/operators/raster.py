@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessera.operators import ordered
@@ -32,6 +33,12 @@ def _by_tile(px: DataFrame, keys: Sequence[str]) -> DataFrame:
     return px.repartition(*keys) if keys else px
 
 
+def dealt(px: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Tiles dealt to as many tasks as the session shuffles to, however few
+    bytes they are: work in Python takes longer than the bytes tell."""
+    return px.repartition(int(px.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys) if keys else px
+
+
 def image_size(px: DataFrame, keys: Sequence[str]) -> DataFrame:
     return px.groupBy(*keys).agg((F.max("i") + 1).alias("_h"), (F.max("j") + 1).alias("_w"))
 
@@ -235,48 +242,52 @@ def registration_offsets(px: DataFrame, keys: Sequence[str], frame: str, schema:
     """(keys, frame, oi, oj): offset of every frame to the first, measured on
     the centred 1/window part. One group holds one frame and the first one."""
     keys = list(keys)
+    px = dealt(px, keys)
     size = image_size(px, keys)
     border = lambda n: F.floor(F.col(n) / 2 * (1 - 1 / window))
     inner = attach(px, size, keys).filter(
         (F.col("i") >= border("_h")) & (F.col("i") < F.col("_h") - border("_h"))
         & (F.col("j") >= border("_w")) & (F.col("j") < F.col("_w") - border("_w")))
 
-    # every frame meets the first one's plane, so a group is two planes however many frames there are
+    # every other frame meets the first one's plane, so a group is two planes however many frames there are
     first = inner.groupBy(*keys).agg(F.min(frame).alias("_first"))
     known = attach(inner.select(*keys, frame, "i", "j", "value"), first, keys)
-    base = known.filter(F.col(frame) == F.col("_first")).select(*keys, "i", "j", F.col("value").alias("_base"))
-    pairs = attach(known, base, [*keys, "i", "j"], large=True)
+    base = F.max(F.when(F.col(frame) == F.col("_first"), F.col("value"))).over(W.partitionBy(*keys, "i", "j"))
+    pairs = known.withColumn("_base", base).filter(F.col("_base").isNotNull() & (F.col(frame) != F.col("_first"))).drop("_first")
 
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].to_numpy() - pdf["i"].min(), pdf["j"].to_numpy() - pdf["j"].min()
-        plane, origin = np.zeros((2, i.max() + 1, j.max() + 1))
-        plane[i, j], origin[i, j] = pdf["value"], pdf["_base"]
-        same = pdf[frame].iloc[0] == pdf["_first"].iloc[0]
-        oi, oj = (0.0, 0.0) if same else phase_offset(plane, origin, upsample)
-        return pdf[[*keys, frame]].head(1).assign(oi=oi, oj=oj)
+    def measure(rows: pa.Table) -> pa.Table:
+        i, j, value, origin = (rows.column(c).to_numpy() for c in ("i", "j", "value", "_base"))
+        i, j = i - i.min(), j - j.min()
+        planes = np.zeros((2, i.max() + 1, j.max() + 1))
+        planes[0, i, j], planes[1, i, j] = value, origin
+        found = rows.select([*keys, frame]).slice(0, 1)
+        for name, offset in zip(("oi", "oj"), phase_offset(*planes, upsample)):
+            found = found.append_column(name, pa.array([offset]))
+        return found
 
-    return pairs.groupBy(*keys, frame).applyInPandas(measure, schema)
+    still = first.select(*keys, F.col("_first").alias(frame), F.lit(0.0).alias("oi"), F.lit(0.0).alias("oj"))
+    return pairs.groupBy(*keys, frame).applyInArrow(measure, schema).unionByName(still)
 
 
 def apply_offsets(px: DataFrame, offsets: DataFrame, keys: Sequence[str], on: Sequence[str] | None = None) -> DataFrame:
     """Move images by fractional offsets, bilinear, zero outside:
     out(i, j) = in(i + oi, j + oj). ``keys`` name a plane, ``on`` the keys of
-    the offsets when several planes share one."""
+    the offsets when several planes share one. Pixels are dealt by these keys
+    once; what a pixel gives to its neighbours is added up where it lies."""
     on = list(on or keys)
     moves = offsets.select(*on, "oi", "oj")
-    sized = attach(attach(px.select(*keys, "i", "j", "value"), image_size(px, keys), keys), moves, on)
+    px = dealt(px.select(*keys, "i", "j", "value"), on)
+    sized = attach(attach(px, image_size(px, keys), keys), moves, on)
     fi, fj = F.floor("oi").cast("int"), F.floor("oj").cast("int")
     wi, wj = F.col("oi") - F.floor("oi"), F.col("oj") - F.floor("oj")
-    corners = F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), ((wi if a else 1 - wi) * (wj if b else 1 - wj)).alias("w"))
-        for a in (0, 1) for b in (0, 1)])
-    o = F.col("_o")
-    # a target without any source pixel still belongs to the image: keep it with weight 0
-    parts = sized.withColumn("_o", F.explode(corners)).select(
-        *keys, (F.col("i") - fi - o["a"]).alias("i"), (F.col("j") - fj - o["b"]).alias("j"), "_h", "_w", (F.col("value") * o["w"]).alias("value"))
-    parts = parts.filter((F.col("i") >= 0) & (F.col("j") >= 0) & (F.col("i") < F.col("_h")) & (F.col("j") < F.col("_w"))).drop("_h", "_w")
-    blank = px.select(*keys, "i", "j", F.lit(0.0).alias("value"))
-    return parts.unionByName(blank).groupBy(*keys, "i", "j").agg(F.sum("value").alias("value"))
+    part = lambda i, j, w, v: F.struct(i.alias("i"), j.alias("j"), w.alias("w"), v.alias("v"))
+    corners = [part(F.col("i") - fi - a, F.col("j") - fj - b, (wi if a else 1 - wi) * (wj if b else 1 - wj), F.col("value").cast("double")) for a in (0, 1) for b in (0, 1)]
+    # a target without any source pixel still belongs to the image
+    blank = part(F.col("i"), F.col("j"), F.lit(1.0), F.lit(0.0))
+    inside = lambda o: (o["w"] != 0) & (o["i"] >= 0) & (o["j"] >= 0) & (o["i"] < F.col("_h")) & (o["j"] < F.col("_w"))
+    parts = sized.withColumn("_o", F.explode(F.array(*corners, blank))).filter(inside(F.col("_o")))
+    parts = parts.select(*keys, "_o.i", "_o.j", (F.col("_o.v") * F.col("_o.w")).alias("value"))
+    return parts.groupBy(*keys, "i", "j").agg(F.sum("value").alias("value"))
 
 
 # --- geometry of images ------------------------------------------------------
