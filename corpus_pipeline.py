@@ -30,9 +30,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a five-word shingle similarity of 0.8 or more one
-    stays. Fingerprints cannot tell such pairs from others (they differ in 7 to
-    10 of 64 bits), so complete shingle sets decide."""
+    """Of linked documents one stays. Links are fingerprints of five-word
+    shingles at 2 or fewer differing bits, found by multi-index hashing, and
+    five-word shingle similarities of 0.8 or more: fingerprints alone miss most
+    such pairs (they differ in 7 to 10 of 64 bits)."""
     return shingle_join.keep_one(docs)
 
 
@@ -49,7 +50,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", toxicity),
     ("exact_dedup", exact),
-    ("shingle_near_dedup", near),
+    ("simhash_near_dedup", near),
     ("mixing", mixing),
     ("byte_bpe", tokens),
 ]

@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tessera.llm.common import documents, text_batches, whole, worker_cache
 
 MOST_VOCABULARY_BYTES = 64 << 20
-_REMEMBERED_WORDS = 300_000
+_REMEMBERED_WORDS = 150_000
 _REMEMBERED_BYTES = 256
-_REMEMBERED_PAIRS = 2_000_000
+_REMEMBERED_PAIRS = 300_000
 _LONG_TEXT = 1 << 20
 
 

@@ -38,6 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
+from tessera.llm import simhash_mih
 from tessera.llm.common import id_key, saved, text_batches, whole, worker_cache
 from tessera.operators.graph import connected_components
 
@@ -232,12 +233,28 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: i
     return out.select("id", "doc").join(named, "doc").select("id", "component_id")
 
 
+def joint_groups(picks: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, component_id) of ``picks`` (pick, text): components of the links by
+    SimHash and multi-index hashing and of those between complete sets together.
+    ``pick`` has the fields id and __h."""
+    name = lambda c: F.concat_ws(":", id_key(f"{c}.id"), F.col(f"{c}.__h").cast("string"))
+    by_bits = simhash_mih.groups(picks, "text", "pick", shingle=width).select(name("id").alias("key"), name("component_id").alias("src"))
+    by_sets = groups(picks, "text", "pick", width, similarity).select("id", "component_id", name("id").alias("key"), name("component_id").alias("set"))
+    by_bits, by_sets = saved(by_bits.distinct(), "near-bits"), saved(by_sets.distinct(), "near-sets")
+    # a component is a node of the links between both kinds; each is named by its least row
+    edges = by_sets.select("key", "set").join(by_bits.hint("merge"), "key").select("src", F.col("set").alias("dst")).distinct()
+    joint = connected_components(edges).select(F.col("node").alias("set"), "component")
+    rows = by_sets.join(joint.hint("merge"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    least = rows.groupBy("component").agg(F.min("component_id").alias("component_id"))
+    return rows.select("id", "component").join(least.hint("merge"), "component").select("id", "component_id")
+
+
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row of ``docs`` per group, with the columns of ``docs`` only: the
     one with the least identifier (a null one last), then the least text hash."""
     rows = docs.withColumns({"__h": F.xxhash64(whole(text)), "__key": id_key(doc_id)})
     picks = rows.select(F.struct(F.col(doc_id).isNull().alias("absent"), F.col(doc_id).alias("id"), "__h").alias("pick"), whole(text).alias("text"))
-    kept = groups(picks, "text", "pick", width, similarity).groupBy("component_id").agg(F.min("id").alias("pick")).select(
+    kept = joint_groups(picks, width, similarity).groupBy("component_id").agg(F.min("id").alias("pick")).select(
         id_key("pick.id").alias("__key"), F.col("pick.__h").alias("__h")
     )
     kept = saved(kept, "shingle-kept")

@@ -59,17 +59,20 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(bits.view(np.int64)[0])
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    worker_cache("simhash", object)
-    for texts in batches:
-        yield pd.Series([fingerprint(t) for t in texts], dtype="int64")
+def _fingerprints(shingle: int):
+    @F.pandas_udf(T.LongType())
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        worker_cache("simhash", object)
+        for texts in batches:
+            yield pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
 
+    return made
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """(id, fp) per row of ``docs``."""
     text_batches(docs.sparkSession)
-    return docs.select(F.col(doc_id).alias("id"), _fingerprints(whole(text)).alias("fp"))
+    return docs.select(F.col(doc_id).alias("id"), _fingerprints(shingle)(whole(text)).alias("fp"))
 
 
 def _segment(fp: Column, which: int) -> Column:
@@ -106,9 +109,9 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return near.unionByName(tied.select(F.col("least").alias("src"), F.col("fp").alias("dst"))).distinct()
 
 
-def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
+def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket: int = BUCKET, shingle: int = SHINGLE) -> DataFrame:
     """(id, fp, component_id) per row of ``docs``; the component is its least identifier."""
-    fps = saved(fingerprints(docs, text, doc_id), "simhash-fingerprints")
+    fps = saved(fingerprints(docs, text, doc_id, shingle), "simhash-fingerprints")
     distinct = saved(fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     found = connected_components(links(distinct.select("fp"), bucket)).withColumnRenamed("node", "fp")
     root = distinct.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))

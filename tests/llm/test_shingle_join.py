@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tessera.llm import shingle_join
 
@@ -75,3 +77,19 @@ def test_copies_very_long_texts_and_further_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, s int, pos int, h string, doc int")
     found = {r["id"]: r["component_id"] for r in shingle_join.groups(df).collect()}
     assert found == {i: 0 for i in range(500)} | {500: 500, 501: 500, 502: 502, 503: 503, 504: 503, 505: 503}
+
+
+def test_links_of_fingerprints_and_of_sets_make_one_component(spark, monkeypatch):
+    """a and b are linked by their fingerprints only, b and c by their sets only."""
+    from tessera.llm import simhash_mih
+
+    words = [f"w{n}" for n in range(400)]
+    a, b, c = " ".join(words), " ".join(f"x{n}" for n in range(200)), " ".join(f"x{n}" for n in range(190))
+    marks = {a: 0b1, b: 0b10, c: 1 << 40 | 1 << 41 | 1 << 42, "alone": -1}
+    monkeypatch.setattr(simhash_mih, "fingerprints", lambda docs, text, doc_id, shingle: docs.select(
+        F.col(doc_id).alias("id"), F.create_map(*[F.lit(x) for kv in marks.items() for x in kv])[F.col(text)].alias("fp")))
+    rows = [(1, a), (2, b), (3, c), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0) for r in shingle_join.keep_one(docs).collect()) == [0, 1]
+    monkeypatch.undo()
+    assert sorted((r["doc_id"] or 0) for r in shingle_join.keep_one(docs).collect()) == [0, 1, 2]
