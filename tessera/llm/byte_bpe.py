@@ -4,7 +4,8 @@ For each byte prefix of a piece, exactly one token can end its encoding: the
 one that forms a valid pair with the last token of the prefix before it.
 ``PrefixTable`` stores these last tokens, so appending bytes extends the table
 and keeps what it holds, and an edit recomputes only until the table falls
-into step with the old one. A pair of tokens is valid if merging their bytes
+into step with the old one. An automaton of the tokens names those that end at
+a byte, so the work per byte does not depend on the longest token. A pair of tokens is valid if merging their bytes
 by rank gives these two tokens back.
 
 Texts are split by the public pattern and each match is encoded on its own.
@@ -23,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,7 @@ MOST_VOCABULARY_BYTES = 64 << 20
 _REMEMBERED_WORDS = 150_000
 _REMEMBERED_BYTES = 256
 _REMEMBERED_PAIRS = 300_000
+_REMEMBERED_STEPS = 250_000
 _LONG_TEXT = 1 << 20
 
 
@@ -51,15 +54,48 @@ class Vocabulary:
         self._pairs: dict[tuple[int, int], bool] = {}
         # tokens that merging would never produce cannot occur inside an encoding
         self.made = {t: r for t, r in self.rank.items() if self.merged(t) == [r]}
+        self._step, self._fail, self._ends = self._automaton()
+
+    def _automaton(self) -> tuple[dict[int, int], list[int], list[tuple]]:
+        """Aho-Corasick automaton of ``made``: the states that a byte leads to,
+        the state of the longest proper suffix, and (token, length) of all
+        tokens that end in a state, the longest first."""
+        step, came, own = {}, [(0, 0, 0)], [None]
+        for token, r in self.made.items():
+            state = 0
+            for depth, byte in enumerate(token):
+                now = step.get(state << 8 | byte)
+                if now is None:
+                    now = step[state << 8 | byte] = len(came)
+                    came.append((depth, state, byte))
+                    own.append(None)
+                state = now
+            own[state] = (r, len(token))
+        fail, ends = [0] * len(came), [()] * len(came)
+        for state in sorted(range(1, len(came)), key=came.__getitem__):
+            _, before, byte = came[state]
+            if before:
+                at = fail[before]
+                while at and at << 8 | byte not in step:
+                    at = fail[at]
+                fail[state] = step.get(at << 8 | byte, 0)
+            rest = ends[fail[state]]
+            ends[state] = (own[state], *rest) if own[state] else rest
+        return step, fail, ends
 
     def merged(self, data: bytes) -> list[int]:
         """Merge by rank, step by step; for short ``data``."""
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            least, at = min((self.rank.get(a + b, len(self.token)), i) for i, (a, b) in enumerate(itertools.pairwise(parts)))
-            if least == len(self.token):
-                break
+        rank, none = self.rank.get, len(self.token)
+        least = [rank(a + b, none) for a, b in itertools.pairwise(parts)]
+        while least and (now := min(least)) < none:
+            at = least.index(now)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del least[at]
+            if at:
+                least[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(least):
+                least[at] = rank(parts[at] + parts[at + 1], none)
         return [self.rank[p] for p in parts]
 
     def valid(self, a: int, b: int) -> bool:
@@ -70,20 +106,44 @@ class Vocabulary:
             known = self._pairs[a, b] = self.merged(self.token[a] + self.token[b]) == [a, b]
         return known
 
+    def _later(self, key: int) -> int:
+        """The state after one that has no step for the byte, by its suffixes."""
+        state, byte = key >> 8, key & 255
+        while state and state << 8 | byte not in self._step:
+            state = self._fail[state]
+        state = self._step.get(state << 8 | byte, 0)
+        if len(self._step) < _REMEMBERED_STEPS:
+            self._step[key] = state
+        return state
+
+    def ids(self, last: list[int]) -> list[int]:
+        """The encoding that the last tokens of all prefixes tell."""
+        ids, end, token = [], len(last), self.token
+        while end:
+            ids.append(last[end - 1])
+            end -= len(token[ids[-1]])
+        return ids[::-1]
+
     def extend(self, data: bytes, last: list[int], end: int) -> int | None:
         """Extend ``last`` to the first ``end`` bytes; returns its last entry.
         Of the tokens that end a prefix, one only is valid after its predecessor."""
-        made, pairs, longest = self.made.get, self._pairs.get, self.longest
-        for stop in range(len(last) + 1, end + 1):
-            for start in range(max(0, stop - longest), stop):
-                t = made(data[start:stop])
-                if t is not None:
-                    if not start:
-                        break
-                    before = last[start - 1]
-                    fits = pairs((before, t))
-                    if fits or fits is None and self.valid(before, t):
-                        break
+        step, ends, pairs = self._step.get, self._ends, self._pairs.get
+        done, state = len(last), 0
+        at = max(0, done - self.longest)  # the state depends on no earlier bytes
+        for stop, byte in enumerate(data[at:end], at + 1):
+            key = state << 8 | byte
+            state = step(key)
+            if state is None:
+                state = self._later(key)
+            if stop <= done:
+                continue
+            for t, size in ends[state]:
+                if size == stop:
+                    break
+                before = last[stop - size - 1]
+                fits = pairs((before, t))
+                if fits or fits is None and self.valid(before, t):
+                    break
             else:
                 raise ValueError("the vocabulary lacks a single byte")
             last.append(t)
@@ -121,11 +181,7 @@ class PrefixTable:
         return at - start
 
     def encode(self) -> list[int]:
-        ids, end = [], len(self.data)
-        while end:
-            ids.append(self.last[end - 1])
-            end -= len(self.vocabulary.token[ids[-1]])
-        return ids[::-1]
+        return self.vocabulary.ids(self.last)
 
 
 class _Words(dict):
@@ -143,8 +199,13 @@ class _Words(dict):
             return packed
         data = piece.encode("utf-8", "surrogatepass")
         whole_piece = self.vocabulary.rank.get(data)
-        ids = [whole_piece] if whole_piece is not None else PrefixTable(self.vocabulary, data).encode()
-        packed = np.array(ids, "<u4").tobytes()
+        if whole_piece is not None:
+            ids = [whole_piece]
+        else:
+            last: list[int] = []
+            self.vocabulary.extend(data, last, len(data))
+            ids = self.vocabulary.ids(last)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(data) <= _REMEMBERED_BYTES:
             if len(self) >= _REMEMBERED_WORDS:
                 self.old = dict(self)

@@ -51,6 +51,22 @@ def test_appends_and_edits_equal_a_new_table():
         assert table.last == byte_bpe.PrefixTable(v, data[:a] + new + data[b:]).last and again <= len(table.data)
 
 
+def test_a_byte_is_tried_with_the_tokens_that_end_there_only():
+    class Counted(dict):
+        tried = 0
+
+        def get(self, *a):
+            Counted.tried += 1
+            return super().get(*a)
+
+    v = byte_bpe.Vocabulary(DATA)
+    for name in ("made", "_pairs", "_step"):
+        setattr(v, name, Counted(getattr(v, name, {})))
+    data = b" eaanthedlyed wasretionwhtion ofbeeringinst" * 20
+    assert byte_bpe.PrefixTable(v, data).encode() == v.merged(data)
+    assert Counted.tried < 4 * len(data)
+
+
 def test_edits_recompute_a_part_only():
     data = b"the quick brown fox jumps over the lazy dog " * 200
     table = byte_bpe.PrefixTable(CODER.vocabulary, data)
