@@ -37,8 +37,8 @@ from tessera.llm.common import documents, text_batches, whole, worker_cache
 MOST_VOCABULARY_BYTES = 64 << 20
 _REMEMBERED_WORDS = 150_000
 _REMEMBERED_BYTES = 256
-_REMEMBERED_PAIRS = 300_000
-_REMEMBERED_STEPS = 250_000
+_REMEMBERED_PAIRS = 150_000
+_REMEMBERED_STEPS = 150_000
 _LONG_TEXT = 1 << 20
 
 

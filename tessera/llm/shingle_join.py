@@ -10,8 +10,9 @@ the sample has no influence on the result.
 
 All documents under a shingle are first compared with its least document. Only
 pairs that the links found so far leave in different components are listed
-then, so a large group of copies costs little and no link is lost. What remains
-quadratic are many documents that share most of their shingles and are still
+then, each at the first shingle that its documents share (as far as their first
+``LEAD`` shingles tell), so a large group of copies costs little and no link is
+lost. What remains quadratic are many documents that share most of their shingles and are still
 less similar than ``t``.
 
 Most shingles are in one document only. A narrow count of shortened hashes
@@ -47,6 +48,8 @@ SIMILARITY = 0.8
 SEED = 42
 #: Partners of one document that one part compares with it, about.
 PARTNERS = 256
+#: First shingles of a document that tell whether a pair has met before.
+LEAD = 8
 #: Texts of the sample, and how many of them a frequent shingle is in.
 SAMPLE, OFTEN, MOST_OFTEN = 10_000, 4, 500_000
 
@@ -189,7 +192,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, width: int,
 def links(listed: DataFrame, texts: DataFrame, names: DataFrame, width: int, similarity: float) -> DataFrame:
     """(src, dst): edges whose components are those of all pairs that are similar
     enough. ``listed`` has (doc, n, first) of every set, repeats allowed,
-    ``texts`` (h, text), ``names`` (doc, h, n, sketch): one text per set."""
+    ``texts`` (h, text), ``names`` (doc, h, n, sketch, lead): one text per set."""
     places = listed.select("doc", "n", F.posexplode("first").alias("pos", "s"))
     short = F.shiftrightunsigned("s", 24)  # enough to tell single shingles; others come along and do no harm
     counts = places.select(short.alias("short")).groupBy("short").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("short")
@@ -203,13 +206,16 @@ def links(listed: DataFrame, texts: DataFrame, names: DataFrame, width: int, sim
     edges = saved(_verified(pairs, texts, names, width, similarity), "shingle-edges")
     # shingles whose documents are still in different components
     known = connected_components(edges).withColumnRenamed("node", "doc")
-    rows = shared.select("s", "y.*").join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    others = shared.filter(F.col("x.doc") != F.col("y.doc"))  # the least document has met all of them
+    rows = others.select("s", "y.*").join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     rows = saved(rows, "shingle-components")
     mixed = rows.groupBy("s").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1").select("s")
-    rows = saved(rows.join(mixed, "s").distinct().join(names.select("doc", "sketch"), "doc"), "shingle-mixed")
+    rows = rows.join(mixed, "s").distinct().join(names.select("doc", "sketch", "lead"), "doc")
+    rows = saved(rows.withColumn("lead", F.expr("slice(lead, 1, pos)")), "shingle-mixed")
+    # a pair that shares an earlier shingle meets there
     met = rows.alias("x").join(rows.alias("y"), "s").filter(
         (F.col("x.doc") < F.col("y.doc")) & (F.col("x.component") != F.col("y.component")) & _may_reach("x", "y", similarity)
-        & _near("x.sketch", "y.sketch", F.col("x.n") + F.col("y.n"), similarity)
+        & _near("x.sketch", "y.sketch", F.col("x.n") + F.col("y.n"), similarity) & ~F.arrays_overlap("x.lead", "y.lead")
     )
     rest = met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     rest = saved(rest, "shingle-rest")
@@ -223,9 +229,10 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: i
     often = _frequent(texts.select("h", "text"), width)
     out = texts.withColumn("r", _listed(docs.sparkSession, often, width, similarity)("text")).select("id", "h", "r.*")
     out = saved(out, "shingle-listed")
-    by_set = out.groupBy("doc").agg(F.min("id").alias("least"), F.min("h").alias("h"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    by_set = out.groupBy("doc").agg(F.min("id").alias("least"), F.min("h").alias("h"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
+                                    F.first(F.slice("first", 1, LEAD)).alias("lead"))
     by_set = saved(by_set, "shingle-documents")
-    edges = links(out.select("doc", "n", "first"), texts.select("h", "text"), by_set.select("doc", "h", "n", "sketch"), width, similarity)
+    edges = links(out.select("doc", "n", "first"), texts.select("h", "text"), by_set.select("doc", "h", "n", "sketch", "lead"), width, similarity)
     found = connected_components(edges).withColumnRenamed("node", "doc")
     root = by_set.join(found, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     least = root.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -93,3 +93,13 @@ def test_links_of_fingerprints_and_of_sets_make_one_component(spark, monkeypatch
     assert sorted((r["doc_id"] or 0) for r in shingle_join.keep_one(docs).collect()) == [0, 1]
     monkeypatch.undo()
     assert sorted((r["doc_id"] or 0) for r in shingle_join.keep_one(docs).collect()) == [0, 1, 2]
+
+
+def test_a_pair_meets_once(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(shingle_join, "saved", lambda df, name, plain=shingle_join.saved: kept.setdefault(name, plain(df, name)))
+    common = " ".join(f"w{n}" for n in range(300))
+    rows = [(k, common + "".join(f" x{k}y{n}" for n in range(150))) for k in range(2)]
+    got = shingle_join.groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["id"], r["component_id"]) for r in got.collect()} == {(0, 0), (1, 1)}
+    assert kept["shingle-places"].count() > 2 and kept["shingle-mixed"].count() == 0  # the least document has met the other
