@@ -61,7 +61,8 @@ def scan(
 
     ``outputs`` maps a new column to ``(kind, value)`` with kind one of
     ``count`` (1-based position), ``sum``, ``min``, ``max``, ``last`` (latest
-    non-null value) and ``lag`` (previous row's value); a third member
+    non-null value), ``lag`` (previous row's value) and ``total`` (the sum of the
+    whole group, without a sort of its own); a third member
     ``"back"`` runs from the other end. Everything asked for comes from one
     pass. A frame from ``blocked`` along the same order keeps its blocks.
     """
@@ -91,6 +92,9 @@ def scan(
         elif kind == "last":
             adds.append(pick(value, F.when(value.isNotNull(), place)).alias(name))
             carried.append(F.last(name, ignorenulls=True).over(before))
+        elif kind == "total":
+            adds.append(F.sum(value).alias(name))
+            carried.append(F.sum(name).over(across))
         elif kind == "lag":
             adds.append(pick(value, place).alias(name))
             carried.append(F.last(name).over(before))
@@ -114,6 +118,8 @@ def scan(
             running[name] = getattr(F, kind)(value).over(upto)
         elif kind == "last":
             running[name] = F.last(value, ignorenulls=True).over(upto)
+        elif kind == "total":
+            running[name] = F.first(value).over(upto)  # that of the header
         else:
             running[name] = F.lag(value, 1).over(local)
     kept = [c for c in df.columns if c not in outputs]

@@ -30,9 +30,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: Sequence
     if bounded:
         return rows.groupBy(*keys).agg(F.percentile("_v", F.array(*map(F.lit, probs))).alias(out))
     counts = rows.groupBy(*keys, "_v").agg(F.count("_v").alias("_c"))
-    run = scan(counts, keys, [F.col("_v")], {"_upto": ("sum", F.col("_c")), "_down": ("sum", F.col("_c"), "back")})
-    last = F.col("_upto")
-    first, n = last - F.col("_c"), F.col("_upto") + F.col("_down") - F.col("_c")
+    run = scan(counts, keys, [F.col("_v")], {"_upto": ("sum", F.col("_c")), "_n": ("total", F.col("_c"))})
+    last, n = F.col("_upto"), F.col("_n")
+    first = last - F.col("_c")
     picks = []
     for p in probs:
         at = (n - 1) * F.lit(float(p))
