@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from tessera.operators.ordered import attach
 from tessera.operators.raster import gaussian_weights
@@ -48,6 +50,10 @@ def pile(px: DataFrame, keys: Sequence[str], image: str) -> DataFrame:
     return met.withColumn("value", F.coalesce("value", F.lit(0).cast(px.schema["value"].dataType)))
 
 
+#: Pixels that are resampled at the same time, about; an image stays whole.
+PIXELS = 1 << 20
+
+
 def resize_weights(size: int, wanted: int, anti_aliasing: bool = True) -> list[tuple[int, int, float]]:
     """(to, from, weight) of bilinear resampling along one axis. The centres of
     the outermost pixels lie half a pixel inside; beyond them the image is 0.
@@ -71,20 +77,45 @@ def resize_weights(size: int, wanted: int, anti_aliasing: bool = True) -> list[t
 
 
 def resize(px: DataFrame, keys: Sequence[str], size: tuple[int, int], wanted: tuple[int, int], anti_aliasing: bool = True, clip: bool = True) -> DataFrame:
-    """Images of ``size`` resampled to ``wanted`` (height, width): a sum of
-    weighted pixels along rows, then along columns. The two weight tables have
-    a few rows per output line, so they are broadcast. With ``clip`` values
-    stay between the image's least and greatest, except exact zeros."""
-    keys, spark = list(keys), px.sparkSession
-    out = px.select(*keys, "i", "j", F.col("value").cast("double").alias("value"))
-    for axis, other, n, m in (("i", "j", size[0], wanted[0]), ("j", "i", size[1], wanted[1])):
-        table = F.broadcast(spark.createDataFrame(resize_weights(n, m, anti_aliasing), f"_to int, {axis} int, _w double"))
-        out = out.join(table, axis).groupBy(*keys, F.col("_to").alias(axis), other).agg(F.sum(F.col("value") * F.col("_w")).alias("value"))
-    if clip:
-        ends = px.groupBy(*keys).agg(F.min("value").cast("double").alias("_lo"), F.max("value").cast("double").alias("_hi"))
-        kept = F.when(F.col("value") == 0, 0.0).otherwise(F.greatest("_lo", F.least("_hi", "value")))
-        out = attach(out, ends, keys).withColumn("value", kept).drop("_lo", "_hi")
-    return out.select(*keys, "i", "j", "value")
+    """Images of ``size`` resampled to ``wanted`` (height, width): sums of
+    weighted pixels along rows and along columns, as products of each image
+    with two small matrices, many images at a time. Pixels without a value
+    count as missing; where all of them are missing, there is no row. With
+    ``clip`` values stay between the image's least and greatest, except exact
+    zeros."""
+    keys = list(keys)
+    weights = [np.zeros((m, n)) for n, m in zip(size, wanted)]
+    for table, n, m in zip(weights, size, wanted):
+        for to, at, w in resize_weights(n, m, anti_aliasing):
+            table[to, at] = w
+    rows, columns = weights
+    most = max(1, PIXELS // max(size[0] * size[1], wanted[0] * wanted[1]))
+
+    def resampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, most):
+                part = batch.slice(first, most)
+                i, j, v = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("_i", "_j", "_v"))
+                length = part.column("_i").value_lengths().to_numpy()
+                owner, start = np.repeat(np.arange(part.num_rows), length), np.cumsum(length) - length
+                low, high = (f.reduceat(v, start)[:, None, None] for f in (np.minimum, np.maximum))
+                on = (i >= 0) & (i < size[0]) & (j >= 0) & (j < size[1])
+                place = (owner[on] * size[0] + i[on]) * size[1] + j[on]
+                shape = (part.num_rows, *size)
+                image = np.bincount(place, v[on], part.num_rows * size[0] * size[1]).reshape(shape)
+                known = np.bincount(place, minlength=image.size).reshape(shape) > 0
+                out = rows @ image @ columns.T
+                if clip:
+                    out = np.where(out == 0, 0.0, np.maximum(low, np.minimum(high, out)))
+                seen = np.ones(out.shape, bool) if known.all() else (rows > 0).astype(float) @ known @ (columns > 0).astype(float).T > 0
+                at, i, j = np.nonzero(seen)
+                named = [part.column(k).take(pa.array(at)) for k in keys]
+                yield pa.RecordBatch.from_arrays([*named, pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(out[seen])], [*keys, "i", "j", "value"])
+
+    spots = px.filter("i IS NOT NULL AND j IS NOT NULL AND value IS NOT NULL")
+    spots = spots.groupBy(*keys).agg(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("value").cast("double").alias("v"))).alias("_p"))
+    schema = T.StructType([*px.select(*keys).schema, T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("value", T.DoubleType())])
+    return spots.select(*keys, *[F.col(f"_p.{c}").alias(f"_{c}") for c in "ijv"]).mapInArrow(resampled, schema)
 
 
 def cell_crops(px: DataFrame, cells: DataFrame, keys: Sequence[str], half: int, wanted: int, edge: str = "pad") -> DataFrame:
