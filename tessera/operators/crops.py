@@ -44,10 +44,16 @@ def pile(px: DataFrame, keys: Sequence[str], image: str) -> DataFrame:
     """Images of one pile (``keys``) on canvases of one size: the greatest
     height and width, filled with 0."""
     keys = list(keys)
-    canvas = px.groupBy(*keys).agg((F.max("i") + 1).alias("_h"), (F.max("j") + 1).alias("_w"))
-    spots = _rectangle(attach(px.select(*keys, image).distinct(), canvas, keys), keys, F.col("_h"), F.col("_w")).drop("_h", "_w")
-    met = attach(spots, px.select(*keys, image, "i", "j", "value"), [*keys, image, "i", "j"], "left", large=True)
-    return met.withColumn("value", F.coalesce("value", F.lit(0).cast(px.schema["value"].dataType)))
+    # dealt by pile once; everything after stays there
+    pixel = F.struct(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.coalesce("value", F.lit(0).cast(px.schema["value"].dataType)).alias("value"))
+    images = px.select(*keys, image, "i", "j", "value").repartition(*keys).groupBy(*keys, image).agg(
+        F.collect_list(F.when((F.col("i") >= 0) & (F.col("j") >= 0), pixel)).alias("_p"), (F.max("i") + 1).cast("int").alias("_h"), (F.max("j") + 1).cast("int").alias("_w"))
+    whole = W.partitionBy(*keys)
+    images = images.withColumns({c: F.max(c).over(whole) for c in ("_h", "_w")}).filter("_h > 0 AND _w > 0")
+    w = F.col("_w")
+    blank = F.array_except(F.sequence(F.lit(0), F.col("_h") * w - 1), F.transform("_p", lambda p: p["i"] * w + p["j"]))
+    zero = lambda k: F.struct(F.floor(k / w).cast("int").alias("i"), (k % w).alias("j"), F.lit(0).cast(px.schema["value"].dataType).alias("value"))
+    return images.select(*keys, image, F.explode(F.concat("_p", F.transform(blank, zero))).alias("_e")).select(*keys, image, "_e.*")
 
 
 #: Pixels that are resampled at the same time, about; an image stays whole.
@@ -176,7 +182,7 @@ def trim(px: DataFrame, keys: Sequence[str], plane: str) -> DataFrame:
     keys = list(keys)
     planes = px.groupBy(*keys).agg(F.count_distinct(plane).alias("_n"))
     seen = px.groupBy(*keys, "i", "j").agg(F.count_distinct(F.when(F.col("value") != 0, F.col(plane))).alias("_c"))
-    box = inscribed(attach(seen, planes, keys).withColumn("good", F.col("_c") == F.col("_n")), keys).drop("area")
-    inside = attach(px, box, keys).filter("i >= i0 AND i < i1 AND j >= j0 AND j < j1")
+    box = inscribed(attach(seen, planes, keys, large=True).withColumn("good", F.col("_c") == F.col("_n")), keys).drop("area")
+    inside = attach(px, box, keys, large=True).filter("i >= i0 AND i < i1 AND j >= j0 AND j < j1")
     return inside.withColumns({"i": F.col("i") - F.col("i0"), "j": F.col("j") - F.col("j0")}).select(*px.columns)
 

@@ -47,3 +47,14 @@ def test_nearest_points_from_cells_in_several_lists(spark, monkeypatch, chunk):
         near = sorted((np.sqrt((u - x) ** 2 + (v - y) ** 2), m) for s, m, u, v in rows if s == t)[:3]
         want |= {(n, k + 1): m for k, (_, m) in enumerate(near)}
     assert got == want
+
+
+def test_piles_are_dealt_once(spark):
+    px = spark.range(16).select((F.col("id") % 2).alias("pile"), F.floor(F.col("id") / 8).alias("plane"), (F.col("id") % 3).cast("int").alias("i"), F.floor(F.col("id") % 8 / 2).cast("int").alias("j"))
+    px = px.withColumn("value", F.when(F.col("i") < 2, 5))
+    got = crops.pile(px, ["pile"], "plane")
+    assert plan(got).count("Exchange hashpartitioning") == 1 and "Join" not in plan(got)
+    want = {(r["pile"], r["plane"], r["i"], r["j"]): r["value"] or 0 for r in px.collect()}
+    have = {(r["pile"], r["plane"], r["i"], r["j"]): r["value"] for r in got.collect()}
+    assert len(have) == 2 * 2 * 3 * 4 and have == {k: want.get(k, 0) for k in have} and want.keys() <= have.keys()
+    assert "BroadcastHashJoin" not in plan(crops.trim(got, ["pile"], "plane"))
