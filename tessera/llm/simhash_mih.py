@@ -87,7 +87,10 @@ def _flips(bits: int, whole_ball: bool = True) -> Column:
 def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(src, dst): edges whose connected components are those of all pairs of
     fingerprints ``fp`` at distance 2 or less. Each edge is itself such a pair
-    or ties two fingerprints to a point that is within one bit of both."""
+    or ties two fingerprints to a point that is within one bit of both.
+
+    Spark sizes probes by the fingerprints they are exploded from, so joins here
+    ask for a merge: none of these tables may go through the driver."""
     fp = F.col("fp")
     table = distinct.select(fp, F.explode(F.array(
         F.struct(F.lit(0).alias("seg"), _segment(fp, 0).alias("val")), F.struct(F.lit(1).alias("seg"), _segment(fp, 1).alias("val"))
@@ -98,9 +101,9 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     )).alias("e")).select("e.seg", "e.val", F.col("fp").alias("probe"))
     counts = table.groupBy("seg", "val").agg(F.count(F.lit(1)).alias("n"))
     own = (F.col("seg") == 1) | (F.col("val") == _segment(F.col("probe"), 0))
-    found = saved(probes.join(counts, ["seg", "val"]).filter(~own | (F.col("n") > 1)), "simhash-probes")
+    found = saved(probes.join(counts.hint("merge"), ["seg", "val"]).filter(~own | (F.col("n") > 1)), "simhash-probes")
     # a pair is found from both ends; if the greater one's bucket is crowded, both ends probe it
-    near = found.filter(F.col("n") <= bucket).join(table, ["seg", "val"]).filter(
+    near = found.filter(F.col("n") <= bucket).join(table.hint("merge"), ["seg", "val"]).filter(
         (F.col("probe") < fp) & (F.bit_count(F.col("probe").bitwiseXOR(fp)) <= 2)
     ).select(F.col("probe").alias("src"), fp.alias("dst"))
     crowded = found.filter(F.col("n") > bucket).select(F.col("probe").alias("fp")).distinct()
@@ -114,10 +117,10 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket:
     fps = saved(fingerprints(docs, text, doc_id, shingle), "simhash-fingerprints")
     distinct = saved(fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     found = connected_components(links(distinct.select("fp"), bucket)).withColumnRenamed("node", "fp")
-    root = distinct.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    root = distinct.join(found.hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = root.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = root.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return fps.join(named, "fp").select("id", "fp", "component_id")
+    named = root.select("fp", "component").join(least.hint("merge"), "component").select("fp", "component_id")
+    return fps.join(named.hint("merge"), "fp").select("id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -130,7 +133,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
         id_key("pick.id").alias("__key"), F.col("pick.__h").alias("__h")
     )
     at = F.row_number().over(Window.partitionBy("__key", "__h").orderBy(F.lit(1)))
-    return rows.join(kept, ["__key", "__h"]).withColumn("__at", at).filter("__at = 1").select(*docs.columns)
+    return rows.join(kept.hint("merge"), ["__key", "__h"]).withColumn("__at", at).filter("__at = 1").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
