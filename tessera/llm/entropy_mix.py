@@ -167,7 +167,7 @@ def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options
     taken = rates.groupBy(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("__key"), F.col("h").alias("__h")).agg(
         F.sum("copies").alias("__all"), F.count(F.lit(1)).alias("__rows")
     ).filter("__all > 0")
-    rows = docs.withColumns({"__key": id_key(doc_id), "__h": F.xxhash64(whole(text))}).join(taken, ["__key", "__h"])
+    rows = docs.withColumns({"__key": id_key(doc_id), "__h": F.xxhash64(whole(text))}).join(taken.hint("merge"), ["__key", "__h"])
     at = F.row_number().over(Window.partitionBy("__key", "__h").orderBy(F.lit(1)))
     rows = rows.withColumn("__at", at).withColumn("__times", F.expr("cast(__all div __rows + if(__at <= __all % __rows, 1, 0) as int)"))
     return rows.filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

@@ -148,7 +148,7 @@ def _may_reach(a: str, b: str, similarity: float) -> Column:
 def _possible(pairs: DataFrame, names: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) whose sketches do not rule the similarity out."""
     for x in ("a", "b"):
-        pairs = pairs.join(names.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x)
+        pairs = pairs.join(names.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")).hint("merge"), x)
     return pairs.filter(_near("sa", "sb", F.col("na") + F.col("nb"), similarity)).select("a", "b")
 
 
@@ -179,13 +179,13 @@ def _compare(width: int, similarity: float):
 
 def _verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose complete sets are similar enough, as (src, dst)."""
-    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(names, "doc").select("doc", "h"), "shingle-wanted")
-    found = _maybe(texts, "h", wanted, _WANTED_BITS).join(wanted, "h").groupBy("h").agg(F.min("doc").alias("doc"), F.min("text").alias("text"))
+    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(names.hint("merge"), "doc").select("doc", "h"), "shingle-wanted")
+    found = _maybe(texts, "h", wanted, _WANTED_BITS).join(wanted.hint("merge"), "h").groupBy("h").agg(F.min("doc").alias("doc"), F.min("text").alias("text"))
     found = saved(found.select("doc", "text"), "shingle-texts")
     load = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
-    partners = pairs.join(load, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.lit(1).alias("turn"), F.col("b").alias("doc"))
+    partners = pairs.join(load.hint("merge"), "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.lit(1).alias("turn"), F.col("b").alias("doc"))
     heads = load.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("turn"), F.col("a").alias("doc"))
-    rows = partners.unionByName(heads).join(found, "doc").repartition("a", "part").sortWithinPartitions("a", "part", "turn", "doc")
+    rows = partners.unionByName(heads).join(found.hint("merge"), "doc").repartition("a", "part").sortWithinPartitions("a", "part", "turn", "doc")
     return rows.select("a", "part", "doc", "text").mapInPandas(_compare(width, similarity), "src long, dst long")
 
 
@@ -199,7 +199,7 @@ def links(listed: DataFrame, texts: DataFrame, names: DataFrame, width: int, sim
     places = _maybe(places.withColumn("short", short), "short", counts, _SHARED_BITS).select("doc", "n", "pos", "s")
     places = saved(places, "shingle-places")
     least = places.groupBy("s").agg(F.min(F.struct("doc", "n", "pos")).alias("x"), F.max("doc").alias("high")).filter("x.doc != high").select("s", "x")
-    shared = places.join(least, "s").select("s", "x", F.struct("doc", "n", "pos").alias("y"))
+    shared = places.join(least.hint("merge"), "s").select("s", "x", F.struct("doc", "n", "pos").alias("y"))
     pairs = shared.filter((F.col("x.doc") != F.col("y.doc")) & _may_reach("x", "y", similarity))
     pairs = pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
     pairs = saved(_possible(pairs, names, similarity), "shingle-pairs")
@@ -207,17 +207,17 @@ def links(listed: DataFrame, texts: DataFrame, names: DataFrame, width: int, sim
     # shingles whose documents are still in different components
     known = connected_components(edges).withColumnRenamed("node", "doc")
     others = shared.filter(F.col("x.doc") != F.col("y.doc"))  # the least document has met all of them
-    rows = others.select("s", "y.*").join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    rows = others.select("s", "y.*").join(known.hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     rows = saved(rows, "shingle-components")
     mixed = rows.groupBy("s").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1").select("s")
-    rows = rows.join(mixed, "s").distinct().join(names.select("doc", "sketch", "lead"), "doc")
+    rows = rows.join(mixed.hint("merge"), "s").distinct().join(names.select("doc", "sketch", "lead").hint("merge"), "doc")
     rows = saved(rows.withColumn("lead", F.expr("slice(lead, 1, pos)")), "shingle-mixed")
     # a pair that shares an earlier shingle meets there
-    met = rows.alias("x").join(rows.alias("y"), "s").filter(
+    met = rows.alias("x").join(rows.alias("y").hint("merge"), "s").filter(
         (F.col("x.doc") < F.col("y.doc")) & (F.col("x.component") != F.col("y.component")) & _may_reach("x", "y", similarity)
         & _near("x.sketch", "y.sketch", F.col("x.n") + F.col("y.n"), similarity) & ~F.arrays_overlap("x.lead", "y.lead")
     )
-    rest = met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti")
     rest = saved(rest, "shingle-rest")
     return edges.unionByName(_verified(rest, texts, names, width, similarity))
 
@@ -234,10 +234,10 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: i
     by_set = saved(by_set, "shingle-documents")
     edges = links(out.select("doc", "n", "first"), texts.select("h", "text"), by_set.select("doc", "h", "n", "sketch", "lead"), width, similarity)
     found = connected_components(edges).withColumnRenamed("node", "doc")
-    root = by_set.join(found, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    root = by_set.join(found.hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     least = root.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = root.select("doc", "component").join(least, "component").select("doc", "component_id")
-    return out.select("id", "doc").join(named, "doc").select("id", "component_id")
+    named = root.select("doc", "component").join(least.hint("merge"), "component").select("doc", "component_id")
+    return out.select("id", "doc").join(named.hint("merge"), "doc").select("id", "component_id")
 
 
 def joint_groups(picks: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -266,4 +266,4 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
     )
     kept = saved(kept, "shingle-kept")
     at = F.row_number().over(Window.partitionBy("__key", "__h").orderBy(F.lit(1)))
-    return rows.join(kept, ["__key", "__h"]).withColumn("__at", at).filter("__at = 1").select(*docs.columns)
+    return rows.join(kept.hint("merge"), ["__key", "__h"]).withColumn("__at", at).filter("__at = 1").select(*docs.columns)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash_mih
+from tessera.llm import shingle_join, simhash_mih
 from tessera.session import ensure_checkpoint_dir
 
 
@@ -21,3 +21,13 @@ def test_probes_are_not_broadcast(spark, monkeypatch):
         assert "BroadcastHashJoin" not in plan(df)
     texts = spark.range(60).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("one two three"), F.col("id") % 20).alias("text"))
     assert "BroadcastHashJoin" not in plan(simhash_mih.groups(texts))
+
+
+def test_sets_are_joined_by_merges(spark, monkeypatch):
+    texts = spark.range(60).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a b c d e f g"), F.col("id") % 20).alias("text"))
+    seen, saved = [], shingle_join.saved
+    monkeypatch.setattr(shingle_join, "saved", lambda df, name: seen.append(df) or saved(df, name))
+    got = shingle_join.keep_one(texts)
+    assert got.count() == 20
+    for df in [*seen, got]:  # what is broadcast are bitmaps of fixed size
+        assert plan(df).count("BroadcastHashJoin") == plan(df).count("BroadcastHashJoin [__part")
