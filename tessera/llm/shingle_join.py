@@ -17,10 +17,12 @@ less similar than ``t``.
 
 Most shingles are in one document only. A narrow count of shortened hashes
 finds the others, and a bitmap of fixed size keeps their rows alone for the
-wide shuffles. Pairs are dropped if sketches of 512 parity bits differ in more
-bits than similar sets differ in shingles. For the comparison each text goes once per partner to the side
+wide shuffles. Pairs are dropped if sketches of parity bits differ in more
+bits than similar sets differ in shingles: first sketches of 512 bits, then ones
+of two to four bits a shingle, which tell long texts apart too. For the comparison each text goes once per partner to the side
 of the lesser document, whose partners are dealt to parts of bounded number;
-shingle sets live in the task that compares and are not written.
+shingle sets live in the task that compares and are not written. In the end only
+texts of rows that are not alone in their group, or may be, are moved.
 
 Defined cases: a null text counts as empty; texts without a word are alike;
 shorter texts than a shingle are one shingle of all their words; repeated
@@ -94,10 +96,10 @@ def _frequent(rows: DataFrame, width: int) -> np.ndarray:
 
 _LISTED = T.StructType([
     T.StructField("doc", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("first", T.ArrayType(T.LongType())),
-    T.StructField("sketch", T.ArrayType(T.LongType())),
+    T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("wide", T.ArrayType(T.LongType())),
 ])
-#: 64-bit words of a sketch.
-_WORDS = 8
+#: 64-bit words of a sketch, and of a wide one at most.
+_WORDS, _MOST_WORDS = 8, 1 << 10
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
@@ -107,6 +109,14 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def wide_sketch(found: np.ndarray) -> np.ndarray:
+    """A sketch of two to four bits a shingle, by the low bits of the hashes: half
+    of one, added to its other half, is the sketch of half as many bits."""
+    bits = 64 * min(_MOST_WORDS, 1 << max(0, (2 * len(found) - 1) // 64).bit_length())
+    odd = np.bincount((found.view(np.uint64) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _listed(spark, often: np.ndarray, width: int, similarity: float):
     shared = spark.sparkContext.broadcast(often.tobytes())
 
@@ -119,24 +129,26 @@ def _listed(spark, often: np.ndarray, width: int, similarity: float):
             for text in texts:
                 found = shingles(text, width)
                 name = int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
-                rows.append((name, len(found), first_shingles(found, order, similarity), sketch(found)))
-            yield pd.DataFrame(rows, columns=["doc", "n", "first", "sketch"])
+                rows.append((name, len(found), first_shingles(found, order, similarity), sketch(found), wide_sketch(found)))
+            yield pd.DataFrame(rows, columns=["doc", "n", "first", "sketch", "wide"])
 
     return listed
 
 
-#: Bits of the maps of shared shingles (16 MB) and of wanted texts (512 KB).
-_SHARED_BITS, _WANTED_BITS = 1 << 27, 1 << 22
+#: Bits of the maps of shared shingles (16 MB), of wanted texts (512 KB) and of rows in doubt (2 MB).
+_SHARED_BITS, _WANTED_BITS, _DOUBT_BITS = 1 << 27, 1 << 22, 1 << 24
 
 
-def _maybe(rows: DataFrame, column: str, wanted: DataFrame, bits: int) -> DataFrame:
-    """Rows whose ``column`` may be among ``wanted``, by a bitmap of fixed size; none of those is lost."""
+def _maybe(rows: DataFrame, column: str, wanted: DataFrame, bits: int, there: bool = True) -> DataFrame:
+    """Rows whose ``column`` may be among ``wanted``, by a bitmap of fixed size; none of those is lost.
+    Not ``there``: all other rows, none of which is among them."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     b = wanted.select(bit(F.col(column)).alias("b"))
     bitmap = b.groupBy((F.col("b") / 32768).cast("int").alias("__part")).agg(F.bitmap_construct_agg(F.col("b") % 32768).alias("__bitmap"))
-    out = rows.withColumns({"__part": (bit(F.col(column)) / 32768).cast("int"), "__bit": (bit(F.col(column)) % 32768).cast("int")}).join(F.broadcast(bitmap), "__part")
-    byte = F.conv(F.hex(F.expr("substring(__bitmap, __bit div 8 + 1, 1)")), 16, 10).cast("int")
-    return out.withColumn("__byte", byte).filter(F.expr("shiftright(__byte, __bit % 8) & 1") == 1).select(*rows.columns)
+    how = "inner" if there else "left"
+    out = rows.withColumns({"__part": (bit(F.col(column)) / 32768).cast("int"), "__bit": (bit(F.col(column)) % 32768).cast("int")}).join(F.broadcast(bitmap), "__part", how)
+    byte = F.coalesce(F.conv(F.hex(F.expr("substring(__bitmap, __bit div 8 + 1, 1)")), 16, 10).cast("int"), F.lit(0))
+    return out.withColumn("__byte", byte).filter(F.expr("shiftright(__byte, __bit % 8) & 1") == int(there)).select(*rows.columns)
 
 
 def _may_reach(a: str, b: str, similarity: float) -> Column:
@@ -155,9 +167,32 @@ def _possible(pairs: DataFrame, names: DataFrame, similarity: float) -> DataFram
 def _near(a: str, b: str, both: Column, similarity: float) -> Column:
     """Whether two sketches of sets of ``both`` shingles in all allow the similarity."""
     apart = reduce(lambda p, q: p + q, [F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(_WORDS)])
+    return _within(apart, both, similarity)
+
+
+def _within(apart: Column, both: Column, similarity: float) -> Column:
     return apart * (1 + similarity) <= both * (1 - similarity) + 1e-6
 
 
+def _wide_near(a: str, b: str, both: Column, similarity: float) -> Column:
+    """The same by wide sketches; the wider one is folded once."""
+    words = F.least(F.size(a), F.size(b))
+    upper = lambda x, k: F.when(F.size(x) > words, F.col(x)[k + words]).otherwise(F.lit(0).cast("long"))
+    word = lambda k: F.col(a)[k].bitwiseXOR(F.col(b)[k]).bitwiseXOR(upper(a, k)).bitwiseXOR(upper(b, k))
+    apart = F.aggregate(F.sequence(F.lit(0), words - 1), F.lit(0), lambda total, k: total + F.bit_count(word(k)))
+    return (F.greatest(F.size(a), F.size(b)) > 2 * words) | _within(apart, both, similarity)
+
+
+def _close(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) whose wide sketches do not rule the similarity out. ``sets``
+    has (doc, n, wide), repeats allowed; only those of documents in pairs are moved."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    known = _maybe(sets, "doc", wanted, _WANTED_BITS).groupBy("doc").agg(F.first("n").alias("n"), F.first("wide").alias("wide"))
+    for x in ("a", "b"):
+        pairs = pairs.join(known.toDF(x, f"n{x}", f"w{x}").hint("merge"), x)
+    return pairs.filter(_wide_near("wa", "wb", F.col("na") + F.col("nb"), similarity)).select("a", "b")
+
+
 def _compare(width: int, similarity: float):
     """Each part's first row is the document that the others are compared with."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,22 +226,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, names: DataFrame, width: int,
 
 def links(listed: DataFrame, texts: DataFrame, names: DataFrame, width: int, similarity: float) -> DataFrame:
     """(src, dst): edges whose components are those of all pairs that are similar
-    enough. ``listed`` has (doc, n, first) of every set, repeats allowed,
+    enough. ``listed`` has (doc, n, first, wide) of every set, repeats allowed,
     ``texts`` (h, text), ``names`` (doc, h, n, sketch, lead): one text per set."""
     places = listed.select("doc", "n", F.posexplode("first").alias("pos", "s"))
     short = F.shiftrightunsigned("s", 24)  # enough to tell single shingles; others come along and do no harm
     counts = places.select(short.alias("short")).groupBy("short").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("short")
     places = _maybe(places.withColumn("short", short), "short", counts, _SHARED_BITS).select("doc", "n", "pos", "s")
     places = saved(places, "shingle-places")
-    least = places.groupBy("s").agg(F.min(F.struct("doc", "n", "pos")).alias("x"), F.max("doc").alias("high")).filter("x.doc != high").select("s", "x")
-    shared = places.join(least.hint("merge"), "s").select("s", "x", F.struct("doc", "n", "pos").alias("y"))
-    pairs = shared.filter((F.col("x.doc") != F.col("y.doc")) & _may_reach("x", "y", similarity))
-    pairs = pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+    least = places.groupBy("s").agg(F.min(F.struct("doc", "n", "pos")).alias("x"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("c"))
+    shared = places.join(least.filter("x.doc != high").hint("merge"), "s").filter("x.doc != doc")
+    shared = saved(shared.select("s", "c", "x", F.struct("doc", "n", "pos").alias("y")), "shingle-shared")
+    pairs = shared.filter(_may_reach("x", "y", similarity)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
     pairs = saved(_possible(pairs, names, similarity), "shingle-pairs")
-    edges = saved(_verified(pairs, texts, names, width, similarity), "shingle-edges")
+    near = saved(_close(pairs, listed.select("doc", "n", "wide"), similarity), "shingle-near")
+    edges = saved(_verified(near, texts, names, width, similarity), "shingle-edges")
     # shingles whose documents are still in different components
     known = connected_components(edges).withColumnRenamed("node", "doc")
-    others = shared.filter(F.col("x.doc") != F.col("y.doc"))  # the least document has met all of them
+    others = shared.filter("c > 2")  # the least document has met all of them, so two are done
     rows = others.select("s", "y.*").join(known.hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     rows = saved(rows, "shingle-components")
     mixed = rows.groupBy("s").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1").select("s")
@@ -218,7 +254,7 @@ def links(listed: DataFrame, texts: DataFrame, names: DataFrame, width: int, sim
         & _near("x.sketch", "y.sketch", F.col("x.n") + F.col("y.n"), similarity) & ~F.arrays_overlap("x.lead", "y.lead")
     )
     rest = met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti")
-    rest = saved(rest, "shingle-rest")
+    rest = saved(_close(saved(rest, "shingle-rest"), listed.select("doc", "n", "wide"), similarity), "shingle-rest-near")
     return edges.unionByName(_verified(rest, texts, names, width, similarity))
 
 
@@ -232,7 +268,7 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: i
     by_set = out.groupBy("doc").agg(F.min("id").alias("least"), F.min("h").alias("h"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
                                     F.first(F.slice("first", 1, LEAD)).alias("lead"))
     by_set = saved(by_set, "shingle-documents")
-    edges = links(out.select("doc", "n", "first"), texts.select("h", "text"), by_set.select("doc", "h", "n", "sketch", "lead"), width, similarity)
+    edges = links(out.select("doc", "n", "first", "wide"), texts.select("h", "text"), by_set.select("doc", "h", "n", "sketch", "lead"), width, similarity)
     found = connected_components(edges).withColumnRenamed("node", "doc")
     root = by_set.join(found.hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     least = root.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -265,5 +301,11 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
         id_key("pick.id").alias("__key"), F.col("pick.__h").alias("__h")
     )
     kept = saved(kept, "shingle-kept")
+    # the text of a row that is kept and not repeated stays where it is
+    count = rows.groupBy("__key", "__h").agg(F.count(F.lit(1)).alias("__n")).join(kept.withColumn("__kept", F.lit(True)).hint("merge"), ["__key", "__h"], "left")
+    spot = F.xxhash64("__key", "__h")
+    doubt = saved(count.filter("__n > 1 OR __kept IS NULL").select(spot.alias("__spot")), "shingle-doubt")
+    rows = rows.withColumn("__spot", spot)
     at = F.row_number().over(Window.partitionBy("__key", "__h").orderBy(F.lit(1)))
-    return rows.join(kept.hint("merge"), ["__key", "__h"]).withColumn("__at", at).filter("__at = 1").select(*docs.columns)
+    again = _maybe(rows, "__spot", doubt, _DOUBT_BITS).join(kept.hint("merge"), ["__key", "__h"]).withColumn("__at", at).filter("__at = 1")
+    return _maybe(rows, "__spot", doubt, _DOUBT_BITS, False).select(*docs.columns).unionByName(again.select(*docs.columns))
