@@ -425,28 +425,30 @@ def split_touching(labels: DataFrame, keys: Sequence[str], schema: str, smooth:
 
 def segment_nuclei(
     px: DataFrame, keys: Sequence[str], key_schema: str, threshold: float, radius: int = 15, area_min: int = 50,
-    area_max: int = 500, smooth: int = 1,
+    area_max: int = 500, smooth: int = 1, values: bool = False,
 ) -> DataFrame:
     """Local mean threshold, intensity filter, hole filling, splitting of
     touching objects and area filter (both bounds exclusive). Images are dealt
-    to tasks once and go through these steps there."""
+    to tasks once and go through these steps there. With ``values`` the pixels
+    of the nuclei come with their values."""
     keys = list(keys)
     fields = T.StructType.fromDDL(key_schema).fields if keys else []
 
     def find(rows: pa.Table) -> pa.Table:
         image = planes.image_numbers(rows, keys)
         i, j = (rows.column(c).to_numpy() for c in ("i", "j"))
-        value = rows.column("value").to_numpy()
+        value = rows.column("value").cast(pa.float64()).to_numpy()
         number = np.zeros(len(i), np.int32)
         for at, (t, a, b), edge, shape in planes.stacks(image, i, j):
             plane, there = np.full(shape, np.nan), np.zeros(shape, bool)
             plane[t, a, b], there[t, a, b] = value[at], True
             number[at] = planes.nuclei(plane, there, edge, threshold, radius, area_min, area_max, smooth)[t, a, b]
         found = rows.select([*keys, "i", "j"]).append_column("label", pa.array(number))
+        found = found.append_column("value", rows.column("value")) if values else found
         return found.filter(pa.array(number > 0))
 
-    schema = T.StructType([*fields, *[T.StructField(c, T.IntegerType()) for c in ("i", "j", "label")]])
-    rows = px.select(*[F.col(f.name).cast(f.dataType) for f in fields], *[F.col(c).cast("int").alias(c) for c in ("i", "j")], F.col("value").cast("double").alias("value"))
+    schema = T.StructType([*fields, *[T.StructField(c, T.IntegerType()) for c in ("i", "j", "label")], *([px.schema["value"]] if values else [])])
+    rows = px.select(*[F.col(f.name).cast(f.dataType) for f in fields], *[F.col(c).cast("int").alias(c) for c in ("i", "j")], "value")
     return by_image(rows, keys, find, schema)
 
 

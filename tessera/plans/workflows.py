@@ -98,10 +98,9 @@ def live_tracks(
     keys = list(keys)
     planes = [*keys, "frame"]
     clean = R.rolling_ball(px, planes, ball) if ball else px
-    clean = cut_lineage(clean.repartition(*planes))
-    labels = cut_lineage(R.nuclei_stack(clean, keys, "frame", key_schema, threshold, **segmentation))
-    points = labels.groupBy(*planes, "label").agg(F.avg("i").alias("i"), F.avg("j").alias("j"))
-    tracks = tracking.track_nuclei(points, keys, n_frames, tolerance)
-    measured = attach(labels, clean, [*planes, "i", "j"], large=True).groupBy(*planes, "label").agg(
-        F.count(F.lit(1)).alias("area"), F.avg("value").alias("mean"), F.max("value").alias("max"))
-    return attach(tracks, measured, [*planes, "label"], large=True)
+    # pixels are read once: nuclei come with their values, and only their measures are written
+    labels = R.nuclei_stack(clean, keys, "frame", key_schema, threshold, values=True, **segmentation)
+    nuclei = cut_lineage(labels.groupBy(*planes, "label").agg(
+        F.avg("i").alias("i"), F.avg("j").alias("j"), F.count(F.lit(1)).alias("area"), F.avg("value").alias("mean"), F.max("value").alias("max")))
+    tracks = tracking.track_nuclei(nuclei.select(*planes, "label", "i", "j"), keys, n_frames, tolerance)
+    return attach(tracks, nuclei.drop("i", "j"), [*planes, "label"], large=True)

@@ -120,3 +120,13 @@ def test_image_numbers_and_empty_images(spark):
     one = spark.createDataFrame([(3, 5, 2.0)], "i int, j int, value double")
     assert R.label_components(one, []).collect()[0]["area"] == 1
     assert R.segment_nuclei(one, [], "", 1).count() == 0
+
+
+def test_nuclei_come_with_their_values(spark):
+    px = pixels(spark, list(fields(3, 3))).withColumn("value", F.col("value").cast("long"))
+    options = {"radius": 6, "area_min": 6, "area_max": 120}
+    got = R.segment_nuclei(px, ["tile", "plate"], "tile string, plate int", 1010, values=True, **options)
+    assert got.schema["value"].dataType == px.schema["value"].dataType
+    plain = R.segment_nuclei(px, ["tile", "plate"], "tile string, plate int", 1010, **options)
+    want = plain.join(px, ["tile", "plate", "i", "j"]).select(*got.columns)
+    assert got.count() > 100 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
