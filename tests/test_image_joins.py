@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import raster as R
+from tessera.operators import raster as R, regions as G
+from tessera.plans import workflows
 
 
 def plan(df):
@@ -25,3 +26,14 @@ def test_moves_and_sizes_of_images_are_merged(spark):
         assert plan(df).count("BroadcastHashJoin") == 0
     assert {(r["frame"], r["oi"], r["oj"]) for r in off.collect()} == {(0, 0.0, 0.0), (1, 2.0, 0.0)}
     assert moved.count() == both.count()
+
+
+def test_features_of_regions_are_merged(spark):
+    px = images(spark, 2).withColumn("channel", F.col("tile") % 2).withColumn("tile", F.lit(0).cast("long"))
+    quad = (1 + F.floor(F.col("i") / 4) * 2 + F.floor(F.col("j") / 4)).cast("int")
+    labels = px.filter("channel = 0").select("tile", "i", "j", quad.alias("label"))
+    wide = G.wide_pixels(px, ["tile"], [0, 1])
+    parts = [G.order_features(labels, wide, ["tile"], "c0", "x"), G.zernike(labels, wide, ["tile"], "c0"), G.threshold_adjacency(labels, wide, ["tile"], "c0"), G.morphology(labels, ["tile"])]
+    for df in [*parts, workflows.extended_phenotype(px, {"cell": labels}, 0, [1], ["tile"]), workflows.phenotype(px, labels, labels, [0, 1], ["tile"])]:
+        assert "BroadcastHashJoin" not in plan(df)
+        assert df.count() == 4
