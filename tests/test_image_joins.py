@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import raster as R, regions as G
+from tessera.operators import raster as R, regions as G, spatial
 from tessera.plans import workflows
 
 
@@ -37,3 +37,15 @@ def test_features_of_regions_are_merged(spark):
     for df in [*parts, workflows.extended_phenotype(px, {"cell": labels}, 0, [1], ["tile"]), workflows.phenotype(px, labels, labels, [0, 1], ["tile"])]:
         assert "BroadcastHashJoin" not in plan(df)
         assert df.count() == 4
+
+
+def test_pairs_of_near_points_stay_in_their_cell(spark, monkeypatch):
+    """Lists of points go to the cell that asks, and are neither dealt again for the join nor for a query's state."""
+    seen, cut = [], spatial.cut_lineage
+    monkeypatch.setattr(spatial, "cut_lineage", lambda d: seen.append(d) or cut(d))
+    pts = spark.range(300).select((F.col("id") % 2).alias("t"), F.col("id"), (F.col("id") * 37 % 101).cast("double").alias("i"), (F.col("id") * 91 % 97).cast("double").alias("j"))
+    assert spatial.knn(pts, pts, ["t"], ("i", "j"), 2, crowd=8).count() == 600
+    states = [d for d in seen if "_done" in d.columns]
+    assert states
+    for d in states:  # asked cells, asked cells and points by cell, lists by asker, queries by cell
+        assert plan(d).split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") <= 5
